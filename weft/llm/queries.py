@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import language_id
-from weft.llm.common import table
+from weft.llm import chat, language_id, wavelet
+from weft.llm.common import scratch_path, table, tokenizer_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as wavelet shards and read back from them."""
+    path = scratch_path(spark, "shards")
+    wavelet.write_shards(wavelet.build_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")), path)
+    return wavelet.read_documents(wavelet.read_shards(spark, path))
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that holds control strings, as formatted in windows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT -7L conv_id, t turn, r role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    return chat.digests(chat.windows(turns.unionByName(odd)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op7_chat_windows": op7_chat_windows,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
