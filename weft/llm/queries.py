@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, language_id, topk, wavelet
+from weft.llm import chat, decontaminate, language_id, pii, topk, wavelet
 from weft.llm.common import scratch_path, table, tokenizer_path
 
 
@@ -26,6 +26,12 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.read_shards(spark, path))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with the fewest edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one that holds control strings, as formatted in windows."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -33,6 +39,13 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(odd)))
 
 
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base patterns and what the skip-chain field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
 def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best vectors for each vector whose id is divisible by 100."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -41,7 +54,9 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op6_decontaminate": op6_decontaminate,
     "op7_chat_windows": op7_chat_windows,
+    "op9_pii_crf": op9_pii_crf,
     "op10_maxscore_topk": op10_maxscore_topk,
 }
 
