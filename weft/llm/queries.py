@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontaminate, language_id, pii, topk, wavelet
+from weft.llm import chat, decontaminate, language_id, neardup, pii, topk, wavelet
 from weft.llm.common import scratch_path, table, tokenizer_path
 
 
@@ -39,6 +39,11 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(odd)))
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard of 0.8 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base patterns and what the skip-chain field adds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_windows": op7_chat_windows,
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_pii_crf": op9_pii_crf,
     "op10_maxscore_topk": op10_maxscore_topk,
 }
