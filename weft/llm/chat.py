@@ -63,29 +63,46 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = t.withColumn("part", F.col("cell") * 2 + (F.col("start") >= F.col("cell") * F.col("step")).cast("int"))
     by = W.partitionBy("conv_id").orderBy("pos")
     t = t.withColumn("opens", F.coalesce(F.lag("part").over(by) != F.col("part"), F.lit(False)))
-    t = t.withColumn("window", F.sum(F.col("opens").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-
-    piece = ["conv_id", "window", "kind", "pos", "rendered", "tokens", "answer", "from", "long"]
-    new = t.withColumn("kind", F.lit(2)).select(piece)
-    opening = t.filter("opens")
-    system = opening.filter("sys IS NOT NULL").select(
-        "conv_id", "window", F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.col("sys.rendered").alias("rendered"), F.col("sys.tokens").alias("tokens"), F.lit(False).alias("answer"), F.lit(0).alias("from"), F.lit(0).alias("long")
+    # every turn takes a token at least, so turns that start in the history's range before this one also end before it
+    back = W.partitionBy("conv_id").orderBy("start").rangeBetween(-history, -1)
+    piece = F.struct("rendered", "tokens", "pos")
+    rows = t.select(
+        "conv_id",
+        "pos",
+        "rendered",
+        "tokens",
+        "answer",
+        "from",
+        "long",
+        "opens",
+        "sys",
+        F.sum(F.col("opens").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("window"),
+        (F.sum(F.length("rendered")).over(by.rowsBetween(W.unboundedPreceding, 0)) - F.length("rendered")).alias("before"),
+        F.collect_list(piece).over(back).alias("old"),
     )
-    # a turn is history of windows that open between its end and `history` tokens after its start: two bins at most
-    old = t.filter((F.col("tokens") <= history) & ~(F.col("sys").isNotNull() & (F.col("pos") == 1)))
-    old = old.withColumn("bin", F.explode(F.sequence(F.floor(F.col("end") / history), F.floor((F.col("start") + history) / history)))).drop("window").alias("o")
-    opened = opening.select("conv_id", "window", F.col("start").alias("opened"), F.floor(F.col("start") / history).alias("bin")).alias("w")
-    near = F.col("o.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("o.bin") == F.col("w.bin")) & (F.col("o.end") <= F.col("w.opened")) & (F.col("o.start") >= F.col("w.opened") - history)
-    repeated = old.join(opened, near).select("o.conv_id", "w.window", F.lit(1).alias("kind"), "o.pos", "o.rendered", "o.tokens", F.lit(False).alias("answer"), "o.from", "o.long")
-
-    order = W.partitionBy("conv_id", "window").orderBy("kind", "pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = new.unionByName(system).unionByName(repeated)
-    rows = rows.withColumn("at", F.sum(F.length("rendered")).over(order) - F.length("rendered") + F.col("from"))
-    rows = rows.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "pos", "rendered", "answer", "at", "long"))).alias("t"), F.sum("tokens").alias("n_tokens"), F.count_if(F.col("kind") < 2).alias("n_context")
+    old = F.filter("old", lambda x: (x["pos"] > 1) | F.col("sys").isNull())
+    system = F.when(F.col("sys").isNotNull(), F.array(F.struct(F.col("sys.rendered").alias("rendered"), F.col("sys.tokens").alias("tokens"), F.lit(1).alias("pos"))))
+    context = F.when(F.col("opens"), F.concat(F.coalesce(system, F.slice("old", 1, 0)), F.array_sort(old, lambda x, y: x["pos"] - y["pos"])))
+    # grouping by conversation and window needs no further shuffle: the rows already lie by conversation
+    rows = rows.withColumn("context", context).groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "rendered", "answer", "from", "long", "before"))).alias("t"),
+        F.sum("tokens").alias("n"),
+        F.first("context", ignorenulls=True).alias("c"),
+    )
+    context = F.coalesce(F.array_join(F.col("c.rendered"), ""), F.lit(""))
+    rows = rows.select("*", context.alias("opening"), F.coalesce(F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["tokens"]), F.lit(0)).alias("repeated"))
+    at = F.length("opening") - F.col("t")[0]["before"]
+    spans = F.transform(F.filter("t", lambda x: x["answer"]), lambda x: F.struct((at + x["before"] + x["from"]).alias("start"), (at + x["before"] + x["from"] + x["long"]).alias("end")))
+    count = F.coalesce(F.size("c"), F.lit(0))
+    return rows.select(
+        "conv_id",
+        "window",
+        (F.size("t") + F.greatest(count, F.lit(0))).alias("n_turns"),
+        F.greatest(count, F.lit(0)).alias("n_context"),
+        (F.col("n") + F.col("repeated")).alias("n_tokens"),
+        F.concat("opening", F.array_join(F.col("t.rendered"), "")).alias("text"),
+        spans.alias("targets"),
     )
-    spans = F.transform(F.filter("t", lambda x: x["answer"]), lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["long"]).alias("end")))
-    return rows.select("conv_id", "window", F.size("t").alias("n_turns"), "n_context", "n_tokens", F.array_join(F.col("t.rendered"), "").alias("text"), spans.alias("targets"))
 
 
 def parsed(formatted: DataFrame) -> DataFrame:
@@ -93,7 +110,7 @@ def parsed(formatted: DataFrame) -> DataFrame:
     turns = F.arrays_zip(F.regexp_extract_all("text", F.lit(TURN), 1).alias("role"), F.regexp_extract_all("text", F.lit(TURN), 2).alias("text"))
     fresh = F.slice(turns, F.col("n_context") + 1, F.size(turns))
     fresh = F.transform(fresh, lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
-    cut = F.transform("targets", lambda s: unescape(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    cut = F.transform("targets", lambda s: unescape(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     return formatted.select("*", fresh.alias("turns"), F.array_join(cut, "").alias("learned"))
 
 
