@@ -10,8 +10,9 @@ the header as JSON {n, docs, planes, sections: [[name, stored bytes], ...]}; the
 each one zstd frame: `doc_ids` (int64), `doc_null` (uint8), `lengths` (int64, ids of each
 document), `zeros` (int64, zeros in each plane), `ranks` (uint32, per plane the ones before
 each BLOCK bits) and `plane0`.. (bits, the first in the lowest bit of a byte). A table of
-shards is written with Spark's commit protocol, one file a shard, whose single row is (part,
-seq, first_doc, n_docs, n_tokens, image); lost or repeated tasks leave no half-written shard.
+shards is written with Spark's commit protocol, one file for each range of documents, whose
+rows are (part, seq, first_doc, n_docs, n_tokens, image); lost or repeated tasks leave no
+half-written shard.
 
 Defined results: a null text is encoded as empty; null ids come first; rows that repeat an id
 stay separate, ordered by text; an empty table gives no shard. Columns beyond the id and the
@@ -21,8 +22,11 @@ text aren't stored.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,43 +42,88 @@ from weft.llm.common import texts_of
 MAGIC = b"WMX1"
 BLOCK = 512
 #: A shard is closed once it holds this many ids; one longer document makes a longer shard.
-SHARD_TOKENS = 1 << 22
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-MEMO_WORDS = 250_000
+SHARD_TOKENS = 1 << 20
+#: Words, and cores of words, whose ids a worker remembers; beyond it that memory starts anew.
+MEMO_WORDS = 200_000
+MEMO_CORES = 300_000
 SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, image binary"
 
+#: A run of Latin letters and one of ASCII punctuation: what the pre-tokeniser parts in two.
+PLAIN = re.compile(r"([A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+class Memory(dict):
+    """A dict that makes what is missing."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer file; later tasks find its memory warm."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
 
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
     A tokenizer whose normaliser and pre-tokeniser look at no more than a run between blanks,
     and drop the blanks, gives a text the ids of its words one after another. worded() tells
-    whether the file is of that kind; texts of other tokenizers are encoded as they are.
+    whether the file is of that kind; texts of other tokenizers are encoded as they are. Words
+    of Latin letters, with punctuation at most behind them, are encoded by the file's model
+    alone, for what comes before the model only lower-cases them and maps their bytes.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = worded(json.load(f))
-        self.memo: dict[str, bytes] = {"": b""}
+            spec = json.load(f)
+        self.by_word = worded(spec)
+        self.by_core = self.by_word and {"type": "Lowercase"} in (spec["normalizer"] or {}).get("normalizers", [])
+        self.model = self.tokenizer.model
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = "".join(map(chr, range(0x80, 0x250)))
+        letters = "".join(map(chr, range(0x80, 0x250)))
+        self.bytes = {ord(c): "".join(x for x, _ in shown.pre_tokenize_str(c)) for c in letters}
+        self.memo, self.cores, self.tails = Memory(self._word), Memory(self._core), Memory(self._library)
+        self.memo[""] = self.tails[""] = b""
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _core(self, core: str) -> bytes:
+        shown = core if core.isascii() else core.translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        m = PLAIN.fullmatch(word) if self.by_core else None
+        if m and (word.isascii() or "\u0130" not in word):
+            return self.cores[m[1].lower()] + self.tails[m[2]]
+        return self._library(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit little-endian integers."""
+        """Ids of each text as unsigned 32-bit integers."""
         if not self.by_word:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
-        memo = self.memo
-        new = list(set().union(*words).difference(memo))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for memory, most in ((self.memo, MEMO_WORDS), (self.cores, MEMO_CORES), (self.tails, MEMO_WORDS)):
+            if len(memory) > most:
+                memory.clear()
+                memory[""] = b""
+        get = self.memo.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def worded(spec: dict) -> bool:
@@ -103,10 +152,11 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     for level in range(planes):
         bit = (seq >> (planes - 1 - level) & 1).astype(bool)
         bits.append(np.packbits(bit, bitorder="little"))
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.uint32) if len(bit) else np.zeros(0, np.uint32)
+        ones = np.bitwise_count(bits[-1])
+        ones = np.concatenate([ones, np.zeros(-len(ones) % (BLOCK // 8), np.uint8)]).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
         ranks.append(np.concatenate([[0], np.cumsum(ones, dtype=np.uint32)]).astype("<u4"))
         zeros.append(len(bit) - int(ranks[-1][-1]))
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        seq = np.concatenate([seq[np.flatnonzero(~bit)], seq[np.flatnonzero(bit)]])
     sections = [
         ("doc_ids", np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes()),
         ("doc_null", np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes()),
@@ -212,14 +262,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids, by putting the planes' partings back from the last to the first."""
-        low = np.zeros(self.n, dtype="<u4")
+        low = np.zeros(self.n, dtype=np.uint16 if self.planes <= 16 else np.uint32)
         for level in reversed(range(self.planes)):
-            bit = np.unpackbits(self.bits(level), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.bits(level), count=self.n, bitorder="little").view(bool)
             back, z = np.empty_like(low), int(self.zeros[level])
-            back[~bit] = low[:z]
-            back[bit] = low[z:] | np.uint32(1 << (self.planes - 1 - level))
+            low[z:] |= low.dtype.type(1 << (self.planes - 1 - level))
+            back[np.flatnonzero(~bit)] = low[:z]
+            back[np.flatnonzero(bit)] = low[z:]
             low = back
-        return low
+        return low.astype("<u4")
 
 
 def build_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -232,7 +283,7 @@ def build_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, made, held = [], [], 0
 
         def shard():
@@ -249,10 +300,10 @@ def build_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             at = 0
             while at < len(texts):
                 size, stop = 0, at
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 1_000_000):
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 500_000):
                     size += len(texts[stop])
                     stop += 1
-                for d, m in zip(doc_ids[at:stop], encoder.encode(texts[at:stop]), strict=True):
+                for d, m in zip(doc_ids[at:stop], words.encode(texts[at:stop]), strict=True):
                     ids.append(d)
                     made.append(m + end)
                     held += len(made[-1]) // 4
@@ -266,7 +317,7 @@ def build_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
+    shards.write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
