@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontaminate, language_id, neardup, pii, topk, wavelet
+from weft.llm import chat, decontaminate, language_id, lines, neardup, pii, topk, wavelet
 from weft.llm.common import scratch_path, table, tokenizer_path
 
 
@@ -26,6 +26,12 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.read_shards(spark, path))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document: counts, length and crc32 of its text."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, with the fewest edits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +65,7 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_windows": op7_chat_windows,
     "op8_hyperminhash": op8_hyperminhash,
