@@ -134,6 +134,35 @@ class Matcher:
         return out
 
 
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple]]:
+    """Ids and texts of the items, in blocks of about block_chars characters; one block at least."""
+    held, size, any_ = [], 0, False
+    for row in items.filter(F.col(item_text).isNotNull()).select(item_id, item_text).toLocalIterator():
+        held.append((row[0], row[1]))
+        size += len(row[1])
+        if size >= block_chars:
+            yield held
+            held, size, any_ = [], 0, True
+    if held or not any_:
+        yield held
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that hold no item; each block of items filters what the last one left."""
+    at = docs.columns.index(text_col)
+    for block in item_blocks(items, item_id, item_text, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast([x[1] for x in block])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, rate)
+            for batch in batches:
+                keep = [not (text and matcher.search(text)) for text in texts_of(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs' columns but the text, plus item_id and errors: a row for each item that a document holds."""
     base = without(docs, *({"item_id", "errors"} - {text_col}))
@@ -141,15 +170,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     base = base.select(*kept, F.col(text_col).alias("__text"))
     id_type = items.schema[item_id].dataType
     schema = T.StructType([*base.schema.fields[:-1], T.StructField("item_id", id_type), T.StructField("errors", T.IntegerType())])
-    spark, blocks, held, size = docs.sparkSession, [], [], 0
-    for row in items.filter(F.col(item_text).isNotNull()).select(item_id, item_text).toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= block_chars:
-            blocks.append(held)
-            held, size = [], 0
-    if held or not blocks:
-        blocks.append(held)
+    spark, blocks = docs.sparkSession, list(item_blocks(items, item_id, item_text, block_chars))
 
     def of(block) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)

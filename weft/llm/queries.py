@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontaminate, html_text, language_id, lines, neardup, pii, topk, wavelet
+from weft.llm import chat, decontaminate, html_text, language_id, lines, neardup, pii, spm, topk, wavelet
 from weft.llm.common import scratch_path, table, tokenizer_path
 
 
@@ -26,6 +26,13 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.read_shards(spark, path))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: counts, crc32 of the ids, parity and round trip."""
+    found = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    crc = F.crc32(F.to_json("tokens").cast("binary"))
+    return found.select("doc_id", "n_tokens", crc.alias("tokens_crc32"), "parity", "round_trip")
+
+
 def op4_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
@@ -70,6 +77,7 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_wrapper_html": op4_wrapper_html,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
