@@ -207,3 +207,45 @@ def first_exclusion(answers: DataFrame, key: str, text: str, rules: DataFrame) -
     """key and the first rule (by its order) whose pattern a text matches; rules: rule, rule_order, pattern (a small table)."""
     rows = answers.join(F.broadcast(rules), F.expr(f"{text} RLIKE pattern"))
     return rows.groupBy(key).agg(F.min(F.struct("rule_order", "rule")).alias("x")).select(key, "x.rule")
+
+
+def bounded_evidence(hits: DataFrame, by: str, key: list[str], order: str, text: str, total: int = 6000) -> DataFrame:
+    """First occurrences of each key in order, their texts cut where the sum of characters reaches the total."""
+    first = hits.withColumn("__n", F.row_number().over(W.partitionBy(by, *key).orderBy(order))).filter(F.col("__n") == 1).drop("__n")
+    before = F.sum(F.length(text)).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.length(text)
+    rows = first.withColumn("__room", (F.lit(total) - before).cast("int")).filter((F.col("__room") > 0) & (F.length(text) > 0))
+    return rows.withColumn(text, F.left(F.col(text), F.col("__room"))).drop("__room")
+
+
+def picture_lines(pics: DataFrame, captions: DataFrame, by: str, most: int = 8, chars: int = 260) -> DataFrame:
+    """by and lines about its pictures in order: repeats, noise and mismatches (but for tables) left out, long captions cut.
+
+    pics: by, product, pos, pic; captions: product, pic, category, section_fit, short_caption, content.
+    """
+    first = pics.groupBy(by, "product", "pic").agg(F.min("pos").alias("pos"))
+    rows = first.join(captions, ["product", "pic"]).filter("category <> 'noise' AND (coalesce(section_fit, '') <> 'mismatch' OR category = 'info_table')")
+    short, full = F.trim(F.coalesce("short_caption", F.lit(""))), F.trim(F.coalesce("content", F.lit("")))
+    said = F.when(full != "", full).otherwise(short)
+    rows = rows.withColumn("said", F.when(F.length(said) > chars, F.concat(F.rtrim(F.left(said, F.lit(chars))), F.lit("..."))).otherwise(said)).filter("said <> ''")
+    line = F.concat(F.lit("- [[PIC:"), F.col("pic"), F.lit("]] "), F.when(short != "", F.concat(short, F.lit(": "))).otherwise(""), F.col("said"))
+    nth = F.row_number().over(W.partitionBy(by).orderBy("pos", "pic"))
+    near = rows.withColumn("line", line).withColumn("nth", nth).filter(F.col("nth") <= most)
+    return near.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def expanded_sections(hits: DataFrame, by: str, section: str, order: str, expand: int = 2) -> DataFrame:
+    """hits plus expanded: whether its section is one of the most frequent of the group (equals: seen first)."""
+    counts = hits.groupBy(by, section).agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
+    best = counts.withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("__n"), "__first"))).filter(F.col("__r") <= expand)
+    return hits.join(best.select(by, section, F.lit(True).alias("expanded")), [by, section], "left").na.fill(False, ["expanded"])
+
+
+def spans_of_claims(answers: DataFrame, claims: DataFrame, key: str, answer: str, claim: str) -> DataFrame:
+    """key, pos, sentence, claim_no: sentences and the claim whose place in the answer holds them."""
+    text = F.col(answer)
+    s = answers.select(key, answer, F.posexplode(tx.sentences(text)).alias("pos", "sentence")).withColumn("at", F.expr(f"locate(sentence, {answer})"))
+    c = claims.join(answers.select(key, answer), key).withColumn("from_", F.expr(f"locate({claim}, {answer})")).filter("from_ > 0")
+    c = c.select(key, "claim_no", "from_", (F.col("from_") + F.length(claim)).alias("to_"))
+    inside = (F.col("at") >= F.col("from_")) & (F.col("at") + F.length("sentence") <= F.col("to_"))
+    rows = s.join(c, key, "left").withColumn("claim_no", F.when(inside, F.col("claim_no")))
+    return rows.groupBy(key, "pos", "sentence").agg(F.min("claim_no").alias("claim_no"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions import excerpts
 from weft.functions import text as tx
-from weft.operators import evidence
+from weft.operators import cases, contracts, evidence
 from weft.plans.catalog import query, table
 
 CITE = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9_-]{{2,}}'))"
@@ -200,3 +201,56 @@ def attempt_ledger(spark: SparkSession, d: str) -> DataFrame:
 def exclusion_rules(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame([("license", 0, "Licen[sc]e"), ("token", 1, "token = "), ("digits", 2, "[0-9]{6}")], "rule string, rule_order int, pattern string")
     return evidence.first_exclusion(table(spark, d, "documents"), "doc_id", "text", rules)
+
+
+@query(
+    "bounded_evidence",
+    """
+  WITH f AS (SELECT * FROM (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents) WHERE n = 1),
+  b AS (SELECT source, doc_id, text, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) - length(text) AS before FROM f)
+  SELECT source, doc_id, sha256(text[1:CAST(6000 - before AS INTEGER)]) AS mark FROM b WHERE before < 6000 AND length(text) > 0
+""",
+)
+def bounded_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's different texts in order, cut at 6000 characters together."""
+    hits = table(spark, d, "documents").select("source", "doc_id", "text").withColumn("key", F.col("text"))
+    return evidence.bounded_evidence(hits, "source", ["key"], "doc_id", "text").select("source", "doc_id", tx.digest(F.col("text")).alias("mark"))
+
+
+@query(
+    "expanded_sections",
+    """
+  WITH h AS (SELECT user_id, event_id, event_type FROM events), c AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM h GROUP BY user_id, event_type)
+  SELECT h.user_id, h.event_id, h.event_type, r <= 2 AS expanded FROM h JOIN c USING (user_id, event_type)
+""",
+)
+def expanded_sections(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return evidence.expanded_sections(hits, "user_id", "event_type", "event_id").select("user_id", "event_id", "event_type", "expanded")
+
+
+@query("text_excerpts")
+def text_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document shortened to 400 characters by its ends, by its important sentences, and to 300 bytes."""
+    t = F.col("text")
+    cut = [excerpts.column(f, t, n).alias(name) for f, n, name in ((excerpts.excerpt, 400, "ends"), (excerpts.observe, 400, "sentences"), (excerpts.fit, 300, "bytes"))]
+    return table(spark, d, "documents").select("doc_id", *cut)
+
+
+@query("request_budget")
+def request_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation as a request cut to 2500 bytes and its reply."""
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m"))
+    body = F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), F.lit(200).alias("max_tokens")))
+    return g.select("conv_id", contracts.budget_column(body, window=2700, safety=0).alias("b")).select("conv_id", "b.fits", "b.before", "b.after")
+
+
+@query("case_scores")
+def case_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic evaluation set answered from its own gold, which must pass."""
+    c = cases.dataset(spark)
+    said = F.when(F.col("answerable"), F.col("expected")).otherwise("not known")
+    value = F.to_json(F.struct(said.alias("answer"), F.col("sources").alias("sources")))
+    visible = F.array_join(F.transform("records", lambda r: r["question"]), "\n")
+    return cases.scores(c.select("id", value.alias("value"), visible.alias("visible")), c)
