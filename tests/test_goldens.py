@@ -119,10 +119,11 @@ def test_binned_overlap_equals_plain(spark):
 
 def test_interval_normaliser(spark):
     f = lambda s, e, a, b: tuple(one(spark, timeline.normalised_interval(*[F.lit(float(x)) for x in (s, e, a, b)])))
-    assert f(1, 2, 10, 20) == (1.0, 2.0, False)
-    assert f(12, 14, 10, 20) == (2.0, 4.0, False)
-    assert f(3, 3, 10, 20) == (3.0, 4.0, False)
-    assert f(5, 40, 10, 20) == (0.0, 10.0, True)
+    assert f(1, 2, 10, 20) == (1.0, 2.0, "relative")
+    assert f(12, 14, 10, 20) == (2.0, 4.0, "absolute_to_relative")
+    assert f(3, 3, 10, 20) == (2.5, 3.5, "relative|point_to_window")
+    assert f(5, 40, 10, 20) == (0.0, 10.0, "relative|invalid_to_full_scene")
+    assert one(spark, timeline.frame_offsets(F.lit(2.0))) == [1.0] and one(spark, timeline.frame_offsets(F.lit(10.0))) == [1.0, 5.0, 9.0]
 
 
 def test_expand_ids_rejects_unknown_and_repeated(spark):
@@ -200,7 +201,10 @@ def test_text_cleaning(spark):
     assert one(spark, tx.drop_unsupported(F.lit("a\r\nb﻿😀️"))) == "a\nb"
     assert one(spark, tx.tidy(F.lit("\n a  b \n\n\n\n c \n"))) == "a b\n\nc"
     assert one(spark, tx.normalise_picture_marks(F.lit("[pic] <Pic/> x</PIC>"))) == "<PIC> <PIC> x"
-    assert one(spark, tx.with_references(F.lit("a<PIC>b<PIC>c"), F.array(F.lit("p")))) == "a<PIC>[p]b<PIC>c"
+    named = tx.with_inline_names(F.lit("a<PIC>b<PIC>c"), F.array(F.lit("p")))
+    assert one(spark, named) == "a[[PIC:p]]b<PIC>c" and one(spark, tx.inline_names(named)) == ["p"] and one(spark, tx.without_inline_names(named)) == "a<PIC>b<PIC>c"
+    assert one(spark, tx.statements(F.lit("- One is 1.5 cm. Two [VID:a] holds\n2) three"))) == ["One is 1.5 cm.", "Two  holds", "three"]
+    assert one(spark, tx.answer_sentences(F.lit("Do it. [VID:s1] Then wait!"))) == ["Do it. [VID:s1]", "Then wait!"]
     assert one(spark, tx.summary(F.lit("x" * 130))) == "x" * 120 + "..."
 
 

@@ -52,12 +52,16 @@ def mixed_tokens(text: Column) -> Column:
     return F.concat(ideographs, F.array_except(latin, ideographs))
 
 
+# Words and pairs that say nothing about a source.
+CITATION_STOP = "the and with this that from into your for air fryer device appliance control panel button 使用 操作 控制 面板 按钮 空气 炸锅 设备 产品 相关 内容".split()
+
+
 def citation_tokens(text: Column, stop: list[str] | None = None) -> Column:
-    """Distinct Latin words of three or more characters and ideograph pairs, without bracketed tags and stop words."""
-    bare = F.regexp_replace(text, r"\[[^\]]*\]", " ")
-    words = matches(F.lower(bare), "[a-z0-9][a-z0-9_-]{2,}")
-    found = F.array_distinct(F.concat(words, F.flatten(F.transform(matches(bare, f"[{CJK}]+"), pairs_of))))
-    return F.array_except(found, F.array(*[F.lit(s) for s in stop])) if stop else found
+    """Distinct Latin words of three or more characters, ideograph pairs and lone ideographs, without provenance tags and stop words."""
+    bare = F.regexp_replace(text, r"(?i)\[\[PIC:[^\]\r\n]*\]\]|<PIC(?::[^>\r\n]*)?>|\[VID:[^\]\r\n]*\]|\bManual\d+_\d+\b", " ")
+    words = matches(F.lower(bare), "[a-z0-9]{3,}")
+    runs = F.flatten(F.transform(matches(bare, f"[{CJK}]+"), lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(pairs_of(r))))
+    return F.array_except(F.array_distinct(F.concat(words, runs)), F.array(*[F.lit(x) for x in (CITATION_STOP if stop is None else stop)]).cast("array<string>"))
 
 
 def token_estimate(text: Column) -> Column:
@@ -89,11 +93,15 @@ def summary(text: Column, limit: int = 120) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("...")))
 
 
-def head_tail(text: Column, limit: int = 8000, mark: str = "\n...\n") -> Column:
-    """A text over the limit as its head and tail in equal parts around a mark."""
-    room = limit - len(mark)
-    cut = F.concat(F.left(text, F.lit(room - room // 2)), F.lit(mark), F.right(text, F.lit(room // 2)))
-    return F.when(F.length(text) <= limit, text).otherwise(cut)
+#: Fixed value: what stands for the middle of a text that is cut.
+MIDDLE = "\n[... deterministic middle truncation ...]\n"
+
+
+def head_tail(text: Column, limit: int = 8000) -> Column:
+    """A trimmed text over the limit as its first and last halves around a mark."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    head, tail = F.regexp_replace(F.left(t, F.lit(limit // 2)), r"\s+$", ""), F.regexp_replace(F.right(t, F.lit(limit - limit // 2)), r"^\s+", "")
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(head, F.lit(MIDDLE), tail))
 
 
 def language(product: Column, text: Column) -> Column:
@@ -121,18 +129,19 @@ def clean_markdown_line(line: Column) -> Column:
 def strip_markdown(text: Column) -> Column:
     """Markdown signs away, paragraphs kept; numbers of lists stay, followed by one blank."""
     text = drop_unsupported(text)
+    # fixed values: signs of Markdown
     steps = [
-        (r"(?m)^```[^\n]*\n?", ""),
-        (r"(?m)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$", ""),
+        (r"```[^\n]*\n?", ""),
+        (r"(?m)^[\s|:\-]+$", ""),
         (r"[ \t]*\|[ \t]*", " "),
-        (r"\*\*([^*\n]+)\*\*", "$1"),
+        (r"\*\*([^*]+)\*\*", "$1"),
         (r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1"),
         (r"`([^`\n]+)`", "$1"),
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"(?m)^[ \t]*[-*+]\s+", ""),
-        (r"(?m)^[ \t]*(\d+[.)])\s+", "$1 "),
-        (r"(?m)^>\s?", ""),
-        (r"\\([*_`#\[\]()])", "$1"),
+        (r"(?m)^#{1,6}\s*", ""),
+        (r"(?m)^\s*[-*+]\s+", ""),
+        (r"(?m)^\s*(\d+[.)])\s+", "$1 "),
+        (r"(?m)^\s*>\s?", ""),
+        (r"\\([*_`\[\]()])", "$1"),
     ]
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -158,6 +167,7 @@ def flatten_lines(text: Column) -> Column:
 
 def redact_contacts(text: Column) -> Column:
     """Links, e-mail addresses, service phone numbers and contact words away."""
+    # fixed values: what counts as such
     steps = [
         r"(?i)https?://\S+|www\.\S+",
         r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
@@ -193,16 +203,26 @@ def normalise_picture_marks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)<\s*/\s*pic\s*>", "")
 
 
-def inline_references(text: Column) -> Column:
-    """Reference numbers in square brackets, in order, first occurrences only."""
-    return F.array_distinct(matches(text, r"\[(\d+)\]", 1))
+def inline_names(text: Column) -> Column:
+    """Names of inline picture references, in order."""
+    return F.filter(F.transform(matches(text, r"(?i)\[\[\s*PIC\s*:\s*([^\]\n]+?)\s*\]\]", 1), lambda n: F.trim(n)), lambda n: n != "")
+
 
+def without_inline_names(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?i)\[\[\s*PIC\s*:\s*([^\]\n]+?)\s*\]\]", "<PIC>")
 
-def with_references(text: Column, names: Column) -> Column:
-    """The i-th picture mark of a text followed by the i-th name in brackets; marks beyond the names stay bare."""
+
+def with_inline_names(text: Column, names: Column) -> Column:
+    """The i-th picture mark of a text replaced by a reference to the i-th name; marks beyond the names stay."""
     parts = F.split(text, "<PIC>")
-    named = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("<PIC>"), F.when(i <= F.size(names), F.concat(F.lit("["), F.get(names, i - 1), F.lit("]"))).otherwise(F.lit("")), p)))
-    return F.array_join(named, "")
+    mark = lambda i: F.when(i <= F.size(names), F.concat(F.lit("[[PIC:"), F.get(names, i - 1), F.lit("]]"))).otherwise(F.lit("<PIC>"))
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(mark(i), p))), "")
+
+
+def answer_sentences(answer: Column) -> Column:
+    """Sentences of an answer, each with the scene tags right behind its end."""
+    found = matches(answer, r"[^.!?。！？\n]+(?:[.!?。！？](?:[ \t]*\[VID:[A-Za-z0-9._:-]+\])*)?")
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentences(text: Column) -> Column:
@@ -211,13 +231,20 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def statements(draft: Column, most: int = 32) -> Column:
-    """Sentences of a draft without tags and list marks, at most `most`."""
-    bare = F.regexp_replace(draft, r"\[[A-Z]\d+\]|<PIC>", "")
-    parts = F.transform(sentences(bare), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[-*•]|\d+[.)])\s+", "")))
-    return F.slice(F.filter(parts, lambda s: s != ""), 1, most)
+def statements(draft: Column) -> Column:
+    """Statements of a draft: tags and list marks away, parted at line ends and where a sentence ends before a capital."""
+    bare = F.regexp_replace(draft, r"(?i)\[\[?\s*(?:VID|PIC):[^\]\r\n]+\]\]?|<PIC>", "")
+    bare = F.regexp_replace(bare, r"(?m)^\s*(?:[-*]|\d+[.)])\s+", "")
+    parts = F.transform(F.split(bare, r"(?<=[。！？])|(?<=[.!?])\s+(?=[A-Z])|[\r\n]+"), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[-*]|\d+[.)])\s+", "")))
+    return F.filter(parts, lambda s: s != "")
+
+
+def statements_hold(parts: Column) -> Column:
+    """Whether there are 1 to 32 statements of at most 1200 characters without markup."""
+    return (F.size(parts) >= 1) & (F.size(parts) <= 32) & F.forall(parts, lambda s: (F.length(s) <= 1200) & ~s.rlike("<[^>]*>"))
 
 
+# Headings that stand apart.
 SPECIAL = r"(?i)\bcontents?\b|\btable of contents\b|\bindex\b|\bsafety\b|\bwarning\b|\bcaution\b|\bdanger\b|\bimportant\b|\bnotice\b|目录|注意事项|安全|警告|危险|声明"
 # Tag, pattern in the heading, pattern in the lower-cased heading, pattern in the text.
 TAGS = [

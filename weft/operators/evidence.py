@@ -16,12 +16,12 @@ from weft.functions import text as tx
 def supported(sentence_tokens: Column, evidence_tokens: Column) -> Column:
     """Whether evidence backs a sentence: two shared tokens (one if it has at most two) and a quarter of its tokens."""
     shared, n = F.size(F.array_intersect(sentence_tokens, evidence_tokens)), F.size(sentence_tokens)
-    return (shared >= F.when(n <= 2, 1).otherwise(2)) & (shared >= 0.25 * n)
+    return (n > 0) & (shared >= F.when(n <= 2, 1).otherwise(2)) & (shared >= 0.25 * n)
 
 
 def citations(answers: DataFrame, evidence: DataFrame, key: str, answer: str, evidence_id: str, text: str) -> DataFrame:
     """key, pos, sentence and the ids of the evidence (of the same key) that supports it."""
-    s = answers.select(key, F.posexplode(tx.sentences(F.col(answer))).alias("pos", "sentence")).withColumn("st", tx.citation_tokens(F.col("sentence")))
+    s = answers.select(key, F.posexplode(tx.answer_sentences(F.col(answer))).alias("pos", "sentence")).withColumn("st", tx.citation_tokens(F.col("sentence")))
     e = evidence.select(key, F.col(evidence_id).alias("eid"), tx.citation_tokens(F.col(text)).alias("et"))
     hit = s.join(e, key, "left").withColumn("eid", F.when(supported(F.col("st"), F.col("et")), F.col("eid")))
     return hit.groupBy(key, "pos", "sentence").agg(F.array_sort(F.collect_set("eid")).alias("supports"))

@@ -8,10 +8,15 @@ over all terms. A term a query repeats counts each time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+WORD = re.compile("[a-z]{2,}")
 
 
 def postings(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
@@ -62,3 +67,28 @@ def tfidf_terms(posts: DataFrame, n: DataFrame) -> DataFrame:
     """term, df, smooth idf ln((1 + N) / (1 + df)) + 1."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def phrases(text: Column, stop: list[str] | None = None, most: int = 4) -> Column:
+    """Distinct runs of 1 to `most` Latin words, stop words left out before. (As nested lambdas the words would be found anew for every run.)"""
+    left_out = frozenset(stop or ())
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def of(t):
+            w = [x for x in WORD.findall((t or "").lower()) if x not in left_out]
+            return sorted({" ".join(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1)})
+
+        return texts.map(of)
+
+    return run(text)
+
+
+def routed(asked: DataFrame, held: DataFrame, query: str, owner: str, least: int = 20, lead: int = 3) -> DataFrame:
+    """query, owner, weight: phrases (p) that one owner alone holds vote 2 points a word and one more; the winner must lead clearly."""
+    only = held.groupBy("p").agg(F.min(owner).alias(owner), F.count("*").alias("n")).filter("n = 1").drop("n")
+    points = F.size(F.split("p", " ")) * 2 + 1
+    votes = asked.join(only, "p").groupBy(query, owner).agg(F.sum(points).alias("weight"))
+    w = W.partitionBy(query).orderBy(F.desc("weight"), owner)
+    rows = votes.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("weight", 1, 0).over(w))
+    return rows.filter((F.col("n") == 1) & (F.col("weight") >= least) & (F.col("weight") >= lead * F.greatest("second", F.lit(1)))).select(query, owner, "weight")

@@ -140,17 +140,22 @@ def evidence_rows(kinds: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def normalised_interval(start: Column, end: Column, scene_start: Column, scene_end: Column) -> Column:
-    """Offsets relative to the scene: absolute times are moved, a point becomes a second, invalid ones the whole scene (unsure)."""
+def normalised_interval(start: Column, end: Column, scene_start: Column, scene_end: Column, slack: float = 0.05) -> Column:
+    """start, end (relative to the scene) and how they came about: absolute times are moved, a point becomes a second around it, what fits neither the whole scene."""
     length = scene_end - scene_start
-    absolute = (start >= scene_start) & (end <= scene_end) & (end > length) & (scene_start > 0)
+    absolute = (scene_start - slack <= start) & (start < end) & (end <= scene_end + slack)
     s, e = F.when(absolute, start - scene_start).otherwise(start), F.when(absolute, end - scene_start).otherwise(end)
-    e = F.when(s == e, F.least(s + 1, length)).otherwise(e)
-    valid = (s >= 0) & (e > s) & (e <= length)
-    return F.when(valid, F.struct(s.alias("start"), e.alias("end"), F.lit(False).alias("unsure"))).otherwise(F.struct(F.lit(0.0).alias("start"), length.alias("end"), F.lit(True).alias("unsure")))
+    point = (s >= 0) & (s <= length + slack) & (F.abs(e - s) <= slack)
+    mid = F.least(length, F.greatest(F.lit(0.0), s))
+    low, high = F.greatest(F.lit(0.0), mid - 0.5), F.least(length, mid + 0.5)
+    s, e = F.when(point, F.when(high <= low, F.greatest(F.lit(0.0), length - 1.0)).otherwise(low)).otherwise(s), F.when(point, F.when(high <= low, length).otherwise(high)).otherwise(e)
+    bad = (s < 0) | (e <= s) | (e > length + slack)
+    basis = F.concat(F.when(absolute, "absolute_to_relative").otherwise("relative"), F.when(point, "|point_to_window").otherwise(""), F.when(bad, "|invalid_to_full_scene").otherwise(""))
+    return F.struct(F.when(bad, F.lit(0.0)).otherwise(F.greatest(s, F.lit(0.0))).alias("start"), F.when(bad, length).otherwise(F.least(e, length)).alias("end"), basis.alias("basis"))
 
 
 def frame_offsets(duration: Column) -> Column:
-    """Times of the frames to look at: the middle of short scenes, three of longer ones, five of the longest."""
-    at = lambda shares: F.array(*[duration * s for s in shares])
-    return F.when(duration <= 2, at((0.5,))).when(duration <= 10, at((0.2, 0.5, 0.8))).otherwise(at((0.1, 0.3, 0.5, 0.7, 0.9)))
+    """Times of the frames to look at: one in scenes under 3 seconds, two under 8, else three; a little inside the scene."""
+    inside = lambda share: F.least(F.greatest(duration * share, F.lit(0.05)), F.greatest(duration - 0.05, F.lit(0.05)))
+    at = lambda *shares: F.array(*[inside(x) for x in shares])
+    return F.when(duration <= 0, F.raise_error(F.lit("a scene without length")).cast("array<double>")).when(duration < 3, at(0.5)).when(duration < 8, at(0.2, 0.8)).otherwise(at(0.1, 0.5, 0.9))

@@ -10,7 +10,7 @@ from weft.functions import text as tx
 from weft.operators import cases, contracts, evidence
 from weft.plans.catalog import query, table
 
-CITE = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9_-]{{2,}}'))"
+CITE = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains(['the', 'and', 'with', 'this', 'that', 'from', 'into', 'your', 'for', 'air', 'fryer', 'device', 'appliance', 'control', 'panel', 'button'], x))"
 #: Synthetic evaluation rows: each labelled document is a case, its source the strategy.
 ROWS_SQL = "r AS (SELECT l.doc_id AS case_, source AS strategy, lang AS category, quality = 1 AS passed, toxic = 1 AS degraded, CASE WHEN l.doc_id % 10 > 0 THEN CAST(n_chars AS DOUBLE) END AS ms FROM labels l JOIN documents USING (doc_id))"
 
@@ -27,7 +27,7 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     f"""
   WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn AS at, {CITE.format("text")} AS t FROM conversations WHERE role = 'assistant'),
   e AS (SELECT conv_id, turn, {CITE.format("text")} AS t FROM u)
-  SELECT a.conv_id, a.at, e.turn FROM a JOIN e USING (conv_id) WHERE len(list_intersect(a.t, e.t)) >= CASE WHEN len(a.t) <= 2 THEN 1 ELSE 2 END AND len(list_intersect(a.t, e.t)) >= 0.25 * len(a.t)
+  SELECT a.conv_id, a.at, e.turn FROM a JOIN e USING (conv_id) WHERE len(a.t) > 0 AND len(list_intersect(a.t, e.t)) >= CASE WHEN len(a.t) <= 2 THEN 1 ELSE 2 END AND len(list_intersect(a.t, e.t)) >= 0.25 * len(a.t)
 """,
 )
 def citation_support(spark: SparkSession, d: str) -> DataFrame:

@@ -312,24 +312,29 @@ def pool_shard(spark: SparkSession, d: str) -> DataFrame:
     return ranking.shard(table(spark, d, "benchmark"), "item_id", 4, 1)
 
 
+STOP = "how the to do if is are of on in a an for what when this my i you and or can should want would be it that with your use using before".split()
+GRAMS = "list_distinct(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))))"
+
+
 @query(
     "phrase_route",
     f"""
-  WITH g AS (SELECT DISTINCT source, unnest({TOKENS.format("text")}) AS term FROM documents),
-  u AS (SELECT term, min(source) AS source FROM g WHERE length(term) >= 5 GROUP BY term HAVING count(*) = 1),
-  q AS (SELECT DISTINCT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark),
-  v AS (SELECT item_id, source, CAST(sum(length(term)) AS BIGINT) AS weight FROM q JOIN u USING (term) GROUP BY item_id, source),
+  WITH d AS (SELECT source, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM documents),
+  q AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: NOT list_contains({STOP!r}, x)) AS w FROM benchmark),
+  g AS (SELECT DISTINCT source, unnest({GRAMS}) AS p FROM d), qg AS (SELECT item_id, unnest({GRAMS}) AS p FROM q),
+  k AS (SELECT item_id, p, len(string_split(p, ' ')) AS n FROM qg WHERE contains(p, ' ') OR length(p) >= 5),
+  u AS (SELECT p, min(source) AS source FROM g WHERE p IN (SELECT p FROM k) GROUP BY p HAVING count(*) = 1),
+  v AS (SELECT item_id, source, CAST(sum(2 * n + 1) AS BIGINT) AS weight FROM k JOIN u USING (p) GROUP BY item_id, source),
   r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, source) AS n, lead(weight, 1, 0) OVER (PARTITION BY item_id ORDER BY weight DESC, source) AS second FROM v)
-  SELECT item_id, source, weight FROM r WHERE n = 1 AND weight >= 20 AND weight >= 3 * second
+  SELECT item_id, source, weight FROM r WHERE n = 1 AND weight >= 20 AND weight >= 3 * greatest(second, 1)
 """,
 )
 def phrase_route(spark: SparkSession, d: str) -> DataFrame:
-    """Items routed to a source by words that only it holds: the winner needs 20 characters and three times the second's."""
-    from pyspark.sql import Window as W
-
-    token = lambda df, key: df.select(key, F.explode(tx.scene_tokens(F.col("text"))).alias("term")).distinct()
-    only = token(table(spark, d, "documents"), "source").filter("length(term) >= 5").groupBy("term").agg(F.min("source").alias("source"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    votes = token(table(spark, d, "benchmark"), "item_id").join(only, "term").groupBy("item_id", "source").agg(F.sum(F.length("term")).alias("weight"))
-    w = W.partitionBy("item_id").orderBy(F.desc("weight"), "source")
-    rows = votes.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("weight", 1, 0).over(w))
-    return rows.filter("n = 1 AND weight >= 20 AND weight >= 3 * second").select("item_id", "source", "weight")
+    """Items routed to a source by phrases that only it holds: the winner needs 20 points and three times the second's.
+
+    Phrases are runs of 2 to 4 words without stop words, and words of 5 letters; they are looked up as whole words.
+    """
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    asked = items.select("item_id", F.explode(lexical.phrases(F.col("text"), STOP)).alias("p")).filter("p LIKE '% %' OR length(p) >= 5")
+    held = docs.select("source", F.explode(lexical.phrases(F.col("text"))).alias("p")).join(asked.select("p").distinct(), "p", "left_semi").distinct()
+    return lexical.routed(asked, held, "item_id", "source")

@@ -102,7 +102,11 @@ def summary_trunc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "head_tail_cut",
-    "SELECT doc_id, CASE WHEN length(text) <= 8000 THEN sha256(text) ELSE sha256(text[1:3998] || chr(10) || '...' || chr(10) || right(text, 3997)) END AS mark FROM documents",
+    r"""
+  WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
+  SELECT doc_id, CASE WHEN length(t) <= 8000 THEN sha256(t)
+    ELSE sha256(regexp_replace(t[1:4000], '\s+$', '') || chr(10) || '[... deterministic middle truncation ...]' || chr(10) || regexp_replace(right(t, 4000), '^\s+', '')) END AS mark FROM t
+""",
 )
 def head_tail_cut(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.digest(tx.head_tail(F.col("text"))).alias("mark"))
@@ -180,13 +184,13 @@ def text_digest(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "statement_split",
     r"""
-  WITH l AS (SELECT item_id, unnest(regexp_split_to_array(replace(replace(replace(text, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), '\n+')) AS s FROM benchmark)
+  WITH b AS (SELECT item_id, regexp_replace(regexp_replace(text, '(?m)^\s*(?:[-*]|\d+[.)])\s+', '', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(10) || '\2', 'g') AS t FROM benchmark),
+  l AS (SELECT item_id, unnest(regexp_split_to_array(t, '[\r\n]+')) AS s FROM b)
   SELECT item_id, count(*) AS statements, CAST(sum(length(trim(s))) AS BIGINT) AS chars FROM l WHERE trim(s) <> '' GROUP BY item_id
 """,
 )
 def statement_split(spark: SparkSession, d: str) -> DataFrame:
-    s = tx.statements(F.col("text"))
-    rows = table(spark, d, "benchmark").select("item_id", F.explode(s).alias("s"))
+    rows = table(spark, d, "benchmark").select("item_id", F.explode(tx.statements(F.col("text"))).alias("s"))
     return rows.groupBy("item_id").agg(F.count("*").alias("statements"), F.sum(F.length("s")).alias("chars"))
 
 

@@ -211,13 +211,28 @@ def expand_ids(spark: SparkSession, d: str) -> DataFrame:
     "normalised_intervals",
     """
   WITH x AS (SELECT event_id, CAST(event_id % 50 AS DOUBLE) AS s, CAST(event_id % 50 + event_id % 7 - 1 AS DOUBLE) AS e, CAST(event_id % 20 AS DOUBLE) AS a, CAST(event_id % 20 + 30 AS DOUBLE) AS b FROM events),
-  y AS (SELECT *, b - a AS l, s >= a AND e <= b AND e > b - a AND a > 0 AS abs_ FROM x),
-  z AS (SELECT event_id, l, CASE WHEN abs_ THEN s - a ELSE s END AS s, CASE WHEN abs_ THEN e - a ELSE e END AS e FROM y),
-  p AS (SELECT event_id, l, s, CASE WHEN s = e THEN least(s + 1, l) ELSE e END AS e FROM z)
-  SELECT event_id, CASE WHEN s >= 0 AND e > s AND e <= l THEN s ELSE 0 END AS "start", CASE WHEN s >= 0 AND e > s AND e <= l THEN e ELSE l END AS "end", NOT (s >= 0 AND e > s AND e <= l) AS unsure FROM p
+  y AS (SELECT *, b - a AS l, a - 0.05 <= s AND s < e AND e <= b + 0.05 AS moved FROM x),
+  z AS (SELECT event_id, l, moved, CASE WHEN moved THEN s - a ELSE s END AS s, CASE WHEN moved THEN e - a ELSE e END AS e FROM y),
+  p AS (SELECT event_id, l, moved, s >= 0 AND s <= l + 0.05 AND abs(e - s) <= 0.05 AS point, s, e, least(l, greatest(0, s)) AS mid FROM z),
+  w AS (SELECT event_id, l, moved, point, CASE WHEN point THEN greatest(0, mid - 0.5) ELSE s END AS s, CASE WHEN point THEN least(l, mid + 0.5) ELSE e END AS e FROM p),
+  v AS (SELECT *, s < 0 OR e <= s OR e > l + 0.05 AS bad FROM w)
+  SELECT event_id, CASE WHEN bad THEN 0 ELSE greatest(s, 0) END AS "start", CASE WHEN bad THEN l ELSE least(e, l) END AS "end",
+    CASE WHEN moved THEN 'absolute_to_relative' ELSE 'relative' END || CASE WHEN point THEN '|point_to_window' ELSE '' END || CASE WHEN bad THEN '|invalid_to_full_scene' ELSE '' END AS basis FROM v
 """,
 )
 def normalised_intervals(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     x = timeline.normalised_interval((i % 50).cast("double"), (i % 50 + i % 7 - 1).cast("double"), (i % 20).cast("double"), (i % 20 + 30).cast("double"))
-    return table(spark, d, "events").select("event_id", x.alias("x")).select("event_id", "x.start", "x.end", "x.unsure")
+    return table(spark, d, "events").select("event_id", x.alias("x")).select("event_id", "x.start", "x.end", "x.basis")
+
+
+@query(
+    "frame_offsets",
+    f"""
+  WITH {EVENTS_SQL}, l AS (SELECT scene, ("end" - "start") / 600 AS d FROM sc), f AS (SELECT scene, d, unnest(CASE WHEN d < 3 THEN [0.5] WHEN d < 8 THEN [0.2, 0.8] ELSE [0.1, 0.5, 0.9] END) AS s FROM l)
+  SELECT scene, round(least(greatest(d * s, 0.05), greatest(d - 0.05, 0.05)), 6) AS "at" FROM f
+""",
+)
+def frame_offsets(spark: SparkSession, d: str) -> DataFrame:
+    at = timeline.frame_offsets((F.col("end") - F.col("start")) / 600)
+    return scenes(spark, d).select("scene", F.explode(at).alias("at")).select("scene", F.round("at", 6).alias("at"))
