@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,11 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Upper bound of text handled at once inside a Python worker, in characters.
 CHUNK_CHARS = 2_000_000
+#: Bytes of an Arrow batch on its way to a worker (the session's setting is lowered to it), and of the slices it is worked off in.
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +84,45 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS, rows: int = 4096) -> Iter
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `limit` bytes of text or binary, or one row each if that is longer."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    if not len(size) or size.sum() <= limit:
+        yield batch
+        return
+    part = (np.cumsum(size) - size) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with bounded batches on both sides of the pipe, and memory given back at the end of each task."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(BATCH_CONF)).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(x for batch in batches for x in slices(batch))
+        finally:
+            release()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def append_columns(
     df: DataFrame, text_col: str, new: T.StructType, make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]]
 ) -> DataFrame:
@@ -100,7 +144,7 @@ def append_columns(
                 cols = apply(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*part.columns, *[cols[n] for n in new.names]], names=[*part.schema.names, *new.names])
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weft.llm.common import texts_of, without
+from weft.llm.common import map_arrow, texts_of, without
 
 RATE = 0.1
 PIECE = 12
@@ -159,7 +159,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                 keep = [not (text and matcher.search(text)) for text in texts_of(batch.column(at))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 
@@ -191,7 +191,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                         [*part.columns, pa.array(found, to_arrow_type(id_type)), pa.array(errors, pa.int32())], names=[*part.schema.names, "item_id", "errors"]
                     )
 
-        return base.mapInArrow(run, schema)
+        return map_arrow(base, run, schema)
 
     out = of(blocks[0])
     for block in blocks[1:]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import append_columns, texts_of
+from weft.llm.common import append_columns, map_arrow, texts_of
 
 DIM = 1024
 SEED = 20240517
@@ -180,7 +180,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: in
             [pa.array(names, pa.string()), pa.array([sums[n].astype(np.int64) for n in names], pa.list_(pa.int64()))], names=["lang", "vec"]
         )
 
-    parts = rows.filter(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col)).mapInArrow(partial, "lang string, vec array<long>")
+    known = rows.filter(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col))
+    parts = map_arrow(known, partial, "lang string, vec array<long>")
     sums = parts.select("lang", F.posexplode("vec").alias("pos", "x")).groupBy("lang", "pos").agg(F.sum("x").alias("x"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import chunks, materialize, mix64, texts_of, without
+from weft.llm.common import chunks, map_arrow, materialize, mix64, texts_of, without
 
 TAU = 2
 MIN_CHARS = 30
@@ -162,7 +162,7 @@ def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
                 marks = line_marks(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(d, pa.int64()), pa.array(f, pa.int64()), pa.array(no, pa.int32())], names=["l1", "l2", "d", "f", "line"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "l1 long, l2 long, d long, f long, line int")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "l1 long, l2 long, d long, f long, line int")
 
 
 def _signed(docs: DataFrame, text_col: str, min_chars: int, tau: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _signed(docs: DataFrame, text_col: str, min_chars: int, tau: int) -> DataFra
                     sig, who, seg = signatures(own, tau)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(line_marks(own)[:, 0][who]), pa.array(seg)], names=["sig", "l1", "own"])
 
-    return docs.select(text_col).mapInArrow(run, "sig long, l1 long, own boolean")
+    return map_arrow(docs.select(text_col), run, "sig long, l1 long, own boolean")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +200,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, {"x": pa.string(), "line": pa.int32()}.get(k, pa.int64())) for k, v in out.items()})
 
-    return rows.mapInArrow(run, "l1 long, l2 long, d long, f long, line int, x string").dropDuplicates(["l1", "l2"])
+    return map_arrow(rows, run, "l1 long, l2 long, d long, f long, line int, x string").dropDuplicates(["l1", "l2"])
 
 
 def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, min_chars: int, tau: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, min_ch
             keep = pa.array([within(x, y, tau) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield batch.select(["l1", "l2"]).filter(keep)
 
-    found = materialize(pairs.select("l1", "l2", "x", "y").mapInArrow(verify, "l1 long, l2 long").distinct(), "near")
+    found = materialize(map_arrow(pairs.select("l1", "l2", "x", "y"), verify, "l1 long, l2 long").distinct(), "near")
 
     # lines unlike their hash's first one, against all others before them
     left = rows.filter("m > 2 AND NOT first").join(found.withColumn("gone", F.lit(True)), ["l1", "l2"], "left").withColumn("open", F.col("gone").isNull())
@@ -281,4 +281,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
             cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(n)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

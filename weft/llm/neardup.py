@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import chunks, materialize, mix64, texts_of
+from weft.llm.common import chunks, map_arrow, materialize, mix64, texts_of
 from weft.llm.linkage import components
 
 REGISTERS, ROWS, BUCKETS, FUNCTIONS = 512, 8, 16, 32
@@ -268,7 +268,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([sketch(s) for s in sets], pa.binary())], names=["id", "n", "f1", "f2", "sketch"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, SKETCHES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), run, SKETCHES)
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def bands(nodes: DataFrame) -> DataFrame:
                         keys = band_keys(np.stack([of_kind(data[i].as_py(), sizes[i], kind) for i in rows]), kind)
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(ids[rows], BANDS), pa.int64())], names=["key", "id"])
 
-    return nodes.select("id", "n", "sketch").mapInArrow(run, "key long, id long")
+    return map_arrow(nodes.select("id", "n", "sketch"), run, "key long, id long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -302,7 +302,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "n", "sketch", "set"]
                 )
 
-    return rows.mapInArrow(run, "id long, n long, sketch binary, set binary")
+    return map_arrow(rows, run, "id long, n long, sketch binary, set binary")
 
 
 def pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +320,8 @@ def pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb")
+    return map_arrow(both, run, "a long, b long")
 
 
 def rest_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.common import scratch_path
+from weft.llm.common import map_arrow, scratch_path
 
 K = 10
 SCALE = 1024
@@ -181,7 +181,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                         names=["query_id", "query_no", "vec_id", "score"],
                     )
 
-        found = rows.mapInArrow(run, RESULT)
+        found = map_arrow(rows, run, RESULT)
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank").write.mode("append").parquet(out)
         sent.unpersist()
     merged = spark.read.schema(RESULT).parquet(out)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.common import texts_of
+from weft.llm.common import map_arrow, texts_of
 
 MAGIC = b"WMX1"
 BLOCK = 512
@@ -297,23 +297,16 @@ def build_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            at = 0
-            while at < len(texts):
-                size, stop = 0, at
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 500_000):
-                    size += len(texts[stop])
-                    stop += 1
-                for d, m in zip(doc_ids[at:stop], words.encode(texts[at:stop]), strict=True):
-                    ids.append(d)
-                    made.append(m + end)
-                    held += len(made[-1]) // 4
-                    if held >= shard_tokens:
-                        yield shard()
-                at = stop
+            for d, m in zip(doc_ids, words.encode(texts), strict=True):
+                ids.append(d)
+                made.append(m + end)
+                held += len(made[-1]) // 4
+                if held >= shard_tokens:
+                    yield shard()
         if ids:
             yield shard()
 
-    return rows.mapInArrow(run, SHARD_SCHEMA)
+    return map_arrow(rows, run, SHARD_SCHEMA)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
@@ -350,5 +343,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     {"part": pa.repeat(batch.column(0)[k], m.docs), "seq": pa.repeat(batch.column(1)[k], m.docs), "doc_id": pa.array(m.doc_ids(), pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(m.lengths), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    rows = shards.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(shards.select("part", "seq", "image"), run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(shard_starts(shards), ["part", "seq"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
