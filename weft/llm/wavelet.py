@@ -44,8 +44,8 @@ BLOCK = 512
 #: A shard is closed once it holds this many ids; one longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
 #: Words, and cores of words, whose ids a worker remembers; beyond it that memory starts anew.
-MEMO_WORDS = 200_000
-MEMO_CORES = 300_000
+MEMO_WORDS = 400_000
+MEMO_CORES = 400_000
 SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, image binary"
 
 #: A run of Latin letters and one of ASCII punctuation: what the pre-tokeniser parts in two.
