@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id, kept: a row for each row of docs."""
     made = materialize(sketches(docs, id_col, text_col, width), "sketches", compression="none")
     known = made.filter("id IS NOT NULL AND n > 0")
-    member = known.groupBy("f1", "f2").agg(F.min("id").alias("node"))
+    # a table of its own, so that the joins with it read plain exchanges and a hot group of copies can be split
+    member = materialize(known.groupBy("f1", "f2").agg(F.min("id").alias("node")), "member")
     # one row a node: an id that repeats with other texts stays one node for each of them in the bands
     nodes = known.join(member.withColumnRenamed("node", "id"), ["f1", "f2", "id"]).dropDuplicates(["f1", "f2"])
     nodes = materialize(nodes.select("id", "n", "sketch"), "nodes", compression="none")
@@ -366,13 +367,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = crowded.select("key", "id", "m").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     more = materialize(rest_links(placed.join(apart, "key"), sets, percent), "more")
-    # rows with the same id are one node, whatever their texts
-    joined = components(links.union(more).union(comps.select("node", "comp")))
-    member = known.select("id", "f1", "f2").join(member, ["f1", "f2"]).select("id", "node").filter("id <> node")
-    twice = member.groupBy("id").agg(F.count_distinct("node").alias("k")).filter("k > 1")
+    joined = links.union(more).union(comps.select("node", "comp"))
+    # rows with the same id are one node, whatever their texts: where an id has several sets, their nodes are linked
+    twice = known.groupBy("id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo < hi").select("id")
     if not twice.isEmpty():
-        joined = components(joined.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(member))
-    out = made.select("id", "n", "f1", "f2").join(known.groupBy("f1", "f2").agg(F.min("id").alias("node")), ["f1", "f2"], "left")
+        own = known.join(twice, "id").join(member, ["f1", "f2"]).select("id", "node").distinct()
+        joined = joined.union(own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
+    joined = components(joined)
+    out = made.select("id", "n", "f1", "f2").join(member, ["f1", "f2"], "left")
     out = out.withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).otherwise(F.col("id")))
     out = out.join(joined, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
