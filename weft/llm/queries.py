@@ -89,6 +89,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op7_chat_windows": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+          UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        e AS (
+          SELECT *, '<s>[INST]' || regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')
+            || '[/INST]' || regexp_replace(regexp_replace(replace(body, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') || '</s>' AS shown FROM t),
+        k AS (SELECT *, CAST(ceil(strlen(shown) / 4) AS BIGINT) AS tokens FROM e),
+        p AS (
+          SELECT *, row_number() OVER w AS pos, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS upto,
+            first_value(CASE WHEN role = 'system' THEN shown END) OVER w AS sys, first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER w AS sys_tokens
+          FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body)),
+        c AS (SELECT *, upto - tokens AS since, greatest(2048 - 256 - sys_tokens, 512) AS step FROM p),
+        g AS (SELECT *, floor((upto - 1) / step) * 2 + CAST(since >= floor((upto - 1) / step) * step AS INTEGER) AS part FROM c),
+        o AS (
+          SELECT *, coalesce(lag(part) OVER (PARTITION BY conv_id ORDER BY pos) <> part, FALSE) AS opens,
+            sum(CASE WHEN pos > 1 OR sys IS NULL THEN length(shown) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY since RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING) AS history FROM g)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY pos)) AS turns_sha256,
+          length(coalesce(string_agg(body, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_chars,
+          sha256(coalesce(string_agg(body, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(length(shown) + CASE WHEN opens THEN coalesce(length(sys), 0) + coalesce(history, 0) ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM o GROUP BY conv_id
+    """,
+    "op8_hyperminhash": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        x AS (SELECT doc_id, unnest(s) AS g FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS d, doc_id AS o FROM n UNION SELECT r.d, e.b FROM r JOIN e ON r.o = e.a),
+        m AS (SELECT d, min(o) AS o FROM r GROUP BY d)
+        SELECT n.doc_id, n.n AS n_shingles, m.o AS component_id, m.o = n.doc_id AS kept FROM n JOIN m ON m.d = n.doc_id
+    """,
     "op10_maxscore_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
