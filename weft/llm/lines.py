@@ -36,7 +36,7 @@ from weft.llm.common import chunks, map_arrow, materialize, mix64, texts_of, wit
 TAU = 2
 MIN_CHARS = 30
 #: Lines of a hash that are compared in one group.
-BLOCK = 2048
+BLOCK = 256
 #: Rows (of some 10 bytes a piece and line numbers) that may be broadcast; beyond it joins shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -59,10 +59,6 @@ def lines_of(text: str) -> list[str]:
     return [x.strip() for x in text.split("\n")]
 
 
-def text_mark(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def line_marks(lines: list[str]) -> np.ndarray:
     """Two signed 64-bit integers for each line."""
     data = b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines)
@@ -148,21 +144,20 @@ def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            ids, texts, hashes = batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 d, f, no, kept = [], [], [], []
                 for i in range(a, b):
-                    mark = text_mark(texts[i])
                     for n, x in enumerate(lines_of(texts[i])):
                         if len(x) >= min_chars:
                             d.append(ids[i])
-                            f.append(mark)
+                            f.append(hashes[i])
                             no.append(n)
                             kept.append(x)
                 marks = line_marks(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(d, pa.int64()), pa.array(f, pa.int64()), pa.array(no, pa.int32())], names=["l1", "l2", "d", "f", "line"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "l1 long, l2 long, d long, f long, line int")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)), run, "l1 long, l2 long, d long, f long, line int")
 
 
 def _signed(docs: DataFrame, text_col: str, min_chars: int, tau: int) -> DataFrame:
@@ -185,15 +180,14 @@ def _fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     by_doc = wanted.groupBy("d", "f").agg(F.collect_list(F.struct("line", "l1", "l2")).alias("want"))
     by_doc = materialize(by_doc, "wanted")
     small = by_doc.count() <= MAX_BROADCAST
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(by_doc) if small else by_doc, F.col("id").eqNullSafe(F.col("d"))).select("d", "f", "want", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("f"))
+    rows = rows.join(F.broadcast(by_doc) if small else by_doc, same).select("d", "f", "want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [] for k in ("l1", "l2", "d", "f", "line", "x")}
             for d, f, want, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if text_mark(text or "") != f:
-                    continue
                 lines = lines_of(text or "")
                 for w in want:
                     for k, v in (("l1", w["l1"]), ("l2", w["l2"]), ("d", d), ("f", f), ("line", w["line"]), ("x", lines[w["line"]])):
@@ -229,10 +223,11 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, min_ch
 
     # lines unlike their hash's first one, against all others before them
     left = rows.filter("m > 2 AND NOT first").join(found.withColumn("gone", F.lit(True)), ["l1", "l2"], "left").withColumn("open", F.col("gone").isNull())
-    open_sigs = left.filter("open").select("sig").distinct()
+    open_sigs = materialize(left.filter("open").select("sig").distinct(), "open")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("l1", "l2"), parts).cast("int")
-    left = left.join(open_sigs, "sig").withColumn("own", own)
+    # where few hashes are left, their lines needn't meet by hash before they are dealt to blocks
+    left = left.join(F.broadcast(open_sigs) if open_sigs.count() <= MAX_BROADCAST else open_sigs, "sig").withColumn("own", own)
     blocks = F.when(F.col("open"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own"))
     left = left.select("sig", "l1", "l2", "at", "open", "own", F.explode(blocks).alias("block")).join(texts, ["l1", "l2"])
 
@@ -262,9 +257,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     """docs with the texts less their dropped lines, plus n_lines and n_dropped."""
     base = without(docs, "n_lines", "n_dropped")
     drop = materialize(dropped_lines(docs, id_col, text_col, min_chars, tau), "drop")
-    drop = drop.groupBy("d").agg(F.collect_list(F.struct("f", "drop")).alias("__drop")).withColumnRenamed("d", "__d")
+    drop = drop.toDF("__d", "__f", "__drop")
     small = drop.count() <= MAX_BROADCAST
-    rows = base.join(F.broadcast(drop) if small else drop, F.col(id_col).cast("long").eqNullSafe(F.col("__d")), "left").drop("__d")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text_col) == F.col("__f"))
+    rows = base.join(F.broadcast(drop) if small else drop, same, "left").drop("__d", "__f")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at, n, names = base.columns.index(text_col), len(base.columns), schema.names
 
@@ -273,8 +269,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
             texts, drops, lines, gone = batch.column(at).to_pylist(), batch.column(n).to_pylist(), [], []
             for i, (text, drop) in enumerate(zip(texts, drops, strict=True)):
                 lines.append(0 if text is None else text.count("\n") + 1)
-                mark = text_mark(text) if drop and text is not None else None
-                out = {n for x in drop or () if x["f"] == mark for n in x["drop"]}
+                out = set(drop or ())
                 if out:
                     texts[i] = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in out)
                 gone.append(len(out))
