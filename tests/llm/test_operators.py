@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from weft.llm import chat, decontaminate, html_text, language_id, lines, neardup, pii, spm, topk, wavelet
@@ -259,9 +260,14 @@ def test_banded_distance():
         assert lines.within(a, b, k) == (distance(a, b) <= k)
 
 
+def spark_hash(text):
+    value = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return value - (value >= 2**63) * 2**64
+
+
 def dedup_by_force(docs, min_chars, tau):
     seen, out = [], {}
-    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, lines.text_mark(r[1] or ""))):
+    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]))):
         if (d, t) in out:
             continue
         keep = []
@@ -431,7 +437,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
             for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
                 own[rng.randrange(len(own))] = f"w{rng.randrange(4000)}"
             docs.append((d := d + 1, " ".join(own)))
-    docs += [(500, None), (501, ""), (502, None), (503, "Solo"), (504, "solo "), (None, docs[0][1]), (None, docs[0][1]), (3, docs[2][1]), (4, docs[60][1])]
+    docs += [(500, None), (501, ""), (502, None), (503, "Solo"), (504, "solo "), (None, docs[0][1]), (None, docs[0][1]), (3, docs[2][1]), (4, docs[60][1]), (80, docs[9][1]), (80, docs[30][1])]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit("clash"))
     want = groups_by_force(docs, 4, 80)
