@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WORD = re.compile("[a-z]{2,}")
+#: Query terms that may be sent to every task; more are joined by shuffle.
+MAX_TERMS = 500_000
 
 
 def postings(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
-    """doc, term, tf and the document's length in tokens."""
-    rows = docs.select(F.col(id_col).alias("doc"), tokens.alias("t"))
+    """doc, term, tf and the document's length in tokens. Dealt by document once, so that sums by document need no further shuffle."""
+    rows = docs.repartition(F.col(id_col)).select(F.col(id_col).alias("doc"), tokens.alias("t"))
     return rows.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
 
 
@@ -49,11 +51,13 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_tokens, query_tokens, doc_id:
     posts = postings(docs, doc_tokens, doc_id) if posts is None else posts
     size = corpus(docs, doc_tokens)
     terms = query_terms(queries, query_tokens, query_id)
-    weights = idf(posts, size).join(terms.select("term").distinct(), "term", "left_semi")
+    small = F.broadcast if terms.count() <= MAX_TERMS else (lambda x: x)
+    wanted = small(terms.select("term").distinct())
+    weights = small(idf(posts, size).join(wanted, "term").join(small(terms), "term").select("term", "query", (F.col("idf") * F.col("times")).alias("weight")))
     tf = F.col("tf").cast("double")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = posts.join(weights, "term").join(F.broadcast(size.select("avgdl"))).select("doc", "term", part.alias("part"))
-    return scored.join(terms, "term").groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    scored = posts.join(weights, "term").join(F.broadcast(size.select("avgdl"))).select("query", "doc", part.alias("part"))
+    return scored.groupBy("query", "doc").agg(F.sum("part").alias("score"))
 
 
 def overlap(docs: DataFrame, queries: DataFrame, doc_terms, query_terms_, doc_id: str, query_id: str) -> DataFrame:
