@@ -309,6 +309,13 @@ def test_line_dedup_blocks_of_a_crowded_segment(spark, monkeypatch):
     assert [d for d, t in got.items() if not t] and sorted(d for d, t in got.items() if not t) == [20 + i for i in range(9)]
 
 
+def test_line_dedup_drops_exact_repeats_of_short_lines(spark):
+    long = "A line that is long enough for the edit join"
+    docs = [(1, f"Les.\nLet.\nab\n\n{long}"), (2, f"  Les. \nab\n\nNew.\n{long}!"), (3, "Les.\nLes.\nabc\nab"), (4, "abc")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 5, 0), 2: ("ab\n\nNew.", 5, 2), 3: ("abc\nab", 4, 2), 4: ("", 1, 1)}
+
+
 # decontamination
 
 

@@ -2,9 +2,10 @@
 
 Lines are what line feeds part, less white space at their ends. A line of at least MIN_CHARS
 characters is dropped if an earlier one (by document id, then by line) of at least that many is
-within TAU edits of it, whether or not the earlier one is dropped itself; shorter lines stay.
+within TAU edits of it, whether or not the earlier one is dropped itself; a shorter line of at
+least EXACT_CHARS characters is dropped if an earlier one equals it; others stay.
 
-Lines that are equal meet by a 128-bit hash, and all but the first go. The others are joined by
+Lines that are equal meet by a 128-bit hash, and all but the first go. The long ones are joined by
 segments: a line of length l is split into TAU + 1 segments, of which two lines within TAU
 edits share one, at a place that the lengths narrow down. Each distinct line sends its own
 segments and, for each length up to TAU less than its own, the substrings that could equal a
@@ -35,6 +36,8 @@ from weft.llm.common import chunks, map_arrow, materialize, mix64, texts_of, wit
 
 TAU = 2
 MIN_CHARS = 30
+#: Shorter lines than MIN_CHARS go as exact repeats only, from this length on.
+EXACT_CHARS = 3
 #: Lines of a hash that are compared in one group.
 BLOCK = 256
 #: Rows (of some 10 bytes a piece and line numbers) that may be broadcast; beyond it joins shuffle.
@@ -242,9 +245,9 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, min_ch
     return found.union(more).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, tau: int = TAU) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, tau: int = TAU, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """d, f (id and text hash) and the numbers of the lines to drop, for each document that has any."""
-    places = materialize(_places(docs, id_col, text_col, min_chars), "places")
+    places = materialize(_places(docs, id_col, text_col, min(exact_chars, min_chars)), "places")
     firsts = places.groupBy("l1", "l2").agg(F.min(F.struct("d", "f", "line")).alias("p")).select("l1", "l2", "p.*")
     firsts = materialize(firsts, "firsts")
     near = materialize(_near(docs, firsts, id_col, text_col, min_chars, tau), "nearby")
@@ -253,10 +256,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("d", "f").agg(F.collect_set("line").alias("drop"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, tau: int = TAU) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, tau: int = TAU, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with the texts less their dropped lines, plus n_lines and n_dropped."""
     base = without(docs, "n_lines", "n_dropped")
-    drop = materialize(dropped_lines(docs, id_col, text_col, min_chars, tau), "drop")
+    drop = materialize(dropped_lines(docs, id_col, text_col, min_chars, tau, exact_chars), "drop")
     drop = drop.toDF("__d", "__f", "__drop")
     small = drop.count() <= MAX_BROADCAST
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text_col) == F.col("__f"))
