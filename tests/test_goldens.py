@@ -195,6 +195,19 @@ def test_markdown_sections(spark):
     assert check["aligned"]
 
 
+def test_manuals_keep_whole_lines(spark, tmp_path):
+    from weft.plans import texts
+
+    long = "A single line with " + "many more words than a heading holds " * 9 + "and an end"
+    spark.createDataFrame([(1, long), (2, "\n".join(f"line {i} {long}" for i in range(7))), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    body = {(r["product"], r["section_id"]): r["text"] for r in sections.sections(texts.manuals(spark, str(tmp_path))).collect()}
+    part = lambda a, b: "\n".join(f"line {i} {long}" for i in range(a, b))
+    assert body == {(1, 0): long, (2, 0): part(0, 5), (2, 1): part(5, 7)}
+    rows = {(r["product"], r["section_id"]): (r["heading"], r["char_len"]) for r in texts.markdown_sections(spark, str(tmp_path)).collect()}
+    assert rows[1, 0] == ("(前言)", len(long)) and rows[2, 1] == (f"line 5 {long}"[:40].strip(), len(part(5, 7)))
+    assert {r["product"]: r["total_chars"] for r in texts.section_catalog(spark, str(tmp_path)).collect()} == {1: len(long), 2: len(part(0, 5)) + len(part(5, 7))}
+
+
 def test_text_cleaning(spark):
     assert one(spark, tx.strip_markdown(F.lit("# T\n- **b** `c`\n1. *i*\n> q\\*"))) == "T\nb c\n1. i\nq*"
     assert one(spark, tx.redact_contacts(F.lit("see https://a.b/c or x@y.org call 13812345678 官网"))).split() == ["see", "or", "call"]

@@ -11,9 +11,10 @@ from weft.plans.catalog import query, table
 
 
 def manuals(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as Markdown manuals: every fifth line becomes a heading of level 1 to 3 (synthetic)."""
+    """Documents as Markdown manuals: before every fifth line stands a heading of level 1 to 3 (synthetic), the line's first characters; all lines stay whole."""
     lines = F.split("text", "\n")
-    marked = F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), 1 + F.pmod(i / 5, F.lit(3)).cast("int")), F.lit(" "), F.left(F.regexp_replace(x, r"\s+", " "), F.lit(40)))).otherwise(x))
+    heading = lambda x, i: F.concat(F.repeat(F.lit("#"), 1 + F.pmod(i / 5, F.lit(3)).cast("int")), F.lit(" "), F.left(F.regexp_replace(x, r"\s+", " "), F.lit(40)))
+    marked = F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(heading(x, i), F.lit("\n"), x)).otherwise(x))
     return table(spark, d, "documents").select(F.col("doc_id").alias("product"), F.array_join(marked, "\n").alias("text"))
 
 
