@@ -356,6 +356,21 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.clean(odd(spark), it).count() == len(ODD)
 
 
+def test_decontamination_allows_a_tenth():
+    """Items of m characters are found up to m // 10 edits, whatever their length, and no further."""
+    rng = random.Random(12)
+    for letters, sizes in (("abcdefghij ", (20, 23, 24, 60, 81, 120, 394)), ("ab", range(20, 90, 3))):
+        items = [decontaminate.folded("x" + "".join(rng.choice(letters) for _ in range(m - 2)) + "y").ljust(m, "z") for m in sizes]
+        matcher, exact = decontaminate.Matcher(items), 0
+        for n, item in enumerate(items):
+            for edits in (0, len(item) // 10, len(item) // 10, len(item) // 10 + 1):
+                text = decontaminate.folded("".join(rng.choice(letters) for _ in range(30)) + changed(rng, item, edits, letters) + "".join(rng.choice(letters) for _ in range(30)))
+                best = {i: decontaminate.nearest(decontaminate.masks(x), len(x), text) for i, x in enumerate(items)}
+                assert dict(matcher.search(text)) == {i: e for i, e in best.items() if e <= len(items[i]) // 10}
+                exact += best[n] == len(item) // 10
+        assert exact > len(items) / 2
+
+
 # chat
 
 

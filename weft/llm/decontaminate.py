@@ -1,10 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are lower-cased and their white space is folded to single blanks. An item of m
-characters may differ by k = min(m * RATE, m / PIECE - 1) edits, rounded down and at least 0.
-It is split into k + 1 even pieces, so any passage within k edits holds one piece unchanged.
-An Aho-Corasick automaton of all pieces finds these in every whole text; around each hit the
-window that the whole item could fill is searched with Myers' bit-parallel distance.
+characters may differ by k = m * RATE edits, rounded down. It is split into k + 1 even pieces
+(of 6 to 10 characters at a RATE of 0.1), so any passage within k edits holds one piece unchanged.
+An Aho-Corasick automaton of all pieces finds these in every whole text. Around each hit the
+groups of 2, 4, 8, .. neighbouring pieces that the piece is in are searched for, then the whole
+item, with Myers' bit-parallel distance. Of g pieces at most g - 1 edits are allowed: if a group
+is within that, so is one of its halves, down to a piece without edits, so no passage is lost.
 
 Items go to the tasks in blocks of at most BLOCK_CHARS characters.
 
@@ -28,7 +30,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weft.llm.common import map_arrow, texts_of, without
 
 RATE = 0.1
-PIECE = 12
 SHORT = 20
 BLOCK_CHARS = 500_000
 
@@ -38,7 +39,7 @@ def folded(text: str) -> str:
 
 
 def budget(item: str, rate: float = RATE) -> int:
-    return max(0, min(int(len(item) * rate), len(item) // PIECE - 1))
+    return max(0, min(int(len(item) * rate), len(item) - 1))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -47,6 +48,20 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b <= n]
 
 
+def groups(item: str, k: int) -> list[list[tuple[int, int, int, str]]]:
+    """For each piece the groups it is in, less the whole item: characters before and behind the piece's start, edits, text."""
+    cuts, out = [len(item) * i // (k + 1) for i in range(k + 2)], []
+    for i in range(k + 1):
+        own, g = [], 2
+        while g <= k:
+            a, b = i // g * g, min(i // g * g + g, k + 1)
+            if b - a > g // 2:  # else it is the group before
+                own.append((cuts[i] - cuts[a], cuts[b] - cuts[i], b - a - 1, item[cuts[a] : cuts[b]]))
+            g *= 2
+        out.append(own)
+    return out
+
+
 def masks(pattern: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -87,14 +102,14 @@ class Matcher:
         self.items = [folded(t) for t in items]
         self.k = [budget(t, rate) for t in self.items]
         self.short: dict[str, list[int]] = {}
-        self.peq: dict[int, dict[str, int]] = {}
-        found: dict[str, list[tuple[int, int]]] = {}
+        self.peq: dict[str, dict[str, int]] = {}
+        found: dict[str, list[tuple[int, int, list]]] = {}
         for n, (t, k) in enumerate(zip(self.items, self.k, strict=True)):
             if 0 < len(t) < SHORT:
                 self.short.setdefault(t, []).append(n)
             elif t:
-                for at, piece in pieces(t, k):
-                    found.setdefault(piece, []).append((n, at))
+                for (at, piece), above in zip(pieces(t, k), groups(t, k), strict=True):
+                    found.setdefault(piece, []).append((n, at, above))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -102,6 +117,12 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(found)
 
+    def nearest(self, pattern: str, text: str) -> int:
+        peq = self.peq.get(pattern)
+        if peq is None:
+            peq = self.peq[pattern] = masks(pattern)
+        return nearest(peq, len(pattern), text)
+
     def search(self, text: str) -> list[tuple[int, int]]:
         """(item, distance) of each item that some part of the text matches."""
         text = folded(text)
@@ -109,23 +130,23 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         if self.any:
             for end, (size, places) in self.automaton.iter(text):
-                for n, at in places:
-                    start = end + 1 - size - at
+                hit = end + 1 - size
+                for n, at, above in places:
+                    if any(self.nearest(part, text[max(0, hit - left - e) : hit + right + e]) > e for left, right, e, part in above):
+                        continue
+                    start = hit - at
                     a, b = max(0, start - self.k[n]), start + len(self.items[n]) + self.k[n]
                     own = spans.setdefault(n, [])
                     own.append([a, b])
         for n, own in spans.items():
             own.sort()
             best, m, k = len(self.items[n]), len(self.items[n]), self.k[n]
-            peq = self.peq.get(n)
-            if peq is None:
-                peq = self.peq[n] = masks(self.items[n])
             a, b = own[0]
             for x, y in [*own[1:], [len(text) + 1 + m, 0]]:
                 if x <= b:
                     b = max(b, y)
                     continue
-                best = min(best, nearest(peq, m, text[a:b]))
+                best = min(best, self.nearest(self.items[n], text[a:b]))
                 if not best:
                     break
                 a, b = x, y
