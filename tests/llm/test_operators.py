@@ -224,6 +224,20 @@ def test_wrapper_drops_what_a_host_repeats(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_is_not_decided_by_one_odd_page(spark):
+    page = lambda i, *left_out: "<body>" + "".join(x for k, x in enumerate(["<div>Site of pumps</div>", f"<div><p>Story {i} about things</p></div>", "<div>All rights kept</div>"]) if k not in left_out) + "</body>"
+    url = lambda i: f"https://a.example.com/{i}"
+    for odd_page in (None, "", "<p>Error 500", page(77, 2)):
+        rows = [(0, url(0), odd_page)] + [(i, url(i), page(i)) for i in range(1, 13)]
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in range(1, 13)] == [f"Story {i} about things" for i in range(1, 13)]
+    # no page has all constant blocks
+    tags = "section h3 h4 h5 h6 pre blockquote ul ol dl center address".split()
+    rows = [(i, url(i), page(i)[:6] + "".join(f"<{t}>Part {t} of all</{t}>" for k, t in enumerate(tags) if k != i) + page(i)[6:]) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} about things" for i in range(12)}
+
+
 # line dedup
 
 

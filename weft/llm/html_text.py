@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 A page is parsed into a tree (implied end tags, raw text, void elements, broken nesting). Pages
-of one host are aligned, by simple tree matching, with the host's reference page, the one with
-the least id. Matched text blocks that read the same as the reference's in nearly all pages of
-the host, counting pages with different text only, are its template; blocks that vary are
-content. Marked-up roles come first: what stands in menus, headers, footers, asides, forms,
+of one host are aligned, by simple tree matching, with the host's reference pages. Matched text
+blocks that read the same as a reference's in nearly all pages of the host, counting pages with
+different text only, are its template; blocks that vary are content. The first reference is the
+page with the most of the texts that nearly all pages have in some block (then the least id);
+while it lacks some, a page with the most of these is one more, so one odd page decides nothing. Marked-up roles come first: what stands in menus, headers, footers, asides, forms,
 scripts, styles, adverts, notices or comments, by element, role, class or id, is left out, and
 if a page has an article (or else a main element) the text is what that holds. Where a page
 has neither, the varying blocks of its body are taken.
@@ -281,6 +282,11 @@ def _constant(root: Node, ref_texts: dict[int, str], pairs: list[tuple[Node, Nod
     return out
 
 
+def _mark(root: Node) -> int:
+    """A hash of a page's text before any template is known: pages with the same one count once."""
+    return int.from_bytes(hashlib.blake2b("\n".join(blocks(content_roots(root), set())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Reference:
     def __init__(self, page: str):
         self.root = parse(page)
@@ -302,36 +308,64 @@ def _aligned(cache: dict[str, Reference], ref: str, page: str):
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """host and ref: the html of each host's page with the least id; hosts with fewer than MIN_PAGES pages have none."""
-    best = F.min(F.struct("page", F.xxhash64("html").alias("mark"))).alias("best")
-    found = pages.filter("host <> ''").groupBy("host").agg(best, F.count("*").alias("m")).filter(F.col("m") >= MIN_PAGES)
-    found = found.select("host", F.col("best.page").alias("page"), F.col("best.mark").alias("mark"))
-    rows = pages.select("host", "page", "html", F.xxhash64("html").alias("mark"))
-    match = F.broadcast(found) if found.count() <= 100_000 else found
-    rows = rows.join(match.withColumnRenamed("host", "h").withColumnRenamed("page", "p").withColumnRenamed("mark", "k"), (F.col("host") == F.col("h")) & F.col("page").eqNullSafe(F.col("p")) & F.col("mark").eqNullSafe(F.col("k")))
-    return rows.select("host", F.col("html").alias("ref")).dropDuplicates(["host"])
+    """host, r and ref: hash and html of each host's reference pages; hosts with fewer than MIN_PAGES pages have none.
+
+    Each text that is looked for stands in a SHARE of the pages, so some page has that share of
+    them, and each round leaves a tenth of the last one's at most.
+    """
+    small = lambda df: F.broadcast(df) if df.count() <= 100_000 else df
+    hosts = materialize(pages.filter("host <> ''").groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_PAGES).select("host"), "hosts")
+    rows = pages.join(small(hosts), "host", "left_semi").select("host", "page", F.xxhash64("html").alias("r"), "html")
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("mark", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, keys = [], []
+            for page in batch.column(3).to_pylist():
+                root = parse(page)
+                marks.append(_mark(root))
+                texts = {t for x in numbered(root) if x.tag in BLOCKS and (t := own_text(x))}
+                keys.append([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+
+    held = materialize(map_arrow(rows, run, schema), "held")
+    total = held.select("host", "mark").distinct().groupBy("host").agg(F.count("*").alias("m"))
+    common = held.select("host", "mark", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    left = materialize(common.join(total, "host").filter((F.col("m") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("m"))).groupBy("host").agg(F.collect_set("key").alias("todo")), "common")
+    found = None
+    while not left.isEmpty():
+        rated = held.join(small(left), "host").select("host", F.struct((-F.size(F.array_intersect("keys", "todo"))).alias("hits"), "page", "r", F.array_except("todo", "keys").alias("rest")).alias("best"))
+        best = materialize(rated.groupBy("host").agg(F.min("best").alias("best")).select("host", "best.page", "best.r", "best.rest"), "best")
+        found = best.drop("rest") if found is None else found.unionByName(best.drop("rest"))
+        left = best.filter(F.size("rest") > 0).select("host", F.col("rest").alias("todo"))
+    if found is None:
+        return rows.select("host", "r", F.col("html").alias("ref")).limit(0)
+    match = small(found).toDF("h", "p", "k")
+    rows = rows.join(match, (F.col("host") == F.col("h")) & F.col("page").eqNullSafe(F.col("p")) & (F.col("r") == F.col("k")))
+    return rows.select("host", "r", F.col("html").alias("ref")).dropDuplicates(["host", "r"])
 
 
 def templates(pages: DataFrame, refs: DataFrame) -> DataFrame:
-    """host, nodes: the reference nodes that are the host's template, learned from all its pages."""
+    """host, r, nodes: the nodes of each reference that are the host's template, learned from all its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, Reference] = {}
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for host, page, ref in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "ref")), strict=True):
-                root, same = _aligned(cache, ref, page or "")
-                mark = int.from_bytes(hashlib.blake2b("\n".join(blocks(content_roots(root), set())).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                for node in [-1, *(r for r, _ in same)]:
-                    for column, value in zip(out, (host, node, mark), strict=True):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for host, page, r, ref in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "r", "ref")), strict=True):
+                root, same = _aligned(cache, ref, page)
+                mark = _mark(root)
+                for node in [-1, *(n for n, _ in same)]:
+                    for column, value in zip(out, (host, r, node, mark), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["host", "node", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["host", "r", "node", "mark"])
 
-    seen = map_arrow(pages.join(refs, "host").select("host", "html", "ref"), run, "host string, node int, mark long")
-    counts = seen.distinct().groupBy("host", "node").agg(F.count("*").alias("n"))
-    total = counts.filter("node = -1").select("host", F.col("n").alias("pages"))
-    fixed = counts.filter("node >= 0").join(total, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("pages")))
-    return fixed.groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    seen = map_arrow(pages.join(refs, "host").select("host", "html", "r", "ref"), run, "host string, r long, node int, mark long")
+    # written down, or the pages would be aligned once more for the totals
+    counts = materialize(seen.distinct().groupBy("host", "r", "node").agg(F.count("*").alias("n")), "counts")
+    total = counts.filter("node = -1").select("host", "r", F.col("n").alias("pages"))
+    fixed = counts.filter("node >= 0").join(total, ["host", "r"]).filter((F.col("pages") >= MIN_PAGES) & (F.col("n") >= SHARE * F.col("pages")))
+    return fixed.groupBy("host", "r").agg(F.collect_list("node").alias("nodes"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -339,11 +373,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = without(pages, "text", "n_chars") if html_col.lower() not in ("text", "n_chars") else pages
     kept = [c for c in base.columns if c != html_col]
     rows = base.select(*kept, F.col(html_col).alias("__html"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("__host"))
-    known = pages.select(F.col(id_col).alias("page"), F.col(html_col).alias("html"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"))
+    known = pages.select(F.col(id_col).alias("page"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"))
     refs = materialize(references(known), "references")
     size = refs.agg(F.sum(F.octet_length("ref"))).first()[0] or 0
     small = F.broadcast if size <= MAX_BROADCAST_BYTES else (lambda x: x)
-    learned = materialize(templates(known, small(refs)).join(refs, "host"), "templates")
+    learned = templates(known, small(refs)).join(refs, ["host", "r"]).groupBy("host").agg(F.collect_list(F.struct("ref", "nodes")).alias("wraps"))
+    learned = materialize(learned, "templates")
     rows = rows.join(small(learned.withColumnRenamed("host", "__h")), F.col("__host") == F.col("__h"), "left").drop("__h", "__host")
     schema = T.StructType([*base.select(*kept).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     names, n = schema.names, len(kept)
@@ -352,13 +387,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         cache: dict[str, Reference] = {}
         for batch in batches:
             texts = []
-            for page, nodes, ref in zip(*(batch.column(k).to_pylist() for k in ("__html", "nodes", "ref")), strict=True):
-                if nodes:
-                    root, same = _aligned(cache, ref, page or "")
-                    fixed = set(nodes)
-                    template = {p for r, p in same if r in fixed}
-                else:
-                    root, template = parse(page or ""), set()
+            for page, wraps in zip(*(batch.column(k).to_pylist() for k in ("__html", "wraps")), strict=True):
+                root, template = None, set()
+                for wrap in wraps or ():
+                    root, same = _aligned(cache, wrap["ref"], page or "")
+                    fixed = set(wrap["nodes"])
+                    template |= {p for r, p in same if r in fixed}
+                root = root or parse(page or "")
                 texts.append("\n".join(blocks(content_roots(root), template)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
