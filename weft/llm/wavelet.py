@@ -28,6 +28,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm.common import map_arrow, texts_of
+from weft.llm.memory import Memory
 
 MAGIC = b"WMX1"
 BLOCK = 512
 #: A shard is closed once it holds this many ids; one longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
-#: Words, and cores of words, whose ids a worker remembers; beyond it that memory starts anew.
-MEMO_WORDS = 400_000
-MEMO_CORES = 400_000
+#: Runs of punctuation whose ids a worker remembers.
+TAILS = 100_000
+#: Cores that are encoded in one text.
+GROUP = 64
 SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, image binary"
 
 #: A run of Latin letters and one of ASCII punctuation: what the pre-tokeniser parts in two.
@@ -54,18 +57,6 @@ PLAIN = re.compile(r"([A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-class Memory(dict):
-    """A dict that makes what is missing."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a tokenizer file; later tasks find its memory warm."""
     if path not in _ENCODERS:
@@ -93,37 +84,72 @@ class WordEncoder:
             spec = json.load(f)
         self.by_word = worded(spec)
         self.by_core = self.by_word and {"type": "Lowercase"} in (spec["normalizer"] or {}).get("normalizers", [])
-        self.model = self.tokenizer.model
+        suffix = spec["model"].get("end_of_word_suffix")
+        # cores are encoded many to a text, parted by blanks; a core ends with the one id that has the suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if self.by_core and suffix:
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = "".join(map(chr, range(0x80, 0x250)))
-        letters = "".join(map(chr, range(0x80, 0x250)))
         self.bytes = {ord(c): "".join(x for x, _ in shown.pre_tokenize_str(c)) for c in letters}
-        self.memo, self.cores, self.tails = Memory(self._word), Memory(self._core), Memory(self._library)
-        self.memo[""] = self.tails[""] = b""
+        self.tails: dict[str, bytes] = {"": b""}
+        self.memory = Memory(self._learn)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _core(self, core: str) -> bytes:
-        shown = core if core.isascii() else core.translate(self.bytes)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        m = PLAIN.fullmatch(word) if self.by_core else None
-        if m and (word.isascii() or "\u0130" not in word):
-            return self.cores[m[1].lower()] + self.tails[m[2]]
-        return self._library(word)
+    def _cores(self, cores: list[str]) -> dict[str, bytes]:
+        """Ids of runs of lower-case letters, by the model alone."""
+        found = {}
+        for k in range(0, len(cores), 64 * GROUP):
+            own = cores[k : k + 64 * GROUP]
+            shown = [c if c.isascii() else c.translate(self.bytes) for c in own]
+            texts = [" ".join(shown[i : i + GROUP]) for i in range(0, len(own), GROUP)]
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)), dtype="<u4")
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == len(own):
+                data, cuts = flat.tobytes(), [0, *(4 * ends).tolist()]
+                found.update(zip(own, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                found.update((c, array("I", self.bare.encode(x, add_special_tokens=False).ids).tobytes()) for c, x in zip(own, shown, strict=True))
+        return found
+
+    def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [w.decode("utf-8", "surrogatepass") for w in raw]
+        parts = [PLAIN.fullmatch(w) for w in words] if self.by_core else [None] * len(words)
+        parts = [(m[1].lower(), m[2]) if m and "\u0130" not in m[1] else None for m in parts]
+        other = [w for w, p in zip(words, parts, strict=True) if p is None]
+        others = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        cores, tails = self._cores(list({p[0] for p in parts if p})), self.tails
+        if len(tails) > TAILS:
+            tails = self.tails = {"": b""}
+        for t in {p[1] for p in parts if p}.difference(tails):
+            tails[t] = self._library(t)
+        made = [cores[p[0]] + tails[p[1]] if p else array("I", next(others).ids).tobytes() for p in parts]
+        return np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each text has."""
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), dtype="<u4"), np.array([len(x) for x in found], dtype=np.int64)
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b" ".join([b"", *raw, b""])
+        codes = np.frombuffer(data, dtype=np.uint8)
+        blank = (codes == 32) | (codes == 10)
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        ids, size = self.memory.encode(data, starts, ends)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return ids, np.diff(upto[np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers."""
-        if not self.by_word:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        for memory, most in ((self.memo, MEMO_WORDS), (self.cores, MEMO_CORES), (self.tails, MEMO_WORDS)):
-            if len(memory) > most:
-                memory.clear()
-                memory[""] = b""
-        get = self.memo.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        ids, size = self.encode_flat(texts)
+        data, cuts = ids.astype("<u4").tobytes(), np.cumsum([0, *(4 * size).tolist()]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def worded(spec: dict) -> bool:
@@ -280,27 +306,31 @@ def build_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     rows = rows.repartitionByRange("d").sortWithinPartitions("d", "t")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids, made, held = [], [], 0
+        ids, sizes, made, held = [], [], [], 0
 
         def shard():
-            nonlocal seq, ids, made, held
-            image = pack(ids, [len(m) // 4 for m in made], np.frombuffer(b"".join(made), dtype="<u4"))
+            nonlocal seq, ids, sizes, made, held
+            image = pack(ids, sizes, np.concatenate(made))
             out = pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first_doc": pa.array([ids[0]], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "image": pa.array([image], pa.binary())}
             )
-            seq, ids, made, held = seq + 1, [], [], 0
+            seq, ids, sizes, made, held = seq + 1, [], [], [], 0
             return out
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for d, m in zip(doc_ids, words.encode(texts), strict=True):
+            flat, size = words.encode_flat(texts)
+            flat = np.insert(flat, np.cumsum(size), end_id)
+            at = 0
+            for d, n in zip(doc_ids, (size + 1).tolist(), strict=True):
                 ids.append(d)
-                made.append(m + end)
-                held += len(made[-1]) // 4
+                sizes.append(n)
+                held += n
+                made.append(flat[at : at + n])
+                at += n
                 if held >= shard_tokens:
                     yield shard()
         if ids:
