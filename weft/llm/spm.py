@@ -8,9 +8,11 @@ library's threads.
 
 Where no piece holds a marker behind another character, pieces never cross the place before a
 run of markers, so a text's ids are those of its parts between such places; where no piece
-holds a line feed, it parts too. Each distinct part is then encoded once and checked against
-the sentencepiece library (parity); should one differ, the text takes SentencePiece's ids and
-is flagged. Models of another kind are encoded and checked by whole texts.
+holds a line feed, it parts too. Each distinct part, line feeds and what follows them included,
+is then encoded once, many parts to a text with line feeds between them: by the rebuilt
+tokenizer with its normaliser and by the sentencepiece library (parity), and decoded by the
+rebuilt decoder. Should a part's ids differ, its texts take SentencePiece's ids and are flagged.
+Models of another kind are encoded, checked and decoded by whole texts.
 
 Defined results: null and empty texts have no ids, decode to an empty text and are flagged as
 in parity; a literal U+2581 reads as a blank, so such a text doesn't come back the same (round
@@ -25,6 +27,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from weft.llm.common import append_columns, map_arrow
+from weft.llm.memory import Memory, gather
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 THREADS = 2
-#: Parts whose ids a worker remembers; beyond it that memory starts anew.
-MEMO = 100_000
+#: New parts that are encoded in one text.
+GROUP = 64
+#: Parts that may differ before texts are encoded and checked as a whole.
+MOST_ODD = 100_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -92,7 +98,7 @@ class Model:
     @property
     def parted(self) -> bool:
         """Whether texts can be encoded part by part."""
-        return self.kind == BPE and not self.charsmap and not self.squeeze and self.dummy_prefix and not any(re.search(f"[^{MARK}]{MARK}|\n", p) or k == USER for p, _, k in self.pieces if k != CONTROL)
+        return self.kind == BPE and self.byte_fallback and not self.charsmap and not self.squeeze and self.dummy_prefix and not any(re.search(f"[^{MARK}]{MARK}|\n", p) or k == USER for p, _, k in self.pieces if k != CONTROL)
 
 
 def rebuild(model: Model):
@@ -151,67 +157,92 @@ class Codec:
         self.tok = rebuild(self.model)
         self.spm = sentencepiece.SentencePieceProcessor(model_file=path)
         self.parted = self.model.parted
-        self.memo: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.memory = Memory(self._learn)
+        self.odd: set[bytes] = set()  # parts that the sentencepiece library encodes otherwise
+        self.bent: set[bytes] = set()  # parts that the rebuilt decoder doesn't give back
         # what each piece stands for: a byte, nothing, or its characters with blanks for markers
         shown = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode()}
         self.bytes = [shown.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, _, k in self.model.pieces]
-
-    def parts(self, text: str) -> list[str]:
-        """Normalised parts: each begins with a run of markers, or is a line feed or what follows one."""
-        if not text:
-            return []
-        whole = MARK + text.replace(" ", MARK)
-        if MARK + MARK in whole or whole[-1] == MARK:
-            return re.findall(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n", whole)
-        if "\n" in whole:
-            whole = whole.replace("\n", MARK + "\n" + MARK + MARK)  # the first parts, three mark the text behind it as unmarked
-            out = []
-            for line in whole.split(MARK + "\n" + MARK + MARK):
-                if out:
-                    out.append("\n")
-                if line:
-                    head, *rest = line.split(MARK)
-                    if head:
-                        out.append(head)
-                    out += [MARK + r for r in rest]
-            return out
-        return [MARK + r for r in text.split(" ")] if MARK not in text else re.findall(f"{MARK}+[^{MARK}]*", whole)
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts. The library would put a marker in front, so these go to the model as they are."""
-        norm, self.tok.normalizer = self.tok.normalizer, None
-        try:
-            mine = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-        finally:
-            self.tok.normalizer = norm
-        marked = [k for k, p in enumerate(parts) if p.startswith(MARK)]
-        theirs = dict(zip(marked, self.spm.encode([parts[k][1:].replace(MARK, " ") if len(parts[k]) > 1 else "" for k in marked], num_threads=THREADS), strict=True))
-        for k, (p, ids) in enumerate(zip(parts, mine, strict=True)):
-            if len(p) > 1 and k in theirs and theirs[k] != ids:
-                self.odd.add(p)
-            self.memo[p] = array("I", ids).tobytes()
+        self.width = np.array([1 if k == BYTE else len(p.encode()) for p, _, k in self.model.pieces], dtype=np.int64)
+
+    def parts(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes of all texts, the starts of their parts, and each text's first part.
+
+        A text has a blank put in front; a part is a run of blanks with what follows it up to the next
+        blank or line feed, a line feed, or what follows one.
+        """
+        raw = [b" " + t.replace(MARK, " ").encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = b"".join(raw)
+        begin = np.cumsum([0, *map(len, raw)])
+        codes = np.frombuffer(data, dtype=np.uint8)
+        blank, feed = codes == 32, codes == 10
+        cut = blank | feed
+        cut[1:] &= ~(blank[1:] & blank[:-1])
+        cut[1:] |= feed[:-1]
+        cut[begin[:-1][begin[:-1] < len(codes)]] = True
+        starts = np.flatnonzero(cut)
+        return data, starts, np.searchsorted(starts, begin)
+
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[str]]:
+        """Ids by the rebuilt tokenizer, ids by the sentencepiece library, and the first ones decoded."""
+        mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return mine, self.spm.encode(texts, num_threads=THREADS), self.tok.decode_batch(mine, skip_special_tokens=False)
+
+    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new parts, each behind a line feed and many in a text; the texts' ids are cut where the parts' bytes end."""
+        done = [self._some(parts[k : k + 20_000]) for k in range(0, len(parts), 20_000)]
+        return np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
+
+    def _some(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [(b"\n" + b"\n".join(parts[k : k + GROUP])).decode("utf-8", "surrogatepass") for k in range(0, len(parts), GROUP)]
+        mine, theirs, back = self._both(texts)
+        if mine == theirs and back == texts:
+            flat = np.fromiter(chain.from_iterable(mine), dtype=np.uint32)
+            ends = np.concatenate([[0], np.cumsum(self.width[flat])])
+            size = np.array([len(p) + (len(MARK.encode()) - 1) * p.count(b" ") for p in parts], dtype=np.int64)
+            ahead = np.ones(len(parts), dtype=np.int64)  # a line feed, and the marker in front of a text
+            ahead[::GROUP] += len(MARK.encode())
+            stop = np.cumsum(size + ahead)
+            a, b = np.searchsorted(ends, stop - size), np.searchsorted(ends, stop)
+            if ends[-1] == stop[-1] and (ends[a] == stop - size).all() and (ends[b] == stop).all():
+                return gather(flat, a, b - a), b - a
+        if len(parts) > 1:  # some part is odd: look for it
+            half = (len(parts) + 1) // 2
+            (x, m), (y, n) = self._some(parts[:half]), self._some(parts[half:])
+            return np.concatenate([x, y]), np.concatenate([m, n])
+        if len(self.odd) + len(self.bent) > MOST_ODD:
+            self.parted = False  # from the next texts on
+        if mine[0] != theirs[0]:
+            self.odd.add(parts[0])
+        if back[0] != texts[0]:
+            self.bent.add(parts[0])
+        lead = self.tok.encode("\n", add_special_tokens=False).ids
+        ids = np.array(mine[0][len(lead) :], dtype=np.uint32)
+        return ids, np.array([len(ids)])
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as unsigned 32-bit integers, and whether the sentencepiece library agrees."""
+        return self.checked(texts)[:2]
+
+    def checked(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Also whether the rebuilt decoder gives all parts of a text again."""
         if not self.parted:
-            mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            theirs = self.spm.encode(texts, num_threads=THREADS)
-            return [array("I", y).tobytes() for y in theirs], [x == y for x, y in zip(mine, theirs, strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo, self.odd = {}, set()
-        split = [self.parts(t) for t in texts]
-        new = list(set().union(*split).difference(self.memo))
-        for k in range(0, len(new), 20_000):
-            self._learn(new[k : k + 20_000])
-        get = self.memo.__getitem__
-        out, same = [b"".join(map(get, ps)) for ps in split], [True] * len(texts)
-        if self.odd:
-            for i, ps in enumerate(split):
-                if not self.odd.isdisjoint(ps):
-                    ids = array("I", self.spm.encode(texts[i])).tobytes()
-                    out[i], same[i] = ids, False
-        return out, same
+            mine, theirs, back = self._both(texts)
+            return [array("I", y).tobytes() for y in theirs], [x == y for x, y in zip(mine, theirs, strict=True)], [x == y for x, y in zip(back, texts, strict=True)]
+        data, starts, first = self.parts(texts)
+        ends = np.append(starts[1:], len(data))
+        ids, size = self.memory.encode(data, starts, ends)
+        cuts = 4 * np.concatenate([[0], np.cumsum(size)])[first]
+        flat = ids.astype("<u4").tobytes()
+        out = [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        same, whole = [True] * len(texts), [True] * len(texts)
+        if self.odd or self.bent:
+            for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+                own = {data[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)}
+                if not self.odd.isdisjoint(own):
+                    out[i], same[i] = array("I", self.spm.encode(texts[i])).tobytes(), False
+                whole[i] = self.bent.isdisjoint(own)
+        return out, same, whole
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of ids: the pieces' bytes, less the marker put in front."""
@@ -236,10 +267,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
             ids, same, back = [], [], []
             step = max(1, len(texts) * 400_000 // max(400_000, sum(map(len, texts))))
             for k in range(0, len(texts), step):
-                part, ok = own.encode(texts[k : k + step])
+                part, ok, whole = own.checked(texts[k : k + step])
                 ids += part
                 same += ok
-                back += [x == y for x, y in zip(own.decode(part), texts[k : k + step], strict=True)]
+                back += [w and x == y for w, x, y in zip(whole, own.decode(part), texts[k : k + step], strict=True)]
             counts = [len(x) // 4 for x in ids]
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
