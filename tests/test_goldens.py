@@ -311,3 +311,37 @@ def test_sources_round_trip(spark, tmp_path):
         tables.contained(str(tmp_path), "../x")
     with pytest.raises(Exception, match="repeated"):
         tables.require_unique(j, "k").collect()
+
+
+def test_allotment_is_the_surest_first():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        score, size = rng.normal(size=(rng.integers(1, 30), 6)).round(1), 6
+        room, want = [size] * 6, {}
+        for i in sorted(range(len(score)), key=lambda i: (score[i].min() - score[i].max(), i)):
+            want[i] = next(c for c in sorted(range(6), key=lambda c: (-score[i, c], c)) if room[c])
+            room[want[i]] -= 1
+        assert vectors.allotted(score, size).tolist() == [want[i] for i in range(len(score))]
+
+
+def test_tree_parents_quote_their_leaves():
+    turns = [(i, "user" if i % 2 else "assistant", f"更正 型号 AB-{i} told. " + "Some filler words here. " * 60) for i in range(1, 13)]
+    nodes = tree.build(turns, budget=800)
+    by_id = {x["node"]: x for x in nodes}
+    for x in nodes:
+        assert len(x["quotes"]) <= 8 and all(q.quote in by_id[q.leaf]["text"] for q in x["quotes"])
+        if x["level"]:
+            assert len(x["text"].encode()) <= 700 and x["quotes"][0].worth[0]  # the user's come first
+    assert all(by_id[x["parent"]]["level"] == x["level"] + 1 for x in nodes if x["parent"])
+
+
+def test_tree_of_a_long_session_is_a_forest(spark):
+    rows = [(1, i, "user", f"word{i} here") for i in range(tree.MESSAGES + 40)] + [(2, 0, "user", "alone"), (3, 0, None, None), (None, 0, "user", "x")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tree.session_trees(m).toPandas()
+    assert set(got["conv_id"]) == {1, 2} and (got[got["conv_id"] == 1]["level"] == 0).sum() == tree.MESSAGES + 40
+    assert got[(got["conv_id"] == 1) & got["parent"].isna()]["level"].max() > 0
+    q = spark.createDataFrame([(1, "word7"), (2, "nothing")], "conv_id long, question string")
+    assert tree.collapsed(tree.searched(m, q), 1).filter("conv_id = 1").first()["text"] == "word7 here"
+    assert tree.collapsed(tree.searched(m, q), 5).filter("conv_id = 2").count() == 1
+    assert tree.session_trees(m.limit(0)).count() == 0

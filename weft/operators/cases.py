@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import random
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The keys of a citation, the least part of a gold quote that counts, and what denies the value behind it (but for `not`, which the English cases need).
+CITATION, LEAST_QUOTE, DENIAL = {"turn_id", "role", "quote"}, 8, "不是|并非|非|not"
 CATEGORIES = ("goal", "identifier", "constraint", "correction", "symptom", "action", "unknown")
 TURNS = {"development": (40, 80), "test": (40, 40, 80, 80, 80, 160, 160, 160)}
 SCHEMA = """id string, category string, split string, family string, question string,
@@ -43,37 +47,72 @@ def problems(cases: DataFrame) -> DataFrame:
     return twice.union(leak).union(absent)
 
 
+def squeezed(text: str) -> str:
+    return re.sub(r"\s+", "", text).lower()
+
+
+class Gold:
+    """What a case asks of an answer, made ready once."""
+
+    def __init__(self, case: dict):
+        self.groups = [[squeezed(t) for t in g] for g in case["required"]]
+        self.forbidden = [squeezed(t) for t in case["forbidden"]]
+        # naming an old value in order to deny it is no fault where a correction is asked for
+        deniable = self.forbidden if case["category"] == "correction" else []
+        self.denials = [re.compile(f"(?:{DENIAL}){re.escape(t)}") for t in deniable]
+        self.answerable = case["answerable"]
+        self.said = {r["id"]: r["question"] for r in case["records"]}
+        self.quotes: dict[int, list[str]] = {}
+        for s in case["sources"]:
+            self.quotes.setdefault(s["turn_id"], []).append(s["quote"])
+
+    def stated(self, answer: str) -> bool:
+        """Whether a term of each group is there, and no forbidden one but in a denial."""
+        held = squeezed(answer)
+        rest = held
+        for d in self.denials:
+            rest = d.sub("", rest)
+        return not any(t in rest for t in self.forbidden) and all(map(lambda g: any(t in held for t in g), self.groups))
+
+    def sound(self, cited, visible: str) -> bool:
+        """Whether a citation quotes the user's words of a known turn, and ones that were visible."""
+        if type(cited) is not dict or cited.keys() != CITATION:
+            return False
+        turn, quote = cited["turn_id"], cited["quote"]
+        if cited["role"] != "user" or type(turn) is not int or type(quote) is not str or not quote.strip():
+            return False
+        return quote in self.said.get(turn, "") and quote in visible
+
+    def meets(self, cited: dict) -> bool:
+        """Whether a sound citation holds a gold quote, or eight characters or more of one."""
+        return any(q in cited["quote"] or len(cited["quote"]) >= LEAST_QUOTE and cited["quote"] in q for q in self.quotes.get(cited["turn_id"], ()))
+
+
 def score(value, case: dict, visible: str) -> dict:
-    """fact, citation, passed of an answer {answer, sources}: required groups, no forbidden term (denials aside), quotes seen and gold hit."""
-    none = {"fact": False, "citation": False, "passed": False}
-    if not isinstance(value, dict) or set(value) != {"answer", "sources"} or not isinstance(value["answer"], str) or not value["answer"].strip() or not isinstance(value["sources"], list):
-        return none
-    plain = lambda x: re.sub(r"\s+", "", x).lower()
-    answer = denied = plain(value["answer"])
-    if case["category"] == "correction":
-        for old in case["forbidden"]:
-            denied = re.sub(r"(?:不是|并非|非|not)" + re.escape(plain(old)), "", denied)
-    fact = all(any(plain(t) in answer for t in g) for g in case["required"]) and not any(plain(t) in denied for t in case["forbidden"])
-    said = {r["id"]: r["question"] for r in case["records"]}
-    valid, hit = bool(value["sources"]) == case["answerable"], not case["answerable"]
-    for c in value["sources"]:
-        if not (isinstance(c, dict) and set(c) == {"turn_id", "role", "quote"} and type(c["turn_id"]) is int and c["turn_id"] in said and c["role"] == "user" and isinstance(c["quote"], str) and c["quote"].strip() and c["quote"] in said[c["turn_id"]] and c["quote"] in visible):
-            valid = False
-            continue
-        hit |= any(c["turn_id"] == g["turn_id"] and (g["quote"] in c["quote"] or len(c["quote"]) >= 8 and c["quote"] in g["quote"]) for g in case["sources"])
-    return {"fact": fact, "citation": valid and hit, "passed": fact and valid and hit}
+    """fact, citation, passed of an answer {answer, sources}. Every citation must be sound, and one of them meet the gold; an unanswerable case wants none."""
+    fact = citation = False
+    if type(value) is dict and value.keys() == {"answer", "sources"} and type(value["sources"]) is list and type(value["answer"]) is str and value["answer"].strip():
+        gold, cited = Gold(case), value["sources"]
+        good = [c for c in cited if gold.sound(c, visible)]
+        fact = gold.stated(value["answer"])
+        citation = len(good) == len(cited) and (any(map(gold.meets, good)) if gold.answerable else not cited)
+    return {"fact": fact, "citation": citation, "passed": fact and citation}
 
 
 def scores(answers: DataFrame, cases: DataFrame) -> DataFrame:
-    """id, fact, citation, passed. answers: id, value (JSON text), visible."""
+    """id, fact, citation, passed. answers: id, value (JSON text; anything else fails), visible (null: nothing)."""
 
-    def rate(value, visible, case):
+    def parsed(text):
         try:
-            got = score(json.loads(value), case.asDict(recursive=True), visible or "")
-        except ValueError:
-            got = score(None, {}, "")
-        return (got["fact"], got["citation"], got["passed"])
-
-    run = F.udf(rate, "struct<fact: boolean, citation: boolean, passed: boolean>")
-    rows = answers.join(cases, "id")
-    return rows.select("id", run("value", "visible", F.struct(*cases.columns)).alias("s")).select("id", "s.*")
+            return json.loads(text)
+        except (TypeError, ValueError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            got = [score(parsed(r["value"]), r, r["visible"] or "") for r in rows]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([r["id"] for r in rows], pa.string()), **{k: pa.array([g[k] for g in got], pa.bool_()) for k in ("fact", "citation", "passed")}})
+
+    rows = answers.select("id", "value", "visible").join(cases, "id")
+    return rows.mapInArrow(run, "id string, fact boolean, citation boolean, passed boolean")

@@ -94,36 +94,53 @@ def index_aligned(index: DataFrame, manifest: DataFrame, id_col: str) -> DataFra
     return out.withColumn("aligned", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 
-def bounded_clusters(vectors: np.ndarray, size: int, rounds: int = 8) -> list[list[int]]:
-    """Spherical k-means with at most `size` members a cluster; seeds lie far apart, confident points choose first.
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def far_apart(vectors: np.ndarray, k: int) -> list[int]:
+    """k places, each the least like all before it; the first vector is the first."""
+    picked, nearest = [0], vectors @ vectors[0]
+    for _ in range(k - 1):
+        nearest[picked[-1]] = np.inf
+        picked.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, vectors @ vectors[picked[-1]])
+    return picked
+
 
-    Deterministic: the first vector seeds, ties go to the lower place.
+def allotted(score: np.ndarray, size: int) -> np.ndarray:
+    """The cluster of each point if every one asks for its best cluster, and clusters asked by more than `size` turn the least sure ones away to their next.
+
+    All clusters prefer the same points (those whose best and worst score lie furthest apart), so
+    the outcome doesn't depend on the order of asking: the surest point gets its first wish, and so on.
     """
-    n = len(vectors)
-    if not n:
+    n = len(score)
+    wishes = np.argsort(-score, axis=1, kind="stable")
+    standing = np.empty(n, np.int64)
+    standing[np.argsort(score.min(axis=1) - score.max(axis=1), kind="stable")] = np.arange(n)
+    wish = np.zeros(n, np.int64)
+    while True:
+        asked = wishes[np.arange(n), wish]
+        order = np.lexsort((standing, asked))
+        queue = np.arange(n) - np.searchsorted(asked[order], asked[order])
+        away = order[queue >= size]
+        if not len(away):
+            return asked
+        wish[away] += 1
+
+
+def bounded_clusters(vectors: np.ndarray, size: int, rounds: int = 8) -> list[list[int]]:
+    """Spherical k-means with at most `size` members a cluster; seeds lie far apart. Deterministic: ties go to the lower place."""
+    if not len(vectors):
         return []
-    k = -(-n // size)
-    seeds = [0]
-    near = vectors @ vectors[0]
-    while len(seeds) < k:
-        open_ = near.copy()
-        open_[seeds] = np.inf
-        seeds.append(int(open_.argmin()))
-        near = np.maximum(near, vectors @ vectors[seeds[-1]])
-    centres, groups = vectors[seeds], None
+    centres, groups = vectors[far_apart(vectors, -(-len(vectors) // size))], None
     for _ in range(rounds):
-        score = vectors @ centres.T
-        sure = score.max(axis=1) - score.min(axis=1)
-        members: list[list[int]] = [[] for _ in centres]
-        for i in np.lexsort((np.arange(n), -sure)):
-            for c in np.lexsort((np.arange(len(centres)), -score[i])):
-                if len(members[c]) < size:
-                    members[c].append(int(i))
-                    break
-        members = [sorted(m) for m in members if m]
-        if members == groups:
+        home = allotted(vectors @ centres.T, size)
+        _, home = np.unique(home, return_inverse=True)  # empty clusters go
+        if groups is not None and np.array_equal(home, groups):
             break
-        groups = members
-        means = np.array([vectors[m].mean(axis=0) for m in groups])
-        centres = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    return groups
+        groups = home
+        sums = np.zeros((home.max() + 1, vectors.shape[1]))
+        np.add.at(sums, home, vectors)
+        centres = unit_rows(sums / np.bincount(home)[:, None])
+    return [np.flatnonzero(groups == c).tolist() for c in range(groups.max() + 1)]

@@ -126,10 +126,6 @@ def streak_islands(spark: SparkSession, d: str) -> DataFrame:
     return sessions.streaks(table(spark, d, "events"), "user_id", "event_id", F.col("event_type")).select("user_id", "event_id", "streak")
 
 
-def trees(spark: SparkSession, d: str) -> DataFrame:
-    return tree.session_trees(table(spark, d, "conversations"))
-
-
 def questions(spark: SparkSession, d: str) -> DataFrame:
     last = sessions.last_n(table(spark, d, "conversations").filter("role = 'user'"), "conv_id", "turn", 1)
     return last.select("conv_id", F.col("text").alias("question"))
@@ -137,14 +133,14 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("session_tree")
 def session_tree(spark: SparkSession, d: str) -> DataFrame:
-    return trees(spark, d).drop("vec")
+    return tree.session_trees(table(spark, d, "conversations")).drop("vec")
 
 
 @query("tree_collapsed")
 def tree_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return tree.collapsed(tree.score_nodes(trees(spark, d), questions(spark, d))).select("conv_id", "node", "level", "score", "rank")
+    return tree.collapsed(tree.searched(table(spark, d, "conversations"), questions(spark, d))).select("conv_id", "node", "level", "score", "rank")
 
 
 @query("tree_traversal")
 def tree_traversal(spark: SparkSession, d: str) -> DataFrame:
-    return tree.traversed(tree.score_nodes(trees(spark, d), questions(spark, d))).select("conv_id", "node", "level", "score", "rank")
+    return tree.traversed(tree.searched(table(spark, d, "conversations"), questions(spark, d))).select("conv_id", "node", "level", "score", "rank")
