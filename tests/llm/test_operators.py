@@ -238,6 +238,79 @@ def test_wrapper_is_not_decided_by_one_odd_page(spark):
     assert got == {i: f"Story {i} about things" for i in range(12)}
 
 
+def matched_by_force(a, b):
+    """Simple tree matching as it is defined, without shapes, trimming or halving."""
+    if a.tag != b.tag:
+        return 0
+    best = [[0] * (len(b.elements) + 1) for _ in range(len(a.elements) + 1)]
+    for i, x in enumerate(a.elements, 1):
+        for j, y in enumerate(b.elements, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + matched_by_force(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_tree_matching_equals_brute_force(monkeypatch):
+    rng = random.Random(11)
+
+    def tree(depth):
+        return f"<{(t := rng.choice(['div', 'ul', 'b']))}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"</{t}>"
+
+    for cells in (html_text.CELLS, 3):
+        monkeypatch.setattr(html_text, "CELLS", cells)
+        shapes, memo = {}, {}
+        for _ in range(250):
+            a, b = html_text.parse(tree(3) + tree(3)), html_text.parse(tree(3) + tree(2))
+            pairs = []
+            assert html_text.align(a, b, pairs, shapes, memo) == matched_by_force(a, b) == len(pairs)
+            assert all(x.tag == y.tag for x, y in pairs) and len({x.index for x, _ in pairs}) == len({y.index for _, y in pairs}) == len(pairs)
+            order = sorted((x.index, y.index) for x, y in pairs)
+            assert [y for _, y in order] == sorted(y for _, y in order)
+
+
+def test_tree_matching_has_no_limits():
+    for rows in (190, 210, 900):
+        a = html_text.parse("<hr>" + "<p><b>x</b></p><div><i>y</i></div>" * rows + "<ul><li>a</ul>")
+        b = html_text.parse("<h2>t</h2>" + "<div><b>x</b></div><p><i>y</i></p>" * (rows // 2) + "<ul><li>b</ul>")
+        pairs = []
+        html_text.align(a, b, pairs)
+        assert any(x.tag == "li" and y.tag == "li" for x, y in pairs)
+    deep = lambda x: html_text.parse("<div>" * 400 + f"<p>{x}</p><ul><li>z</ul>" + "</div>" * 400)
+    pairs = []
+    assert html_text.align(deep("a"), deep("b"), pairs) == 404
+
+
+def test_wrapper_finds_the_content_without_any_marks(spark):
+    """Elements and classes that speak for themselves made plain: what the pages of a host share tells the content."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|article|footer|header|aside|main|form)(?=[ >])", "<$1div"), ' class="[^"]*"', ""))
+    texts = lambda df: {r["page_id"]: r["text"] for r in df.collect()}
+    want, got = texts(html_text.extract(pages)), texts(html_text.extract(plain))
+    assert got == want and all(want.values())
+    # without a host nothing is learned, and the prior alone takes the whole page
+    alone = texts(html_text.extract(plain.withColumn("url", F.lit(None).cast("string"))))
+    assert all(len(alone[k]) > len(want[k]) for k in want)
+
+
+def test_class_words_do_not_drop_article_text():
+    page = "<article><h1>T</h1><p class='share price'>one</p><p class='related-work'>two</p><div id='header-2'>three</div><section class='login-history'>four</section><math>a+b</math> <object>seen</object><xmp>5 < 6</xmp><div class='ads'>no</div></article>"
+    assert text_of(page) == "T\none\ntwo\nthree\nfour\na+b seen5 < 6"
+    assert text_of("<body><div class='login'>no</div><div id='header-2'>no</div><p>yes</p></body>") == "yes"
+
+
+def test_wrapper_takes_odd_pages_and_columns(spark):
+    page = lambda i: f"<body><div>Top of it</div><div><p>Story {i} of things</p></div></body>"
+    rows = [(i, f"https://a.example.com/{i}", page(i)) for i in range(9)] + [(20, "https://a.example.com/n", None), (21, "https://a.example.com/m", None), (22, "https://a.example.com/l", "<body><div>Top of it</div><div>" + "<p>word</p>" * 30_000 + "<div>" * 3000 + "deep</body>"), (3, "https://a.example.com/3", page(3))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "n_chars", "refs", "at", "__0"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "host", "refs", "at", "__0", "text", "n_chars"]
+    out = sorted(((r["page_id"], r["text"][:18], r["n_chars"]) for r in got.collect()))
+    assert out[:2] == [(0, "Story 0 of things", 17), (1, "Story 1 of things", 17)] and [r[0] for r in out].count(3) == 2
+    assert out[-3][1:] == out[-2][1:] == ("", 0) or [r[1:] for r in out if r[0] in (20, 21)] == [("", 0)] * 2
+    assert [r[2] for r in out if r[0] == 22] == [30_000 * 5 + 4]
+
+
 # line dedup
 
 
@@ -579,6 +652,46 @@ def test_messages_are_exact_on_a_chain():
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def test_messages_are_near_exact_on_a_loop():
+    """A word far back joined to two others closes a loop; with moderate weights loopy marginals stay near the true ones, and take the same label."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    worst = 0
+    for _ in range(20):
+        g = pii.Graph()
+        g.add(0, [(0, "5551234 22 5551234")], [])
+        assert g.skip == [(0, 2)] and len(g.chain) == 2
+        half = rng.normal(size=(5, 5)) * 0.5
+        f = pii.Field(rng.normal(size=(pii.FEATURES, 5)), rng.normal(size=(5, 5)) * 0.5, half + half.T)
+        got, pot = f.marginals(g, rounds=400, tolerance=1e-12), g.matrix() @ f.node
+        total = np.zeros((3, 5))
+        for y in itertools.product(range(5), repeat=3):
+            w = np.exp(sum(pot[i, k] for i, k in enumerate(y)) + f.chain[y[0], y[1]] + f.chain[y[1], y[2]] + f.skip[y[0], y[2]])
+            for i, k in enumerate(y):
+                total[i, k] += w
+        true = total / total.sum(axis=1, keepdims=True)
+        worst = max(worst, np.abs(got - true).max())
+    assert worst < 0.1
+
+
+def test_skip_edges_carry_labels(spark):
+    """Ablation: later mentions that no pattern finds are labelled through skip edges, and not without them."""
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    bare = pii.Field(field.node, field.chain, np.zeros_like(field.skip))
+
+    def added(f, text):
+        found = list(pii.hinted_lines(text))
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(f, [(found, pii.base_spans(found))], [text])[0]]
+
+    text = "Call +1 974 555 3436 now.\nA hundred words on.\nThat was 19745553436 again\nor order 88123456 and 12 apples"
+    far = "mail jo.doe@example.com now.\nlater on\nask jo.doe@example about it\nnot ann@example"
+    number = "Ring +49301234567 at noon\nwords\nor 0301234567 at night, in 2024"
+    assert added(field, number) == [("phone", "0301234567")] and added(bare, number) == []
+    assert ("email", "jo.doe@example") in added(field, far) and ("email", "jo.doe@example") not in added(bare, far)
+    assert all("88123456" not in t and "apples" not in t for _, t in added(field, text))
+
+
 # exact top-k
 
 
@@ -605,6 +718,19 @@ def test_top_k_equals_brute_force(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_values(spark):
+    """Sums beyond doubles and beyond longs: exact up to a long's range, held at its ends behind it."""
+    big = [(0, [1e9, 3.0, 0.5]), (1, [1e9, -3.0, 1e5]), (2, [1.5e300, 1.0, 1.0]), (3, [-1e308, 1.0, 1.0]), (4, [2.0**53, 1.0, 1.0]), (100, [1e-3, 0.25, 2.0]), (101, [0.5, 0.5, 0.5]), (200, [1.7e308, 0.0, 0.0]), (102, [0.5, 0.5, 0.5])]
+    low, high = -(2**63), 2**63 - 1
+    use = {i: [int(x) * 1024 if abs(x) >= 2.0**53 else int(np.floor(x * 1024)) for x in v] for i, v in big}
+    want = []
+    for q in (0, 100, 200):
+        score = sorted((-max(low, min(high, sum(a * b for a, b in zip(use[q], v, strict=True)))), i) for i, v in use.items() if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(score[:4], 1)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>").repartition(2)
+    assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k=4).collect()) == sorted(want)
+
+
 def test_max_score_skips_work():
     rng = np.random.default_rng(0)
     scale = np.concatenate([np.full(8, 50.0), np.full(56, 1.0)])

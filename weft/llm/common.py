@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +43,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
+#: Tables made in each open temporary() block, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there.
+
+    Within temporary() the table goes when the block ends; with keep, when the block around that one does.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(out)
     return out
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Remove the tables that are made in the block when it ends. What is read after it must be kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialize() wrote, once nothing reads them any more."""
     for df in tables:
-        path = getattr(df, "_weft_path", None)
+        path = df.__dict__.pop("_weft_path", None)
         if path:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
