@@ -6,12 +6,19 @@ a line without a digit or an at sign, so only such lines are looked at.
 
 The field's nodes are the words of those lines that hold a digit or an at sign, and their
 neighbours; all other words are held to be outside. Neighbouring words share a chain potential;
-words that repeat (the same digits, or the same address) share a skip potential with their last
-occurrence in the document, however far. Loopy sum-product messages, run over many documents at
-once, give each word's label. Runs of words with the same label that touch no base span are
-added. Weights are fitted to the base patterns' own labels (pseudo-likelihood, gradient ascent)
-on a bounded sample: the SAMPLE documents with the least hash among those with at most
-SAMPLE_CHARS characters and a digit or an at sign.
+words that repeat or are alike (the same digits, the same last SUFFIX digits, the same address, or
+the same name before an at sign) share a skip potential with their last occurrence in the
+document, however far. The labels of base spans are taken as seen. Loopy sum-product messages, run over many documents at once, give each
+word's label. Runs of words with the same label that touch no base span are added.
+
+Weights are fitted (pseudo-likelihood, gradient ascent) to a bounded sample: the SAMPLE texts
+with the least hashes among those with at most SAMPLE_CHARS characters and a digit or an at sign.
+The base patterns label their words. Since these labels can be told from a word alone, each word
+of the sample is also mentioned once more without what the patterns go by (bare digits, an address
+without its domain's end), joined to the word by a skip edge alone: long ones with the word's
+label, short numbers, which stand for much else, with none; and once as a stranger, joined to
+no other mention and without a label. So the skip weights have to carry a label from a word that a pattern
+finds to a mention that none does.
 
 Defined results: a null or empty text has no span; without any sample document the field adds
 nothing; repeated rows count each. Columns that clash with the added ones are replaced.
@@ -21,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import append_columns
+from weft.llm.common import append_columns, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 400
@@ -37,6 +45,8 @@ SAMPLE_CHARS = 20_000
 #: A word's label counts if its probability is at least this.
 SURE = 0.5
 ROUNDS = 30
+#: What a base span adds to its words' potential of its label.
+KNOWN = 20.0
 
 HINT = re.compile("[0-9@]")
 WORD = re.compile(r"\S+")
@@ -102,6 +112,8 @@ def hinted_lines(text: str):
 
 
 FEATURES = 24
+#: Words with the same last so many digits are alike.
+SUFFIX = 7
 
 
 def features(word: str, before: str, after: str) -> list[int]:
@@ -145,12 +157,22 @@ def features(word: str, before: str, after: str) -> list[int]:
     return out
 
 
-def key_of(word: str) -> str | None:
-    """What a skip edge joins: an address, or the digits of a word with three or more."""
+def keys_of(word: str) -> list[str]:
+    """What skip edges join: an address and its name, or the digits of a word with three or more, and the last SUFFIX of them."""
     if "@" in word:
-        return word.strip(".,;:!?\"'()<>").lower()
+        address = word.strip(".,;:!?\"'()<>").lower()
+        return [address, address[: address.index("@") + 1]] if "@" in address else []
     digits = NOT_DIGITS.sub("", word)
-    return digits if len(digits) >= 3 else None
+    return ([digits] if len(digits) >= 3 else []) + ([f"~{digits[-SUFFIX:]}"] if len(digits) >= SUFFIX else [])
+
+
+def mention(word: str) -> tuple[str, bool]:
+    """A word without what the base patterns go by, and whether it still stands for the same; empty if there is none."""
+    if "@" in word:
+        name, _, domain = word.strip(".,;:!?\"'()<>").partition("@")
+        return (f"{name}@{domain.split('.')[0]}", True) if name and domain else ("", False)
+    digits = NOT_DIGITS.sub("", word)
+    return (digits, len(digits) >= SUFFIX) if len(digits) >= 3 and word.count(".") < 3 else ("", False)
 
 
 class Graph:
@@ -159,8 +181,10 @@ class Graph:
     def __init__(self):
         self.feats, self.labels, self.doc, self.span, self.chain, self.skip = [], [], [], [], [], []
 
-    def add(self, doc: int, lines: list[tuple[int, str]], base: list[tuple[int, int, int]]) -> None:
+    def add(self, doc: int, lines: list[tuple[int, str]], base: list[tuple[int, int, int]], mentions: bool = False) -> None:
+        """A document's words; for fitting, each with a mention of it."""
         last: dict[str, int] = {}
+        said: list[tuple[int, str]] = []
         base = sorted((a, b, k) for k, a, b in base)
         at = 0
         for start, line in lines:
@@ -180,10 +204,22 @@ class Graph:
                 if before == i - 1:
                     self.chain.append((node - 1, node))
                 before = i
-                if hint[i] and (key := key_of(w)) is not None:
-                    if key in last:
-                        self.skip.append((last[key], node))
-                    last[key] = node
+                keys = keys_of(w) if hint[i] else []
+                self.skip += [(n, node) for n in sorted({last[k] for k in keys if k in last})]
+                last.update((k, node) for k in keys)
+                if keys and mentions:
+                    said.append((node, w))
+        for node, w in said:
+            word, same = mention(w)
+            if word:
+                self.skip.append((node, len(self.feats) + 1))
+                for label in (self.labels[node] if same else 0, 0):  # between two plain words
+                    at = len(self.feats)
+                    self.chain += [(at, at + 1), (at + 1, at + 2)]
+                    self.feats += [features("or", "", word), features(word, "or", "at"), features("at", word, "")]
+                    self.labels += [0, label, 0]
+                    self.doc += [doc] * 3
+                    self.span += [(0, 0)] * 3
 
     def matrix(self) -> np.ndarray:
         x = np.zeros((len(self.feats), FEATURES), dtype=np.float32)
@@ -208,9 +244,12 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, graph: Graph, rounds: int = ROUNDS, tolerance: float = 1e-4) -> np.ndarray:
-        """Each node's label probabilities after loopy message passing, messages damped by half."""
+    def marginals(self, graph: Graph, rounds: int = ROUNDS, tolerance: float = 1e-4, known: bool = False) -> np.ndarray:
+        """Each node's label probabilities after loopy message passing, messages damped by half; known: labels of base spans are taken as seen."""
         pot = graph.matrix() @ self.node
+        if known:
+            seen = np.flatnonzero(graph.labels)
+            pot[seen, np.array(graph.labels, dtype=np.int64)[seen]] += KNOWN
         chain, skip = graph.edges()
         src = np.concatenate([chain[:, 0], skip[:, 0], chain[:, 1], skip[:, 1]])
         dst = np.concatenate([chain[:, 1], skip[:, 1], chain[:, 0], skip[:, 0]])
@@ -271,11 +310,22 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     """A field fitted to the base labels of a bounded sample; None without one."""
     t = F.col(text_col)
     rows = docs.filter((F.length(t) <= sample_chars) & t.rlike("[0-9@]")).select(F.xxhash64(F.col(id_col), t).alias("h"), t.alias("t"))
-    texts = [r["t"] for r in rows.orderBy("h", "t").limit(sample).collect()]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            held = np.unique(np.concatenate([held, batch.column(0).to_numpy()]))[:sample]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["h"])
+
+    # the hashes first, some bytes each; then the texts of those chosen, one for each hash
+    chosen = [r["h"] for r in map_arrow(rows.select("h"), least, "h long").distinct().orderBy("h").limit(sample).collect()]
+    if not chosen:
+        return None
+    picked = rows.filter((F.col("h") <= chosen[-1]) & F.col("h").isin(chosen)).groupBy("h").agg(F.min("t").alias("t"))
     graph = Graph()
-    for d, text in enumerate(texts):
-        lines = list(hinted_lines(text))
-        graph.add(d, lines, base_spans(lines))
+    for d, row in enumerate(sorted(picked.collect())):
+        lines = list(hinted_lines(row["t"]))
+        graph.add(d, lines, base_spans(lines), mentions=True)
     return fit_graph(graph) if graph.feats else None
 
 
@@ -288,7 +338,7 @@ def added_spans(field: Field | None, docs: list[tuple[list[tuple[int, str]], lis
             graph.add(d, lines, base)
     if field is None or not graph.feats:
         return out
-    prob = field.marginals(graph)
+    prob = field.marginals(graph, known=True)
     label = np.where(prob.max(axis=1) >= SURE, prob.argmax(axis=1), 0)
     linked = set(graph.chain)
     run: list[int] = []
