@@ -294,3 +294,107 @@ def unsafe(text: Column) -> Column:
     for p in patterns:
         hit = hit | text.rlike(p)
     return hit
+
+
+def gated(text: Column, wanted: str, unwanted: str) -> Column:
+    """Whether the wanted pattern is found and the unwanted one isn't."""
+    return text.rlike(wanted) & ~text.rlike(unwanted)
+
+
+def names_any(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words, case aside."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(low, F.lit(w))
+    return hit
+
+
+# Words of questions that compare, and of headings about safety.
+COMPARING = ["compare", "difference", "vs", "versus", "区别", "对比", "分别", "各自", "哪种"]
+SAFETY = ["safety", "hazard", "regulatory", "legal", "fcc", "warning", "telephone and fcc notices", "product safety guide"]
+#: Fixed value: the first id of a technical question.
+FIRST_TECHNICAL = 64
+
+
+def asks_comparison(question: Column) -> Column:
+    return names_any(question, COMPARING)
+
+
+def heading_key(heading: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(heading, F.lit("")))), r"\s+", " ")
+
+
+def is_safety_heading(heading: Column) -> Column:
+    return names_any(heading_key(heading), SAFETY)
+
+
+def is_technical(question_id: Column) -> Column:
+    return F.coalesce(question_id >= FIRST_TECHNICAL, F.lit(True))
+
+
+def distinct_in_order(items: Column) -> Column:
+    """Non-empty strings, first occurrences only."""
+    return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
+
+
+def anchored_pictures(answer: Column) -> tuple[Column, Column]:
+    """An answer's text with inline references as marks, those beyond the references away, and the names of the marks that stay."""
+    text, names = without_inline_names(answer), inline_names(answer)
+    parts = F.split(text, "<PIC>")
+    kept = F.array_join(F.transform(parts, lambda p, i: F.when((i > 0) & (i <= F.size(names)), F.concat(F.lit("<PIC>"), p)).otherwise(p)), "")
+    return kept, F.slice(names, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def spaced_marks(text: Column) -> Column:
+    """Marks of a line's end and signs of Markdown away, picture marks in one form."""
+    return normalise_picture_marks(strip_markdown(text))
+
+
+#: What stands for an answer that is empty.
+NO_ANSWER, NO_SERVICE_ANSWER = "未在手册中找到相关内容，建议联系售后确认。", "您好，您的问题已收到，我们会尽快为您处理。"
+
+
+def service_answer(answer: Column) -> Column:
+    """A service answer: no Markdown, pictures or contacts, tidy; a fixed sentence if nothing is left."""
+    bare = F.replace(normalise_picture_marks(without_inline_names(strip_markdown(answer))), F.lit("<PIC>"), F.lit(""))
+    out = F.regexp_replace(tidy(redact_contacts(bare)), r"^\s+|\s+$", "")
+    return F.when(out == "", F.lit(NO_SERVICE_ANSWER)).otherwise(drop_unsupported(out))
+
+
+def technical_answer(answer: Column, pictures: Column) -> tuple[Column, Column]:
+    """A technical answer and its pictures: as many marks as pictures and as many pictures as marks; a fixed sentence if no text is left."""
+    plain = strip_markdown(answer)
+    names = distinct_in_order(F.concat(inline_names(plain), F.coalesce(pictures, F.array().cast("array<string>"))))
+    text = normalise_picture_marks(without_inline_names(plain))
+    parts = F.split(text, "<PIC>")
+    text = F.array_join(F.transform(parts, lambda p, i: F.when((i > 0) & (i <= F.size(names)), F.concat(F.lit("<PIC>"), p)).otherwise(p)), "")
+    out = F.regexp_replace(tidy(text), r"^\s+|\s+$", "")
+    names = F.when(out == "", F.array().cast("array<string>")).otherwise(F.slice(names, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
+    return F.when(out == "", F.lit(NO_ANSWER)).otherwise(drop_unsupported(out)), names
+
+
+def submission(question_id: Column, answer: Column, pictures: Column) -> Column:
+    """The field of a submission: a service answer, or a technical one with the JSON of its pictures behind a comma."""
+    text, names = technical_answer(answer, pictures)
+    shown = F.regexp_replace(F.to_json(names), '","', '", "')
+    return F.when(is_technical(question_id), F.when(F.size(names) == 0, text).otherwise(F.concat(text, F.lit(","), shown))).otherwise(service_answer(answer))
+
+
+def message_text(parts: Column) -> Column:
+    """Text of a message's content blocks (structs with type and text), joined by line feeds."""
+    return F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull() & (t != "")), "\n")
+
+
+# Words that mark a condition in a source's line.
+CONDITION = (
+    r"(?i)\b(?:if|unless|before|after|only|without|never|must|simulated|illustrative)\b|\bin case\b|\bfor\s+\w+\s+(?:type|model)\b|\b(?:do|does) not\b|"
+    r"\b(?:don|doesn|didn|isn|aren|wasn|weren|hasn|haven|hadn|can|couldn|shouldn|wouldn|won|mustn|needn|shan)['’]t\b|"
+    "仅限|仅适用|如果|除非|之前|之后|不得|禁止|必须|请勿|切勿|不要|无需|无须|不必|不需要|示意|模拟"
+)
+# Words and numbers that qualify a statement.
+QUALIFIER = r"(?i)\b(?:up|down|toward|towards|above|below|before|after|only|without|no|not|never|unless|if|in\s+case)\b|\d+(?:[.,]\d+)?|向下|向上|之前|之后|不得|不要|仅|如果|无"
+
+
+def merged_tags(first: Column, second: Column) -> Column:
+    return F.array_sort(F.array_union(first, second))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 import statistics
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions import text as tx
+from weft.operators.routing import dimension
 
 
 def supported(sentence_tokens: Column, evidence_tokens: Column) -> Column:
@@ -35,27 +37,51 @@ def quotes_hold(quotes: DataFrame, turns: DataFrame, on: list[str], quote: str,
     return rows.groupBy("__q", *quotes.columns).agg(F.max(F.coalesce(hit, F.lit(False))).alias("ok")).drop("__q")
 
 
-def passages(sources: DataFrame, source_id: str, text: str, most: int = 2800) -> DataFrame:
-    """source_id, passage (E1, E2, ...), quote: texts split before `most` characters, at an empty line or else a line end or blank."""
+def passage_cuts(text: str, most: int = 2800) -> list[str]:
+    """A text as trimmed passages of at most `most` characters, parted at the last empty line, else line end or blank, else anywhere."""
+    out, rest = [], text.strip()
+    while len(rest) > most:
+        window = rest[:most]
+        at = window.rfind("\n\n")
+        if at <= 0:
+            at = max(window.rfind(x) for x in "\n ")
+        at = at if at > 0 else most
+        out.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [p for p in (*out, rest) if p]
 
-    def cut(x: str) -> list[str]:
-        out = []
-        while len(x) > most:
-            at = max(x.rfind("\n\n", 1, most), 0) or max(x.rfind("\n", 1, most), x.rfind(" ", 1, most), 0) or most
-            out.append(x[:at])
-            x = x[at:]
-        return [p for p in [*out, x] if p.strip()]
 
-    split = F.udf(lambda x: cut(x or ""), "array<string>")
-    rows = sources.select(source_id, F.posexplode(split(F.col(text))).alias("pos", "quote"))
-    return rows.select(source_id, F.concat(F.lit("E"), F.col("pos") + 1).alias("passage"), F.trim("quote").alias("quote"))
+def passages(sources: DataFrame, by: str, source_id: str, text: str, most: int = 2800) -> DataFrame:
+    """by, source_id, passage, quote: passages numbered E1, E2, ... over all sources of a group, in the sources' order.
+
+    Texts are cut where they lie; numbers come from the sources' counts, so that the texts are never sorted.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: passage_cuts(x or "", most))
+
+    rows = sources.select(by, source_id, cut(F.col(text)).alias("cut"))
+    before = F.sum(F.size("cut")).over(W.partitionBy(by).orderBy(source_id)) - F.size("cut")
+    start = rows.select(by, source_id, before.alias("before"))
+    pieces = rows.select(by, source_id, F.posexplode("cut").alias("pos", "quote")).join(start, [by, source_id])
+    return pieces.select(by, source_id, F.concat(F.lit("E"), (F.col("before") + F.col("pos") + 1).cast("string")).alias("passage"), "quote")
 
 
-def claims_hold(claims: DataFrame, catalog: DataFrame) -> DataFrame:
-    """claim_id, known (all passages exist), one_each (no source twice). claims: claim_id, passage_ids; catalog: passage, source_id."""
-    rows = claims.select("claim_id", F.explode_outer("passage_ids").alias("passage")).join(catalog.select("passage", "source_id"), "passage", "left")
+def claims_hold(claims: DataFrame, catalog: DataFrame, by: str) -> DataFrame:
+    """by, claim_id, known (all passages exist, none twice), one_each (no source twice). claims: by, claim_id, passage_ids; catalog: by, passage, source_id."""
+    rows = claims.select(by, "claim_id", F.posexplode_outer("passage_ids").alias("pos", "passage")).join(catalog.select(by, "passage", "source_id"), [by, "passage"], "left")
     n, known = F.count("passage"), F.count("source_id")
-    return rows.groupBy("claim_id").agg(((n > 0) & (n == known)).alias("known"), (known == F.count_distinct("source_id")).alias("one_each"))
+    return rows.groupBy(by, "claim_id").agg(((n > 0) & (n == known) & (n == F.count_distinct("passage"))).alias("known"), (known == F.count_distinct("source_id")).alias("one_each"))
+
+
+def bound_claims(claims: DataFrame, catalog: DataFrame, by: str) -> DataFrame:
+    """by, claim_id, evidence: the passages of each claim that holds, in its order."""
+    good = claims_hold(claims, catalog, by).filter("known AND one_each").select(by, "claim_id")
+    rows = claims.join(good, [by, "claim_id"], "left_semi").select(by, "claim_id", F.posexplode("passage_ids").alias("pos", "passage"))
+    rows = rows.join(catalog.select(by, "passage", "source_id", "quote"), [by, "passage"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_id", "quote"))), lambda x: F.struct(x["source_id"].alias("source_id"), x["quote"].alias("quote")))
+    return rows.groupBy(by, "claim_id").agg(listed.alias("evidence"))
 
 
 def rule_score(answer: Column, groups: Column, forbidden: Column) -> Column:
@@ -71,11 +97,11 @@ def without_denials(answer: Column, term: Column) -> Column:
 
 
 def nearest_rank(values: str, share: float) -> Column:
-    """The value at place int(n * share + .999) of the sorted non-null values."""
-    arr = F.array_sort(F.collect_list(F.col(values)))
-    n = F.size(arr)
-    place = F.greatest(F.least((n * share + 0.999).cast("int"), n), F.lit(1))
-    return F.when(n > 0, F.element_at(arr, place))
+    """The value at place int(n * share + .999) of the sorted non-null values; percentile_disc keeps counts of values, not lists of rows.
+
+    Its place, n * share rounded up, is the same wherever n * share is at least a thousandth above a whole number or at one.
+    """
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {values})")
 
 
 def majority(df: DataFrame, by: str, vote: str) -> DataFrame:
@@ -200,12 +226,18 @@ def strict_object(raw: str | None, keys: set[str]) -> tuple[bool, list[str]]:
 
 def strict_json(keys: set[str]):
     """Column function for strict_object (duplicate keys are lost to any parser of Spark's own)."""
-    return F.udf(lambda raw: strict_object(raw, keys), "struct<ok: boolean, violations: array<string>>")
+
+
+    @F.pandas_udf("ok boolean, violations array<string>")
+    def run(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([strict_object(x, keys) for x in raw], columns=["ok", "violations"])
+
+    return run
 
 
 def first_exclusion(answers: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """key and the first rule (by its order) whose pattern a text matches; rules: rule, rule_order, pattern (a small table)."""
-    rows = answers.join(F.broadcast(rules), F.expr(f"{text} RLIKE pattern"))
+    rows = answers.join(dimension(rules), F.expr(f"{text} RLIKE pattern"))
     return rows.groupBy(key).agg(F.min(F.struct("rule_order", "rule")).alias("x")).select(key, "x.rule")
 
 
@@ -249,3 +281,9 @@ def spans_of_claims(answers: DataFrame, claims: DataFrame, key: str, answer: str
     inside = (F.col("at") >= F.col("from_")) & (F.col("at") + F.length("sentence") <= F.col("to_"))
     rows = s.join(c, key, "left").withColumn("claim_no", F.when(inside, F.col("claim_no")))
     return rows.groupBy(key, "pos", "sentence").agg(F.min("claim_no").alias("claim_no"))
+
+
+def needs_revision(question: Column, answer: Column, scenes: Column, asks: str, refuses: str) -> Column:
+    """Whether an answer is to be revised: there are scenes, and the question asks for what is seen, or the answer refuses or cites none of them."""
+    cites = F.exists(scenes, lambda s: F.contains(answer, F.concat(F.lit("[VID:"), s, F.lit("]"))))
+    return (F.size(scenes) > 0) & (question.rlike(asks) | answer.rlike(refuses) | ~cites)

@@ -1,9 +1,9 @@
 """BM25 and other lexical scoring over postings.
 
-Documents become (doc, term, tf) rows at once, so that long texts never travel past the first
-aggregation, and only terms some query holds go to the join. Okapi weights: k1 = 1.5, b = 0.75,
-idf = ln((N - df + 0.5) / (df + 0.5)); an idf below 0 is replaced by a quarter of the mean idf
-over all terms. A term a query repeats counts each time.
+Documents become (doc, term, tf) rows within their tasks, so that texts never travel; the corpus'
+figures, the terms' weights and the scores are all made from these rows, whose one exchange they
+share. Okapi weights: k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5)); an idf below 0
+is replaced by a quarter of the mean idf over all terms. A term a query repeats counts each time.
 """
 
 from __future__ import annotations
@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WORD = re.compile("[a-z]{2,}")
+IDEOGRAPHS = re.compile("[一-鿿]{2,}")
+#: Lengths of the pieces of ideographs that are looked up.
+PIECES = range(2, 7)
 #: Query terms that may be sent to every task; more are joined by shuffle.
 MAX_TERMS = 500_000
 
 
 def postings(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
-    """doc, term, tf and the document's length in tokens. Dealt by document once, so that sums by document need no further shuffle."""
-    rows = docs.repartition(F.col(id_col)).select(F.col(id_col).alias("doc"), tokens.alias("t"))
-    return rows.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
+    """doc, term, tf and the document's length in tokens. Terms are counted before the shuffle, which the texts aren't part of."""
+    rows = docs.select(F.col(id_col).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("len"), F.explode("t").alias("term"))
+    return rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
 
 
-def corpus(docs: DataFrame, tokens) -> DataFrame:
-    """n and avgdl, one row; documents without a token count."""
-    return docs.select(F.size(tokens).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+def corpus(docs: DataFrame, posts: DataFrame) -> DataFrame:
+    """n and avgdl, one row; documents without a token count. The documents are only counted, which reads none of their columns."""
+    n = docs.agg(F.count("*").alias("n"))
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    # a row either side
+    return n.join(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl"))
 
 
 def idf(posts: DataFrame, size: DataFrame) -> DataFrame:
@@ -49,7 +55,7 @@ def query_terms(queries: DataFrame, tokens, id_col: str = "query_id") -> DataFra
 def bm25(docs: DataFrame, queries: DataFrame, doc_tokens, query_tokens, doc_id: str = "doc_id", query_id: str = "query_id", posts: DataFrame | None = None) -> DataFrame:
     """query, doc, score for every pair that shares a term."""
     posts = postings(docs, doc_tokens, doc_id) if posts is None else posts
-    size = corpus(docs, doc_tokens)
+    size = corpus(docs, posts)
     terms = query_terms(queries, query_tokens, query_id)
     small = F.broadcast if terms.count() <= MAX_TERMS else (lambda x: x)
     wanted = small(terms.select("term").distinct())
@@ -60,6 +66,25 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_tokens, query_tokens, doc_id:
     return scored.groupBy("query", "doc").agg(F.sum("part").alias("score"))
 
 
+def containing(docs: DataFrame, items: DataFrame, doc: str, doc_text: str, item: str, item_text: str) -> DataFrame:
+    """doc, item for each document that holds an item's text. Each row of either side counts.
+
+    An item that stands in a text has its inner words there as words: the longest of them is its key, by which documents
+    and items meet; texts are compared only then. Items without an inner word are few and short: these are held against all documents.
+    """
+    words = lambda c: F.split(F.col(c), r"\s+")
+    i = items.filter(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("held"))
+    inner = F.filter(F.slice(words("held"), F.lit(2), F.greatest(F.size(words("held")) - 2, F.lit(0))), lambda w: w != "")
+    i = i.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    d = docs.filter(F.col(doc_text).isNotNull()).select(F.col(doc).alias("doc"), F.col(doc_text).alias("text"))
+    asked = i.filter("key IS NOT NULL")
+    small = asked.count() <= MAX_TERMS
+    found = d.select("doc", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(F.broadcast(asked) if small else asked, "key").filter(F.contains("text", "held"))
+    short = i.filter("key IS NULL")
+    rest = d.join(F.broadcast(short) if short.count() <= MAX_TERMS else short, F.contains("text", "held"))
+    return found.select("doc", "item").unionByName(rest.select("doc", "item"))
+
+
 def overlap(docs: DataFrame, queries: DataFrame, doc_terms, query_terms_, doc_id: str, query_id: str) -> DataFrame:
     """query, doc and how many distinct terms they share."""
     d = docs.select(F.col(doc_id).alias("doc"), F.explode(doc_terms).alias("term"))
@@ -74,14 +99,17 @@ def tfidf_terms(posts: DataFrame, n: DataFrame) -> DataFrame:
 
 
 def phrases(text: Column, stop: list[str] | None = None, most: int = 4) -> Column:
-    """Distinct runs of 1 to `most` Latin words, stop words left out before. (As nested lambdas the words would be found anew for every run.)"""
+    """Distinct runs of 1 to `most` Latin words, stop words left out before, and pieces of 2 to 6 neighbouring ideographs. (As nested lambdas the words would be found anew for every run.)"""
     left_out = frozenset(stop or ())
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         def of(t):
-            w = [x for x in WORD.findall((t or "").lower()) if x not in left_out]
-            return sorted({" ".join(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1)})
+            low = (t or "").lower()
+            w = [x for x in WORD.findall(low) if x not in left_out]
+            found = {" ".join(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1)}
+            found |= {r[i : i + n] for r in IDEOGRAPHS.findall(low) for n in PIECES for i in range(len(r) - n + 1)}
+            return sorted(found)
 
         return texts.map(of)
 
@@ -89,9 +117,9 @@ def phrases(text: Column, stop: list[str] | None = None, most: int = 4) -> Colum
 
 
 def routed(asked: DataFrame, held: DataFrame, query: str, owner: str, least: int = 20, lead: int = 3) -> DataFrame:
-    """query, owner, weight: phrases (p) that one owner alone holds vote 2 points a word and one more; the winner must lead clearly."""
+    """query, owner, weight: phrases (p) that one owner alone holds vote 2 points a word and one more, or a point an ideograph; the winner must lead clearly."""
     only = held.groupBy("p").agg(F.min(owner).alias(owner), F.count("*").alias("n")).filter("n = 1").drop("n")
-    points = F.size(F.split("p", " ")) * 2 + 1
+    points = F.when(F.col("p").rlike("[一-鿿]"), F.length("p")).otherwise(F.size(F.split("p", " ")) * 2 + 1)
     votes = asked.join(only, "p").groupBy(query, owner).agg(F.sum(points).alias("weight"))
     w = W.partitionBy(query).orderBy(F.desc("weight"), owner)
     rows = votes.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("weight", 1, 0).over(w))

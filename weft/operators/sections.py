@@ -84,8 +84,8 @@ def catalog(sections_: DataFrame, product: str = "product") -> DataFrame:
 
 def size_stats(df: DataFrame, by: list[str], size: str) -> DataFrame:
     """min, max, floor of the mean, and the upper median of a size."""
-    arr = F.array_sort(F.collect_list(size))
-    return df.groupBy(*by).agg(F.min(size).alias("min"), F.max(size).alias("max"), F.floor(F.avg(size)).alias("avg"), F.element_at(arr, F.floor(F.size(arr) / 2).cast("int") + 1).alias("median"))
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {size} DESC)")  # from above: of an even number the upper one
+    return df.groupBy(*by).agg(F.min(size).alias("min"), F.max(size).alias("max"), F.floor(F.avg(size)).alias("avg"), median.cast(df.schema[size].dataType).alias("median"))
 
 
 def searchable(product: Column, heading: Column, summary: Column, text: Column, caption: Column, aliases: Column | None = None) -> Column:
@@ -114,3 +114,12 @@ def with_parent(chunks: DataFrame, sections_: DataFrame, product: str = "product
     """Chunks with their section's text; where the section is missing, their own."""
     s = sections_.select(product, F.col("section_id").alias("parent_section_id"), F.col("text").alias("__parent"))
     return chunks.join(s, [product, "parent_section_id"], "left").withColumn("result_text", F.coalesce("__parent", "text")).drop("__parent")
+
+
+def readiness(components: dict[str, DataFrame]) -> DataFrame:
+    """component, n, ready: rows of every component, in one query."""
+    out = None
+    for name, df in components.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("component"), "n", (F.col("n") > 0).alias("ready"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -83,9 +83,9 @@ def adjacent(df: DataFrame, by: str, bound: str) -> DataFrame:
 
 def frame_groups(rows: DataFrame, record: str, at: str, frame: str, row_id: str, text: str, order: str) -> DataFrame:
     """Lines that were seen at once: a row for each record, time and frame, texts in order; a repeated id raises."""
-    g = rows.groupBy(record, at, frame).agg(F.array_sort(F.collect_list(F.struct(order, row_id, text))).alias("x"), F.count("*").alias("n"), F.count_distinct(row_id).alias("d"))
-    texts = F.when(F.col("n") == F.col("d"), F.transform("x", lambda v: v[text])).otherwise(F.raise_error(F.lit("repeated observation id")).cast("array<string>"))
-    return g.select(record, at, frame, texts.alias("texts"), F.transform("x", lambda v: v[row_id]).alias("ids"))
+    g = rows.groupBy(record, at, frame).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(row_id).alias("i"), F.col(text).alias("t")))).alias("x"), F.count("*").alias("n"), F.count_distinct(row_id).alias("d"))
+    texts = F.when(F.col("n") == F.col("d"), F.transform("x", lambda v: v["t"])).otherwise(F.raise_error(F.lit("repeated observation id")).cast("array<string>"))
+    return g.select(record, at, frame, texts.alias("texts"), F.transform("x", lambda v: v["i"]).alias("ids"))
 
 
 def unique_text(rows: DataFrame, by: list[str], text: str, order: str) -> DataFrame:
@@ -154,6 +154,11 @@ def normalised_interval(start: Column, end: Column, scene_start: Column, scene_e
     return F.struct(F.when(bad, F.lit(0.0)).otherwise(F.greatest(s, F.lit(0.0))).alias("start"), F.when(bad, length).otherwise(F.least(e, length)).alias("end"), basis.alias("basis"))
 
 
+def raised_uncertainty(uncertainty: Column, basis: Column) -> Column:
+    """An interval's uncertainty: high where the whole scene had to do, medium at least where a point was widened."""
+    return F.when(F.contains(basis, F.lit("|invalid_to_full_scene")), "high").when(F.contains(basis, F.lit("|point_to_window")) & (uncertainty == "low"), "medium").otherwise(uncertainty)
+
+
 def frame_offsets(duration: Column) -> Column:
     """Times of the frames to look at: one in scenes under 3 seconds, two under 8, else three; a little inside the scene."""
     inside = lambda share: F.least(F.greatest(duration * share, F.lit(0.05)), F.greatest(duration - 0.05, F.lit(0.05)))

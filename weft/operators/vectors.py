@@ -34,43 +34,57 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
+def _query_blocks(queries: DataFrame, query_id: str, vec_col: str, most: int = MAX_QUERY_BYTES):
+    """Ids and matrices of the queries, by length of vector, in blocks of at most `most` bytes."""
+    held: dict[int, list] = {}
+    size = 0
+    pack = lambda: {n: (np.array([i for i, _ in rows], dtype=np.int64), np.stack([v for _, v in rows])) for n, rows in held.items()}
+    for row in queries.select(query_id, vec_col).filter(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).toLocalIterator():
+        v = np.asarray(row[1], dtype=np.float64)
+        held.setdefault(len(v), []).append((row[0], v))
+        size += v.nbytes
+        if size >= most:
+            yield pack()
+            held, size = {}, 0
+    if held:
+        yield pack()
+
+
+def _matrices(pdf: pd.DataFrame, id_col: str, vec_col: str):
+    """Ids and matrix of the vectors of each length."""
+    pdf = pdf[pdf[vec_col].notna()]
+    size = pdf[vec_col].map(len)
+    for n in sorted(size.unique()):
+        own = pdf[size == n]
+        if n:
+            yield int(n), own[id_col].to_numpy(), np.stack(own[vec_col].to_numpy()).astype(np.float64)
+
+
 def similarities(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id", other_only: bool = True) -> DataFrame:
-    """query_id, id_col, score, rank: each query's k most similar vectors by cosine.
+    """query_id, id_col, score, rank: each query's k most similar vectors of its own length by cosine.
 
     Each task keeps its own k best of every query (NumPy blocks), so what is shuffled is k rows a
     query and task. The queries are sent to the tasks if they take at most MAX_QUERY_BYTES; more
     are worked off in blocks of that size.
     """
-    spark = vectors.sparkSession
-    rows = [(r[0], np.asarray(r[1], dtype=np.float64)) for r in queries.select(query_id, vec_col).filter(F.col(vec_col).isNotNull()).toLocalIterator()]
-    width = max((len(v) for _, v in rows), default=1)
-    step = max(1, MAX_QUERY_BYTES // (8 * width))
+    spark, out = vectors.sparkSession, None
     schema = f"{query_id} long, {id_col} long, score double"
-    out = None
-    for at in range(0, max(1, len(rows)), step):
-        part = rows[at : at + step]
-        ids = np.array([i for i, _ in part], dtype=np.int64)
-        mat = np.array([v / max(np.linalg.norm(v), 1e-12) for _, v in part]).reshape(len(part), -1)
-        sent = spark.sparkContext.broadcast((ids, mat))
+    for block in [*_query_blocks(queries, query_id, vec_col)] or [{}]:
+        sent = spark.sparkContext.broadcast({n: (ids, unit_rows(mat)) for n, (ids, mat) in block.items()})
 
         def search(batches, sent=sent):
-            ids, mat = sent.value
             best: dict[int, pd.DataFrame] = {}
             for pdf in batches:
-                pdf = pdf[pdf[vec_col].notna()]
-                if not len(pdf) or not len(ids):
-                    continue
-                v = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score = np.round(mat @ v.T, 9)
-                own = pdf[id_col].to_numpy()
-                for q, qid in enumerate(ids):
-                    s, i = score[q], own
-                    if other_only:
-                        s, i = s[i != qid], i[i != qid]
-                    new = pd.DataFrame({query_id: qid, id_col: i, "score": s})
-                    new = pd.concat([best[q], new]) if q in best else new
-                    best[q] = new.sort_values(["score", id_col], ascending=[False, True]).head(k)
+                for n, own, v in _matrices(pdf, id_col, vec_col):
+                    ids, mat = sent.value.get(n, (np.zeros(0, np.int64), np.zeros((0, n))))
+                    score = np.round(mat @ unit_rows(v).T, 9)
+                    for q, qid in enumerate(ids.tolist()):
+                        s, i = score[q], own
+                        if other_only:
+                            s, i = s[i != qid], i[i != qid]
+                        new = pd.DataFrame({query_id: qid, id_col: i, "score": s})
+                        new = pd.concat([best[qid], new]) if qid in best else new
+                        best[qid] = new.sort_values(["score", id_col], ascending=[False, True]).head(k)
             yield from best.values()
 
         found = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInPandas(search, schema)
@@ -79,6 +93,36 @@ def similarities(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def cosine_columns(vectors: DataFrame, queries: DataFrame, parts: dict[str, int | None], id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """query_id, id_col and a cosine for each of parts: a name and how many of the first components count (null: all).
+
+    A stated set of queries against all other vectors of their length, block by block in NumPy: every norm is made once,
+    and all parts in one pass.
+    """
+    spark, out = vectors.sparkSession, None
+    schema = f"{query_id} long, {id_col} long, " + ", ".join(f"{name} double" for name in parts)
+    for block in [*_query_blocks(queries, query_id, vec_col)] or [{}]:
+        sent = spark.sparkContext.broadcast(block)
+
+        def score(batches, sent=sent):
+            for pdf in batches:
+                for n, own, v in _matrices(pdf, id_col, vec_col):
+                    ids, mat = sent.value.get(n, (np.zeros(0, np.int64), np.zeros((0, n))))
+                    if not len(ids):
+                        continue
+                    for a in range(0, len(own), 4096):
+                        near = own[a : a + 4096]
+                        other = ids[:, None] != near[None, :]
+                        cols = {query_id: np.broadcast_to(ids[:, None], other.shape)[other], id_col: np.broadcast_to(near, other.shape)[other]}
+                        for name, width in parts.items():
+                            cols[name] = (unit_rows(mat[:, :width]) @ unit_rows(v[a : a + 4096, :width]).T)[other]
+                        yield pd.DataFrame(cols)
+
+        found = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInPandas(score, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def mean_pool(vectors: DataFrame, owner: str, vec_col: str = "embedding") -> DataFrame:
     """Each owner's normalised mean vector (`pooled`) and number of parts; partial sums come before the shuffle."""
     parts = vectors.filter(F.col(vec_col).isNotNull()).select(owner, F.posexplode(vec_col).alias("pos", "x"))
@@ -94,6 +138,19 @@ def index_aligned(index: DataFrame, manifest: DataFrame, id_col: str) -> DataFra
     return out.withColumn("aligned", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 
+def order_digest(rows: DataFrame, id_col: str, pos: str) -> DataFrame:
+    """n and digest, one row, of ids in an order: each id with its place, hashed and added up, so that no list of them is made."""
+    place = F.xxhash64(F.col(id_col).cast("string"), F.col(pos).cast("long"))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(place.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("digest"))
+
+
+def alignment(index: DataFrame, expected: DataFrame, id_col: str, pos: str) -> DataFrame:
+    """aligned and reason (rows, order; null if aligned): an index against the digest of its manifest; if it isn't aligned, it isn't to be used."""
+    both = order_digest(index, id_col, pos).crossJoin(F.broadcast(expected.toDF("want_n", "want")))  # a row either side
+    reason = F.when(F.col("n") != F.col("want_n"), "rows").when(F.col("digest") != F.col("want"), "order")
+    return both.select(reason.isNull().alias("aligned"), reason.alias("reason"))
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 

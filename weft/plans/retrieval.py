@@ -38,13 +38,13 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-def cosines(spark: SparkSession, d: str, half: bool = False) -> DataFrame:
-    """query, doc, score for the items that have a vector under their id (a synthetic pairing), against all other vectors."""
+def cosines(spark: SparkSession, d: str, **parts: int | None) -> DataFrame:
+    """query, doc, score (or a column for each of parts) for the items that have a vector under their id (a synthetic pairing), against all other vectors."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    part = (lambda c: F.slice(c, 1, 32)) if half else (lambda c: c)
-    rows = v.join(F.broadcast(q) if q.count() <= 100_000 else q, F.col("vec_id") != F.col("query"))
-    return rows.select("query", F.col("vec_id").alias("doc"), F.round(vectors.cosine(part(F.col("q")), part(F.col("embedding"))), 6).alias("score"))
+    q = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").withColumnRenamed("vec_id", "query")
+    parts = parts or {"score": None}
+    rows = vectors.cosine_columns(v, q, parts, query_id="query")
+    return rows.select("query", F.col("vec_id").alias("doc"), *[F.round(p, 6).alias(p) for p in parts])
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT * FROM (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM bm25) WHERE rank <= {K}")
@@ -72,11 +72,9 @@ HYBRID_SQL = f"""
 
 def fused(spark: SparkSession, d: str, mode: str) -> DataFrame:
     """Items' candidates (a shared term, and a vector under the document's id) ranked by each modality and fused."""
-    rows = bm25_scores(spark, d).withColumnRenamed("score", "bm25").join(cosines(spark, d).withColumnRenamed("score", "dense"), ["query", "doc"])
-    names = ["bm25", "dense"]
-    if "tri" in mode:
-        rows = rows.join(cosines(spark, d, half=True).withColumnRenamed("score", "visual"), ["query", "doc"])
-        names.append("visual")
+    parts = {"dense": None, "visual": 32} if "tri" in mode else {"dense": None}
+    rows = bm25_scores(spark, d).withColumnRenamed("score", "bm25").join(cosines(spark, d, **parts), ["query", "doc"])
+    names = ["bm25", *parts]
     for name in names:
         rows = ranking.ranked(rows, ["query"], [F.desc(name), F.col("doc")], f"{name}_rank")
     if "tri" not in mode:
@@ -255,10 +253,9 @@ def ndcg_mrr_recall(spark: SparkSession, d: str) -> DataFrame:
     "SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id HAVING count(DISTINCT d.doc_id) >= 1",
 )
 def contamination_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose text stands in a document. The items are the stated query set; they are sent to the tasks if few, else in shuffled blocks by Spark."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = docs.join(F.broadcast(items) if items.count() <= 100_000 else items, F.contains("text", "item"))
+    """Items whose text stands in a document: they meet by an inner word, then the texts are compared."""
+    rows = lexical.containing(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    rows = rows.withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
     return rows.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 

@@ -96,7 +96,16 @@ def victim_eviction(spark: SparkSession, d: str) -> DataFrame:
     return sessions.evicted(rows, "conv_id", [F.col("role") == "user", F.col("turn")], F.length("text") + 32, 2500).select("conv_id", "turn")
 
 
-@query("newest_that_fit")
+@query(
+    "newest_that_fit",
+    """
+  WITH RECURSIVE l AS (SELECT conv_id, list({'o': turn, 's': strlen(text)} ORDER BY turn DESC) AS l FROM conversations GROUP BY conv_id),
+  f AS (
+    SELECT conv_id, l, 1 AS i, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS kept FROM l
+    UNION ALL SELECT conv_id, l, i + 1, CASE WHEN used + l[i].s <= 2000 THEN used + l[i].s ELSE used END, CASE WHEN used + l[i].s <= 2000 THEN list_append(kept, l[i].o) ELSE kept END FROM f WHERE i <= len(l))
+  SELECT conv_id, unnest(kept) AS turn FROM f WHERE i = len(l) + 1
+""",
+)
 def newest_that_fit(spark: SparkSession, d: str) -> DataFrame:
     """Messages taken newest first while they fit 2000 bytes; larger ones are skipped."""
     return sessions.newest_that_fit(table(spark, d, "conversations"), "conv_id", "turn", F.octet_length("text"), 2000).select("conv_id", "turn")

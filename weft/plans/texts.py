@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as tx
-from weft.operators import chunking, evidence, sections
+from weft.operators import chunking, sections
 from weft.plans.catalog import query, table
 
 
@@ -18,13 +18,50 @@ def manuals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("product"), F.array_join(marked, "\n").alias("text"))
 
 
-@query("markdown_sections")
+def _has(column: str, pattern: str | None) -> list[str]:
+    return [f"regexp_matches({column}, '{pattern}')"] if pattern else []
+
+
+_TAGS = ", ".join(f"CASE WHEN {' OR '.join(_has('heading', a) + _has('lower(heading)', b) + _has('text', c))} THEN '{tag}' END" for tag, a, b, c in [("special", tx.SPECIAL, None, None), *tx.TAGS])
+_CLEAN = "l"
+for _pattern, _to in ((r"\s+$", ""), (r"^\s*>\s?", ""), (r"^\s*[-*+]\s+", "• "), (r"^\s*(\d+)\.\s+", r"\1. "), (r"\*\*|__", ""), (r"`([^`]*)`", r"\1"), (r"\\([*_`\[\]()])", r"\1"), (r"[ \t]+", " ")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_to}', 'g')"
+#: s: the sections of the manuals below. These texts hold no picture marks, for which RE2 lacks the lookahead.
+SECTIONS_SQL = rf"""
+  d AS (SELECT doc_id AS product, string_split(text, chr(10)) AS ls FROM documents), i AS (SELECT product, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS n FROM d),
+  m AS (SELECT product, 2 * n + 1 AS pos, l FROM i UNION ALL SELECT product, 2 * n, repeat('#', CAST(1 + (n // 5) % 3 AS INTEGER)) || ' ' || regexp_replace(l, '\s+', ' ', 'g')[1:40] FROM i WHERE n % 5 = 0),
+  h AS (SELECT *, nullif(length(regexp_extract(l, '^(#{{1,3}})\s+(.*)$', 1)), 0) AS level, trim(regexp_extract(l, '^(#{{1,3}})\s+(.*)$', 2)) AS title FROM m),
+  w AS (
+    SELECT *, max(CASE WHEN level = 1 THEN (pos, title) END) OVER u AS a1, max(CASE WHEN level = 2 THEN (pos, title) END) OVER u AS a2, max(CASE WHEN level = 3 THEN (pos, title) END) OVER u AS a3, max(CASE WHEN level < 2 THEN pos END) OVER u AS p2,
+      max(CASE WHEN level < 3 THEN pos END) OVER u AS p3, min(CASE WHEN level = 1 THEN (pos, title) END) OVER (PARTITION BY product) AS first, count(level) OVER u AS part FROM h WINDOW u AS (PARTITION BY product ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  b AS (
+    SELECT product, part, trim(string_agg(l, chr(10) ORDER BY pos)) AS raw, any_value(a1)[2] AS h1, any_value(CASE WHEN p2 IS NULL OR a2[1] > p2 THEN a2[2] END) AS h2, any_value(CASE WHEN p3 IS NULL OR a3[1] > p3 THEN a3[2] END) AS h3, any_value(first)[2] AS title FROM w WHERE level IS NULL GROUP BY product, part),
+  t AS (SELECT *, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(raw, chr(10)), lambda l: trim({_CLEAN})), chr(10)), '
+{{3,}}', chr(10) || chr(10), 'g'), '^
++|
++$', '', 'g') AS text FROM b),
+  s AS (
+    SELECT product, row_number() OVER (PARTITION BY product ORDER BY part) - 1 AS section_id, coalesce(nullif(concat_ws(' / ', CASE WHEN h1 IS DISTINCT FROM title THEN h1 END, h2, h3), ''), '(前言)') AS heading, text FROM t WHERE text <> ''),
+  o AS (
+    SELECT *, length(text) AS char_len, regexp_matches(heading, '{tx.SPECIAL}') AS is_special, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, list_sort(list_filter([{_TAGS}], lambda x: x IS NOT NULL)) AS tags FROM s),
+  q AS (SELECT *, CASE WHEN length(flat) <= 120 THEN flat ELSE rtrim(flat[1:120]) || '...' END AS summary FROM o)
+"""
+
+
+@query("markdown_sections", f"WITH {SECTIONS_SQL} SELECT product, CAST(section_id AS INTEGER) AS section_id, heading, CAST(char_len AS INTEGER) AS char_len, is_special, summary, array_to_string(tags, ',') AS tags FROM q")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     rows = sections.sections(manuals(spark, d))
     return rows.select("product", "section_id", "heading", "char_len", "is_special", "summary", F.array_join("tags", ",").alias("tags"))
 
 
-@query("section_catalog")
+@query(
+    "section_catalog",
+    f"""
+  WITH {SECTIONS_SQL}
+  SELECT product, count(*) AS section_count, CAST(sum(char_len) AS BIGINT) AS total_chars, CAST(0 AS BIGINT) AS total_pics,
+    CAST(to_json(list({{'section_id': section_id, 'heading': heading, 'summary': summary, 'char_len': char_len, 'tags': tags}} ORDER BY section_id)) AS VARCHAR) AS sections FROM q GROUP BY product
+""",
+)
 def section_catalog(spark: SparkSession, d: str) -> DataFrame:
     c = sections.catalog(sections.sections(manuals(spark, d)))
     return c.select("product", "section_count", "total_chars", "total_pics", F.to_json("sections").alias("sections"))
@@ -36,20 +73,46 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.spans(table(spark, d, "documents").select("doc_id", "text"), "text", chunking.sliding)
 
 
-@query("budget_chunks")
+@query(
+    "budget_chunks",
+    """
+  WITH RECURSIVE c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, text FROM documents WHERE text <> ''),
+  b AS (SELECT doc_id, i, sum(strlen(text[i])) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c),
+  l AS (SELECT doc_id, list(upto ORDER BY i) AS u, len(list(upto)) AS n FROM b GROUP BY doc_id),
+  p AS (
+    SELECT doc_id, 0 AS chunk, CAST(0 AS BIGINT) AS "start", CAST(len(list_filter(u[1:600], lambda x: x <= 600)) AS BIGINT) AS "end" FROM l
+    UNION ALL SELECT p.doc_id, chunk + 1, "end", "end" + len(list_filter(l.u["end" + 1:"end" + 600], lambda x: x <= l.u["end"] + 600)) FROM p JOIN l ON l.doc_id = p.doc_id WHERE "end" < n)
+  SELECT p.doc_id, CAST(chunk AS INTEGER) AS chunk, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", text["start" + 1:"end"] AS chunk_text FROM p JOIN documents d ON d.doc_id = p.doc_id
+""",
+)
 def budget_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of at most 600 bytes that cover each document exactly."""
     return chunking.spans(table(spark, d, "documents").select("doc_id", "text"), "text", lambda t: chunking.byte_pieces(t, 600))
 
 
-@query("hard_chunks")
-def hard_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.spans(table(spark, d, "documents").select("doc_id", "text"), "text", chunking.hard_pieces)
+def _last(segment: str, pattern: str) -> str:
+    """How far the last match of a pattern reaches, matches taken one after another; -1 without one."""
+    marked = f"regexp_replace({segment}, '{pattern}', '\\0' || chr(1), 'g')"
+    return f"CASE WHEN contains({marked}, chr(1)) THEN length(replace(regexp_extract({marked}, '(?s)^(.*)\\x01', 1), chr(1), '')) ELSE -1 END"
 
 
-@query("passage_catalog")
-def passage_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.passages(table(spark, d, "documents"), "doc_id", "text")
+@query(
+    "hard_chunks",
+    rf"""
+  WITH RECURSIVE p AS (
+    SELECT doc_id, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN length(text) <= 300 THEN length(text) END AS BIGINT) AS b, length(text) AS n FROM documents WHERE text <> ''
+    UNION ALL SELECT doc_id, b, CASE WHEN n - b <= 300 THEN n END, n FROM (
+      SELECT doc_id, n, CAST(CASE WHEN e1 >= 0 THEN greatest(a + 70 + e1, a + 1) WHEN e2 >= 0 THEN greatest(a + 70 + e2, a + 1) WHEN e3 > 0 THEN a + 70 + e3 WHEN e4 > 0 THEN a + 70 + e4 - 1 ELSE a + 300 END AS BIGINT) AS b FROM (
+        SELECT doc_id, a, n, {_last("seg", r"\n{2,}|[。！？!?；;]\s*|[:：]\s+|\.\s+|\n")} AS e1, {_last("seg", r"[，,、]\s*")} AS e2, length(regexp_extract(seg, '(?s)^(.*\s)', 1)) AS e3, length(regexp_extract(more, '(?s)^(.*(?:[^A-Za-z0-9].|[A-Za-z0-9][^A-Za-z0-9]))', 1)) AS e4
+        FROM (SELECT p.doc_id, p.a, p.n, d.text[p.a + 71:p.a + 300] AS seg, d.text[p.a + 71:p.a + 301] AS more FROM p JOIN documents d ON d.doc_id = p.doc_id WHERE p.b IS NULL)))),
+  e AS (SELECT doc_id, n, a, coalesce(b, lead(a) OVER (PARTITION BY doc_id ORDER BY a)) AS b FROM p),
+  t AS (SELECT e.doc_id, e.n, e.a, e.b, d.text[e.a + 1:e.b] AS raw FROM e JOIN documents d ON d.doc_id = e.doc_id),
+  u AS (SELECT doc_id, n, CASE WHEN n <= 300 THEN a ELSE a + length(raw) - length(regexp_replace(raw, '^\s+', '')) END AS a, CASE WHEN n <= 300 THEN b ELSE b - length(raw) + length(regexp_replace(raw, '\s+$', '')) END AS b FROM t)
+  SELECT u.doc_id, CAST(row_number() OVER (PARTITION BY u.doc_id ORDER BY u.a) - 1 AS INTEGER) AS chunk, CAST(u.a AS INTEGER) AS "start", CAST(u.b AS INTEGER) AS "end", d.text[u.a + 1:u.b] AS chunk_text FROM u JOIN documents d ON d.doc_id = u.doc_id WHERE u.a < u.b
+""",
+)
+def hard_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.spans(table(spark, d, "documents").select("doc_id", "text"), "text", chunking.hard_pieces)
 
 
 @query(

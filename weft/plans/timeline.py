@@ -79,7 +79,19 @@ def containing_scene(spark: SparkSession, d: str) -> DataFrame:
     return timeline.containing_scene(scenes(spark, d), points, "record", "segment", "start").select("record", "segment", "scene")
 
 
-@query("scene_cuts")
+@query(
+    "scene_cuts",
+    f"""
+  WITH RECURSIVE {EVENTS_SQL},
+  c AS (SELECT user_id, list(tt ORDER BY tt) AS c FROM e GROUP BY user_id),
+  f AS (
+    SELECT user_id, c, 1 AS i, CAST(0 AS DOUBLE) AS last, [CAST(0 AS DOUBLE)] AS b FROM c
+    UNION ALL SELECT user_id, c, i + 1, CASE WHEN c[i] - last >= 21600 AND 2592000 - c[i] >= 21600 THEN c[i] ELSE last END, CASE WHEN c[i] - last >= 21600 AND 2592000 - c[i] >= 21600 THEN list_append(b, c[i]) ELSE b END FROM f WHERE i <= len(c)),
+  d AS (SELECT user_id, list_append(b, CAST(2592000 AS DOUBLE)) AS b FROM f WHERE i = len(c) + 1),
+  x AS (SELECT user_id, b, unnest(range(1, len(b))) AS n FROM d)
+  SELECT user_id, CAST(n AS INTEGER) AS scene, round(b[n], 3) AS "start", round(b[n + 1], 3) AS "end" FROM x
+""",
+)
 def scene_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Each user's days cut at events at least six hours apart."""
     e = events(spark, d).groupBy("user_id").agg(F.collect_list("at").alias("cuts"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -94,3 +97,49 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
     n = F.count("*").over(W.partitionBy(key))
     ok = F.col(key).isNotNull() & (F.col(key).cast("string") != "") & (n == 1)
     return df.withColumn(key, F.when(ok, F.col(key)).otherwise(F.raise_error(F.lit(f"{key} is empty or repeated")).cast(df.schema[key].dataType)))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all machines share; in local mode, without the setting, in a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.gettempdir() + "/weft-scratch"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save_chunks(df: DataFrame, path: str) -> None:
+    """Chunks, sections or catalogs as JSON lines."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_chunks(spark: SparkSession, path: str, schema: str, needed: list[str]) -> DataFrame:
+    """JSON lines under a schema; a broken line, or one without a needed field, raises when it is read."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    for c in needed:
+        df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"a row without {c}")).cast(df.schema[c].dataType)))
+    return df
+
+
+def load_vectors(spark: SparkSession, path: str, manifest: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Stored vectors; raises if they aren't one for each id of the manifest, or a zero one is among them."""
+    df = spark.read.parquet(path)
+    both = manifest.select(id_col).withColumn("__m", F.lit(1)).join(df.select(id_col, vec_col).withColumn("__v", F.lit(1)), id_col, "full")
+    zero = F.col("__v").isNotNull() & ~F.exists(vec_col, lambda x: (x != 0) & ~F.isnan(x))
+    bad = both.agg(F.count_if(F.col("__m").isNull() | F.col("__v").isNull()).alias("unmatched"), F.count_if(zero).alias("zero"), (F.count("*") - F.count_distinct(id_col)).alias("twice")).first()
+    if any(bad):
+        raise ValueError(f"vectors don't fit their manifest: {bad.asDict()}")
+    return df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written completely."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def ensure_index(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> None:
+    """Build and save an index's postings unless they are there already."""
+    if not exists(spark, path):
+        save_index(make(), path)
