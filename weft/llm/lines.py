@@ -12,7 +12,7 @@ segments and, for each length up to TAU less than its own, the substrings that c
 segment there (the multi-match-aware selection), as 64-bit hashes of (length, segment number,
 substring), all from prefix sums. Only hashes that two lines share go on: their lines' texts
 are fetched, each compared with the earliest line of its hash, and lines that differ from that
-one with all earlier lines of the hash, in blocks. The verification is a banded bit-parallel
+one with all earlier lines of the hash, in blocks of bounded size on either side. The verification is a banded bit-parallel
 edit distance on what common ends leave.
 
 Defined results: a null text stays null and has no line; an empty text has one empty line; rows
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.common import chunks, map_arrow, materialize, mix64, texts_of, without
+from weft.llm.common import chunks, map_arrow, materialize, mix64, temporary, texts_of, without
 
 TAU = 2
 MIN_CHARS = 30
@@ -40,8 +40,8 @@ MIN_CHARS = 30
 EXACT_CHARS = 3
 #: Lines of a hash that are compared in one group.
 BLOCK = 256
-#: Rows (of some 10 bytes a piece and line numbers) that may be broadcast; beyond it joins shuffle.
-MAX_BROADCAST = 1_000_000
+#: Bytes that may be broadcast; beyond it joins shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -142,6 +142,11 @@ def banded(a: str, b: str, k: int) -> int:
     return dist if dist <= k else k + 1
 
 
+def _small(df: DataFrame, size=24) -> DataFrame:
+    """df to be broadcast if its bytes (a row's: size, a number or a column) are few enough."""
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0) <= MAX_BROADCAST_BYTES else df
+
+
 def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """l1, l2 (hash), d, f, line of every line that takes part."""
 
@@ -182,10 +187,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     """l1, l2, d, f, line, x: the lines' texts; wanted: l1, l2, d, f, line."""
     by_doc = wanted.groupBy("d", "f").agg(F.collect_list(F.struct("line", "l1", "l2")).alias("want"))
     by_doc = materialize(by_doc, "wanted")
-    small = by_doc.count() <= MAX_BROADCAST
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     same = F.col("id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("f"))
-    rows = rows.join(F.broadcast(by_doc) if small else by_doc, same).select("d", "f", "want", "text")
+    rows = rows.join(_small(by_doc, 32 + 24 * F.size("want")), same).select("d", "f", "want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +209,7 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, min_ch
     signed = _signed(docs, text_col, min_chars, tau)
     shared = signed.groupBy("sig").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi"), F.max("own").alias("any")).filter("lo < hi AND any").select("sig")
     shared = materialize(shared, "shared")
-    small = shared.count() <= MAX_BROADCAST
-    crowd = materialize(signed.join(F.broadcast(shared) if small else shared, "sig").select("sig", "l1").distinct(), "crowd")
+    crowd = materialize(signed.join(_small(shared), "sig").select("sig", "l1").distinct(), "crowd")
     places = firsts.join(crowd.select("l1").distinct(), "l1")
     known = materialize(_fetched(docs, places, id_col, text_col), "known")
     order = F.struct("d", "f", "line")
@@ -224,24 +227,26 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, min_ch
 
     found = materialize(map_arrow(pairs.select("l1", "l2", "x", "y"), verify, "l1 long, l2 long").distinct(), "near")
 
-    # lines unlike their hash's first one, against all others before them
+    # Lines unlike their hash's first one, against all others before them: the open lines of a hash are
+    # dealt to parts of some BLOCK lines, and so are all its lines; each pair of parts is a group.
     left = rows.filter("m > 2 AND NOT first").join(found.withColumn("gone", F.lit(True)), ["l1", "l2"], "left").withColumn("open", F.col("gone").isNull())
-    open_sigs = materialize(left.filter("open").select("sig").distinct(), "open")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("l1", "l2"), parts).cast("int")
+    sizes = materialize(left.groupBy("sig").agg(F.count("*").alias("all"), F.count_if("open").alias("opened")).filter("opened > 0"), "open")
     # where few hashes are left, their lines needn't meet by hash before they are dealt to blocks
-    left = left.join(F.broadcast(open_sigs) if open_sigs.count() <= MAX_BROADCAST else open_sigs, "sig").withColumn("own", own)
-    blocks = F.when(F.col("open"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own"))
-    left = left.select("sig", "l1", "l2", "at", "open", "own", F.explode(blocks).alias("block")).join(texts, ["l1", "l2"])
+    left = left.join(_small(sizes, 40), "sig")
+    parts, open_parts = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("all", "opened"))
+    part = lambda n: F.pmod(F.xxhash64("l1", "l2"), n).cast("int")
+    asked = left.filter("open").select("sig", "l1", "l2", "at", F.lit(True).alias("asks"), part(open_parts).alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"))
+    others = left.select("sig", "l1", "l2", "at", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), open_parts - 1)).alias("i"), part(parts).alias("j"))
+    left = asked.union(others).join(texts, ["l1", "l2"])
 
     def search(t: pa.Table) -> pa.Table:
-        rows = [(r["at"], r) for r in t.to_pylist()]
         rank = lambda p: (p["d"] is not None, p["d"] or 0, p["f"], p["line"])
-        rows = sorted(((rank(p), r) for p, r in rows), key=lambda r: r[0])
-        hits = [r for i, (at, r) in enumerate(rows) if r["open"] and any(y["own"] == y["block"] and within(r["x"], y["x"], tau) for _, y in rows[:i])]
+        rows = [(rank(r["at"]), r) for r in t.to_pylist()]
+        known = [(at, r["x"]) for at, r in rows if not r["asks"]]
+        hits = [r for at, r in rows if r["asks"] and any(y < at and within(r["x"], x, tau) for y, x in known)]
         return pa.table({"l1": pa.array([r["l1"] for r in hits], pa.int64()), "l2": pa.array([r["l2"] for r in hits], pa.int64())})
 
-    more = left.groupBy("sig", "block").applyInArrow(search, "l1 long, l2 long")
+    more = left.groupBy("sig", "i", "j").applyInArrow(search, "l1 long, l2 long")
     return found.union(more).distinct()
 
 
@@ -259,11 +264,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, tau: int = TAU, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with the texts less their dropped lines, plus n_lines and n_dropped."""
     base = without(docs, "n_lines", "n_dropped")
-    drop = materialize(dropped_lines(docs, id_col, text_col, min_chars, tau, exact_chars), "drop")
+    with temporary():
+        drop = materialize(dropped_lines(docs, id_col, text_col, min_chars, tau, exact_chars), "drop", keep=True)
     drop = drop.toDF("__d", "__f", "__drop")
-    small = drop.count() <= MAX_BROADCAST
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text_col) == F.col("__f"))
-    rows = base.join(F.broadcast(drop) if small else drop, same, "left").drop("__d", "__f")
+    rows = base.join(_small(drop, 32 + 4 * F.size("__drop")), same, "left").drop("__d", "__f")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at, n, names = base.columns.index(text_col), len(base.columns), schema.names
 
