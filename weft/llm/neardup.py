@@ -15,8 +15,8 @@ another function and bucket, are hashed to keys: at Jaccard 0.8 a band agrees wi
 Links: (1) each node of a key is compared with the key's least node, (2) within keys whose
 nodes still lie in different components, with each other, in blocks of bounded size. A pair is
 dropped if the estimate, corrected for registers that collide by chance, is MARGIN below the
-threshold (only where both sets are large enough for the estimate to be that sure); the others
-are decided on the full sets by 100 * common >= percent * union. Blocks send back only links
+threshold (only where both sets have SURE_MIN shingles or more, for the estimate to be that
+sure); the others are decided on the full sets by 100 * common >= percent * union. Blocks send back only links
 that join components, which loses none that matters for the components.
 
 Defined results: null and empty texts have an empty set and link with nothing; a null id links
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import chunks, map_arrow, materialize, mix64, texts_of
+from weft.llm.common import chunks, map_arrow, materialize, mix64, temporary, texts_of
 from weft.llm.linkage import components
 
 REGISTERS, ROWS, BUCKETS, FUNCTIONS = 512, 8, 16, 32
@@ -42,6 +42,9 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 SMALL_MAX, LARGE_MIN = 96, 72
 MARGIN = 0.15
+SURE_MIN = 200
+#: Least threshold in percent that SMALL_MAX, LARGE_MIN and the bands fit.
+MIN_PERCENT = 80
 #: Nodes of a key compared at once; larger keys are split into pairs of such blocks.
 BLOCK = 1024
 #: Node ids (8 bytes each) that may be broadcast to pick candidates' texts; beyond it the join shuffles.
@@ -188,7 +191,7 @@ def promising(x: Node, y: Node, percent: int) -> bool:
     low, high = min(x.n, y.n), max(x.n, y.n)
     if 100 * low < percent * high:
         return False
-    if low < LARGE_MIN:
+    if low < SURE_MIN:
         return True
     a, b = of_kind(x.sketch, x.n, 1), of_kind(y.sketch, y.n, 1)
     return float(estimate(a, b, low, high)) >= percent / 100 - MARGIN
@@ -348,11 +351,23 @@ def rest_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id, kept: a row for each row of docs."""
-    made = materialize(sketches(docs, id_col, text_col, width), "sketches", compression="none")
+    """id, n_shingles, component_id, kept: a row for each row of docs. A percent under MIN_PERCENT raises."""
+    if not MIN_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must lie between {MIN_PERCENT} and 100")
+    with temporary():
+        made, member, joined = _joined(docs, id_col, text_col, width, percent)
+    out = made.select("id", "n", "f1", "f2").join(member, ["f1", "f2"], "left")
+    out = out.withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).otherwise(F.col("id")))
+    out = out.join(joined, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, the node of each set, and the nodes' components: tables that are kept."""
+    made = materialize(sketches(docs, id_col, text_col, width), "sketches", keep=True, compression="none")
     known = made.filter("id IS NOT NULL AND n > 0")
     # a table of its own, so that the joins with it read plain exchanges and a hot group of copies can be split
-    member = materialize(known.groupBy("f1", "f2").agg(F.min("id").alias("node")), "member")
+    member = materialize(known.groupBy("f1", "f2").agg(F.min("id").alias("node")), "member", keep=True)
     # one row a node: an id that repeats with other texts stays one node for each of them in the bands
     nodes = known.join(member.withColumnRenamed("node", "id"), ["f1", "f2", "id"]).dropDuplicates(["f1", "f2"])
     nodes = materialize(nodes.select("id", "n", "sketch"), "nodes", compression="none")
@@ -373,8 +388,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not twice.isEmpty():
         own = known.join(twice, "id").join(member, ["f1", "f2"]).select("id", "node").distinct()
         joined = joined.union(own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
-    joined = components(joined)
-    out = made.select("id", "n", "f1", "f2").join(member, ["f1", "f2"], "left")
-    out = out.withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).otherwise(F.col("id")))
-    out = out.join(joined, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return made, member, materialize(components(joined), "components", keep=True)
