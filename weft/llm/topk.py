@@ -16,13 +16,14 @@ shared folder.
 
 Defined results: vectors that are null, empty, or hold a null, NaN or infinite component, and
 rows with a null id, take no part, as query or as candidate. A vector is compared with queries
-of its own length only. Rows that repeat an id are separate candidates (none of them is a
+of its own length only. Scores beyond a long's range are held at its ends. Rows that repeat an id are separate candidates (none of them is a
 candidate of a query with that id); a repeated query id is answered once for each distinct
 vector. An empty table, or one without a query, gives no row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +44,24 @@ ROWS, STEP = 4096, 8
 RESULT = "query_id long, query_no long, vec_id long, score long"
 
 
+LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
+
+
+def whole(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x); as Python integers if that leaves the range of doubles."""
+    with np.errstate(over="ignore"):
+        out = np.floor(values * scale)
+    if np.isfinite(out).all():
+        return out
+    return np.array([[int(x) * scale if abs(x) >= 2.0**53 else math.floor(x * scale) for x in row] for row in values.tolist()], dtype=object)
+
+
+def exact_scores(mat: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """Inner products by Python integers, held at the ends of a long's range."""
+    mine = [int(x) for x in vec]
+    return np.array([max(LONG_MIN, min(LONG_MAX, sum(int(a) * b for a, b in zip(row, mine, strict=True)))) for row in mat], dtype=np.int64)
+
+
 def floored(batch_ids: pa.Array, batch_vecs: pa.Array, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Ids and integer matrix of the usable vectors, one pair for each length."""
     found: dict[int, tuple[list, list]] = {}
@@ -58,7 +77,7 @@ def floored(batch_ids: pa.Array, batch_vecs: pa.Array, scale: int) -> list[tuple
     ids = batch_ids.fill_null(0).to_numpy(zero_copy_only=False)
     for n in np.unique(lengths[use]):
         rows = np.flatnonzero(use & (lengths == n))
-        found[int(n)] = (ids[rows].astype(np.int64), np.floor(values[offsets[rows][:, None] + np.arange(n)] * scale))
+        found[int(n)] = (ids[rows].astype(np.int64), whole(values[offsets[rows][:, None] + np.arange(n)], scale))
     return list(found.values())
 
 
@@ -76,20 +95,33 @@ class Block:
         self.k, self.scored = k, 0
 
     def offer(self, ids: np.ndarray, mat: np.ndarray) -> None:
-        """Compare a batch of the shard with all queries."""
+        """Compare a batch of the shard with all queries. What sums might leave the integers that doubles hold is added up by Python's own."""
+        limit = math.isqrt(2**52 // mat.shape[1])
+        calm = (np.abs(mat) < limit).all(axis=1).astype(bool)
+        if not calm.all():
+            for q, (qid, vec) in enumerate(zip(self.ids, self.vecs, strict=True)):
+                self._take(q, exact_scores(mat[~calm], vec), ids[~calm], ids[~calm] != qid)
+            self.scored += int((~calm).sum()) * self.vecs.size
+            ids, mat = ids[calm], mat[calm].astype(np.float64)
+            if not len(ids):
+                return
         low, high = mat.min(axis=0), mat.max(axis=0)
-        exact = np.abs(self.vecs).max(initial=0) * np.abs(mat).max(initial=0) * mat.shape[1] < 2.0**52
         for q, (qid, vec) in enumerate(zip(self.ids, self.vecs, strict=True)):
+            if not (np.abs(vec) < limit).all():
+                self._take(q, exact_scores(mat, vec), ids, ids != qid)
+                self.scored += len(ids) * len(vec)
+                continue
+            vec = vec.astype(np.float64)
             have = self.best[q]
-            threshold = have[0][-1] if len(have[0]) == self.k else None
+            threshold = max(-(2**53), min(2**53, int(have[0][-1]))) if len(have[0]) == self.k else None
             base = np.where(vec > 0, vec * low, vec * high)
             bound = np.where(vec > 0, vec * high, vec * low) - base
             order = np.argsort(-bound, kind="stable")
             rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # bounds of the terms from each place on
-            total = float(base.sum()) if exact else None
+            total = float(base.sum())
             rows = np.arange(len(ids))
-            if threshold is None or total is None:
-                score = mat @ vec if exact else np.array([sum(int(a) * int(b) for a, b in zip(m, vec, strict=True)) for m in mat], dtype=object)
+            if threshold is None:
+                score = mat @ vec
                 self.scored += len(ids) * len(vec)
             else:
                 essential = int((total + rest[:-1] >= threshold).sum())
@@ -113,18 +145,18 @@ class Block:
                 if not len(rows):
                     continue
             own = ids[rows] != qid
-            rows, score = rows[own], score[own]
             if threshold is not None:
-                keep = score >= threshold
-                rows, score = rows[keep], score[keep]
-            elif len(rows) > 4 * self.k and exact:
-                keep = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
-                rows, score = rows[keep], score[keep]
-            if len(rows):
-                s = np.concatenate([have[0], score.astype(np.int64)])
-                i = np.concatenate([have[1], ids[rows]])
-                top = np.lexsort((i, -s))[: self.k]
-                self.best[q] = (s[top], i[top])
+                own &= score >= threshold
+            elif int(own.sum()) > 4 * self.k:
+                own &= score >= np.partition(score[own], -self.k)[-self.k]
+            self._take(q, score.astype(np.int64), ids[rows], own)
+
+    def _take(self, q: int, score: np.ndarray, ids: np.ndarray, use: np.ndarray) -> None:
+        """Merge the rows in use with the best of a query."""
+        if use.any():
+            s, i = np.concatenate([self.best[q][0], score[use]]), np.concatenate([self.best[q][1], ids[use]])
+            top = np.lexsort((i, ~s))[: self.k]
+            self.best[q] = (s[top], i[top])
 
 
 def _blocks(queries: DataFrame, id_col: str, vec_col: str, scale: int, limit: int) -> Iterator[dict[int, Block]]:
