@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, language_id, lines, neardup, spm
-from weft.llm.common import materialize, tokenizer_path
+from weft.llm.common import discard, materialize, temporary, tokenizer_path
 
 #: Ids that may be broadcast to drop documents by; beyond it the join shuffles.
 MAX_BROADCAST = 2_000_000
+#: Languages whose documents are kept.
+LANGUAGES = ("de", "en", "es", "fr")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go. It is learned from those that aren't held out."""
+    """Documents whose predicted language is one of LANGUAGES; a missing lang becomes the predicted one.
+
+    Those without a letter, of which nothing can be told, go with those of other languages. It is
+    learned from the documents that aren't held out.
+    """
     profiles = language_id.fit(docs.filter(~language_id.held_out()))
-    return language_id.identify(docs, profiles).filter("lang_pred <> 'und'").select(docs.columns)
+    kept = language_id.identify(docs, profiles).filter(F.col("lang_pred").isin(*LANGUAGES))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), in_words=True)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage but the last returns is written to the shared folder."""
+    """The last stage's rows; what each stage but the last returns is written to the shared folder, and removed once the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporary():
+            kept = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -458,6 +458,17 @@ def test_decontamination_allows_a_tenth():
         assert exact > len(items) / 2
 
 
+def test_short_items_stand_as_whole_words(spark):
+    items = ["What is 2+2?", "pi", "a b c", "", None, "x" * 19, "y" * 20]
+    texts = ["Q: what is  2+2? A: 4", "spin", "PI.", "say pi, not pie", "a b cd", "a b c", "(a b c)", "z" + "x" * 19, "x" * 19, "q" + "y" * 20 + "q", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    it = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(d, it, in_words=True).collect()}
+    assert got == {(0, 0), (2, 1), (3, 1), (5, 2), (6, 2), (8, 5), (9, 6)}
+    assert {r["doc_id"] for r in decontaminate.clean(d, it, in_words=True).collect()} == {1, 4, 7, 10, 11}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(d, it).collect()} == {(5, 2), (8, 5), (9, 6)}
+
+
 # chat
 
 

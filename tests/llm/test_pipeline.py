@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from weft.llm import decontaminate, lines
+from weft.llm import common, decontaminate, lines
 from weft.llm.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -76,3 +76,20 @@ def test_all_are_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_language_stage_keeps_the_stated_languages(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de", "fr"))
+    got = corpus_pipeline.identify_language(spark, docs, DIR)
+    true = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    kept = {r["doc_id"]: r["lang"] for r in got.collect()}
+    assert set(kept.values()) == {"de", "fr"} and sum(true[d] == x for d, x in kept.items()) > 0.95 * len(kept)
+    assert len(kept) > 0.9 * sum(x in ("de", "fr") for x in true.values())
+
+
+def test_run_leaves_one_table(spark, tmp_path, monkeypatch):
+    """Scratch tables go as soon as nothing reads them; the last stage's input stays."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, DIR).count() > 0
+    assert [p.name.split("-")[0] for p in (tmp_path / "weft").iterdir() if p.is_dir()] == ["decontamination"]

@@ -10,8 +10,10 @@ is within that, so is one of its halves, down to a piece without edits, so no pa
 
 Items go to the tasks in blocks of at most BLOCK_CHARS characters.
 
-Defined results: null and empty items match nothing, null and empty texts hold nothing; an item
-of fewer than SHORT characters matches only a text that equals it; items with the same id or
+Items of fewer than SHORT characters match exactly: a text that equals them, or with in_words also
+a run of whole words of it (no letter or digit before and behind).
+
+Defined results: null and empty items match nothing, null and empty texts hold nothing; items with the same id or
 text are separate, each row reported once per (document row, item row); an empty table on
 either side gives no row. Items with a null id are reported with that null.
 """
@@ -98,8 +100,9 @@ def nearest(peq: dict[str, int], m: int, text: str) -> int:
 class Matcher:
     """Pieces of a block of items, ready to search texts."""
 
-    def __init__(self, items: list[str], rate: float = RATE):
+    def __init__(self, items: list[str], rate: float = RATE, in_words: bool = False):
         self.items = [folded(t) for t in items]
+        self.in_words = in_words
         self.k = [budget(t, rate) for t in self.items]
         self.short: dict[str, list[int]] = {}
         self.peq: dict[str, dict[str, int]] = {}
@@ -110,6 +113,11 @@ class Matcher:
             elif t:
                 for (at, piece), above in zip(pieces(t, k), groups(t, k), strict=True):
                     found.setdefault(piece, []).append((n, at, above))
+        self.words = ahocorasick.Automaton()
+        for t, places in self.short.items() if in_words else ():
+            self.words.add_word(t, (len(t), places))
+        if len(self.words):
+            self.words.make_automaton()
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -127,6 +135,14 @@ class Matcher:
         """(item, distance) of each item that some part of the text matches."""
         text = folded(text)
         out = [(n, 0) for n in self.short.get(text, ())]
+        if len(self.words):
+            held: set[int] = set()
+            for end, (size, places) in self.words.iter(text):
+                start = end + 1 - size
+                joined = start and text[start - 1].isalnum() and text[start].isalnum() or text[end + 1 : end + 2].isalnum() and text[end].isalnum()
+                if not joined:
+                    held.update(places)
+            out = [(n, 0) for n in sorted(held)]
         spans: dict[int, list[list[int]]] = {}
         if self.any:
             for end, (size, places) in self.automaton.iter(text):
@@ -168,14 +184,14 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int
         yield held
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, in_words: bool = False) -> DataFrame:
     """The rows of docs that hold no item; each block of items filters what the last one left."""
     at = docs.columns.index(text_col)
     for block in item_blocks(items, item_id, item_text, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast([x[1] for x in block])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+            matcher = Matcher(sent.value, rate, in_words)
             for batch in batches:
                 keep = [not (text and matcher.search(text)) for text in texts_of(batch.column(at))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
@@ -184,7 +200,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     return docs
 
 
-def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, in_words: bool = False) -> DataFrame:
     """docs' columns but the text, plus item_id and errors: a row for each item that a document holds."""
     base = without(docs, *({"item_id", "errors"} - {text_col}))
     kept = [c for c in base.columns if c != text_col]
@@ -198,7 +214,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = [x[0] for x in sent.value], [x[1] for x in sent.value]
-            matcher = Matcher(texts, rate)
+            matcher = Matcher(texts, rate, in_words)
             for batch in batches:
                 rows, found, errors = [], [], []
                 for i, text in enumerate(texts_of(batch.column(len(kept)))):

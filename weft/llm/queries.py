@@ -47,7 +47,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, with the fewest edits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"), in_words=True)
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
