@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import excerpts
 from weft.functions import text as tx
-from weft.operators import cases, contracts, evidence
+from weft.operators import cases, contracts, evidence, ranking
 from weft.plans.catalog import query, table
 
 CITE = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains(['the', 'and', 'with', 'this', 'that', 'from', 'into', 'your', 'for', 'air', 'fryer', 'device', 'appliance', 'control', 'panel', 'button'], x))"
@@ -146,6 +146,21 @@ def paired_differences(spark: SparkSession, d: str) -> DataFrame:
     return evidence.paired_differences(c, "case_", "strategy", "v", "src1", "src2")
 
 
+@query(
+    "paired_cases",
+    """
+  WITH r AS (SELECT lang, source AS strategy, quality, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents JOIN labels USING (doc_id))
+  SELECT a.lang || ':' || a.n AS case_, CAST(a.quality - b.quality AS DOUBLE) AS difference FROM r a JOIN r b USING (lang, n) WHERE a.strategy = 'src1' AND b.strategy = 'src2'
+""",
+)
+def paired_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources' labelled documents of a language, paired by their place: the cases grow with the documents."""
+    r = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    r = ranking.ranked(r, ["lang", "source"], [F.col("doc_id")], "n")
+    r = r.select(F.concat_ws(":", "lang", "n").alias("case_"), "source", "quality")
+    return evidence.paired_differences(r, "case_", "source", "quality", "src1", "src2")
+
+
 @query("paired_bootstrap")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Resampled gains of each language's documents, quality against toxicity."""
