@@ -102,7 +102,6 @@ class Matcher:
 
     def __init__(self, items: list[str], rate: float = RATE, in_words: bool = False):
         self.items = [folded(t) for t in items]
-        self.in_words = in_words
         self.k = [budget(t, rate) for t in self.items]
         self.short: dict[str, list[int]] = {}
         self.peq: dict[str, dict[str, int]] = {}
@@ -207,7 +206,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     base = base.select(*kept, F.col(text_col).alias("__text"))
     id_type = items.schema[item_id].dataType
     schema = T.StructType([*base.schema.fields[:-1], T.StructField("item_id", id_type), T.StructField("errors", T.IntegerType())])
-    spark, blocks = docs.sparkSession, list(item_blocks(items, item_id, item_text, block_chars))
+    spark, out = docs.sparkSession, None
 
     def of(block) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
@@ -230,9 +229,8 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
         return map_arrow(base, run, schema)
 
-    out = of(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(of(block))
+    for block in item_blocks(items, item_id, item_text, block_chars):  # the driver holds one block of items at a time
+        out = of(block) if out is None else out.unionByName(of(block))
     return out
 
 
