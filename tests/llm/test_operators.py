@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -79,6 +80,52 @@ def test_language_id_vectors_equal_the_definition():
     assert (big.bundle([text, wide])[0] == first[0]).all()
 
 
+def test_language_id_parts_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdéß1.") for _ in range(rng.randint(1, 30))) for _ in range(n)) for n in (1, 40, 400)] + ["", "x" * 900, " " * 300]
+    whole = language_id.Encoder(64).bundle(texts)
+    monkeypatch.setattr(language_id, "PART_CHARS", 50)
+    assert all("".join(language_id.parted(t)) == t for t in texts)
+    assert (language_id.Encoder(64).bundle(texts) == whole).all()
+
+
+def test_language_id_query_equals_brute_force(spark):
+    """Prototypes, cosines and the held-out rule by a plain version, over all documents of the smallest table."""
+    from weft.llm.queries import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rolled: dict[str, np.ndarray] = {}
+    e = language_id.Encoder()
+    letter = lambda c: e._random(32 if c == " " else ord(c)).astype(np.int64)
+
+    def bundled(text):
+        grams = collections.Counter()
+        for word in re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", text or "").lower()):
+            padded = f" {word} "
+            grams.update(padded[i : i + 3] for i in range(len(word)))
+        out = np.zeros(e.dim, dtype=np.int64)
+        for g, n in grams.items():
+            if g not in rolled:
+                rolled[g] = np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+            out += n * rolled[g]
+        return out
+
+    vectors = {r["doc_id"]: bundled(r["text"]) for r in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in vectors}
+    learned = [r for r in rows if r["lang"] and not held[r["doc_id"]]]
+    names = sorted({r["lang"] for r in learned})
+    proto = np.stack([sum(vectors[r["doc_id"]] for r in learned if r["lang"] == n) for n in names]).astype(float)
+    got = {r["doc_id"]: r for r in QUERIES["op1_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for d, v in vectors.items():
+        if v.any():
+            cos = proto @ v / np.linalg.norm(proto, axis=1) / np.linalg.norm(v)
+            want = (names[int(np.round(cos, 12).argmax())], max(0.0, cos.max()))
+        else:
+            want = ("und", 0.0)
+        assert (got[d]["held_out"], got[d]["lang_pred"]) == (held[d], want[0]) and abs(got[d]["score"] - want[1]) < 1e-9
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.filter(~language_id.held_out()))

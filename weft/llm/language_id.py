@@ -33,6 +33,8 @@ MAX_LANGUAGES = 4096
 #: Trigram vectors kept by a task for reuse; beyond it they are made anew.
 CACHE_ROWS = 24_576
 BATCH_CHARS = 60_000
+#: Longer texts are bundled in parts, cut at blanks: trigrams don't cross these.
+PART_CHARS = 1_000_000
 #: Alphabets up to this many letters use a dense trigram table.
 DENSE = 160
 
@@ -116,13 +118,27 @@ class Encoder:
         return flat.reshape(len(texts), len(used)), used
 
     def bundle(self, texts: list[str]) -> np.ndarray:
-        """The texts' vectors, exact integers."""
+        """The texts' vectors, exact integers; a long text's is the sum of its parts', so memory is bounded by a part."""
+        if any(len(t) > PART_CHARS for t in texts):
+            return np.stack([sum(self._bundle([part])[0] for part in parted(t)) for t in texts])
+        return self._bundle(texts)
+
+    def _bundle(self, texts: list[str]) -> np.ndarray:
         counts, used = self.counts(texts)
         if counts.size and counts.max() * counts.shape[1] < 2**23:
             return (counts.astype(np.float32) @ self.vectors[used].astype(np.float32)).astype(np.float64)
         return counts.astype(np.float64) @ self.vectors[used].astype(np.float64)
 
 
+def parted(text: str):
+    """The text in parts of about PART_CHARS characters that end at a blank; one part at least."""
+    start = 0
+    while len(text) - start > PART_CHARS and (cut := text.find(" ", start + PART_CHARS)) >= 0:
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 def batches_of(texts: list[str]):
     start, size = 0, 0
     for i, t in enumerate(texts):
