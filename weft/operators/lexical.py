@@ -22,11 +22,19 @@ IDEOGRAPHS = re.compile("[一-鿿]{2,}")
 PIECES = range(2, 7)
 #: Query terms that may be sent to every task; more are joined by shuffle.
 MAX_TERMS = 500_000
+#: Bytes of a table that is dealt over all cores before its texts are parted into words.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key where it is so small that few tasks would hold it; tables over SMALL_BYTES stay as they lie."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL_BYTES else df
 
 
 def postings(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
-    """doc, term, tf and the document's length in tokens. Terms are counted before the shuffle, which the texts aren't part of."""
-    rows = docs.select(F.col(id_col).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("len"), F.explode("t").alias("term"))
+    """doc, term, tf and the document's length in tokens. Terms are counted before the shuffle, which the texts aren't part of (but for small tables)."""
+    rows = spread(docs, id_col).select(F.col(id_col).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("len"), F.explode("t").alias("term"))
     return rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
 
 
