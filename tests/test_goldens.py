@@ -345,3 +345,21 @@ def test_tree_of_a_long_session_is_a_forest(spark):
     assert "word7 here" in [r["text"] for r in tree.collapsed(tree.searched(m, q), 8).filter("conv_id = 1").collect()]  # others may share its place
     assert tree.collapsed(tree.searched(m, q), 5).filter("conv_id = 2").count() == 1
     assert tree.session_trees(m.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.45, "b": 0.55}, {"a": 0.3, "b": 0.35, "c": 0.35}])
+def test_fused_top_k_equals_ranks_of_all_rows(spark, weights):
+    rng = random.Random(5)
+    rows = [(q, i, *[rng.choice([None, float("nan"), rng.randrange(300) / 7, rng.randrange(300) / 7, rng.randrange(300) / 7]) for _ in "abc"]) for q, n in ((1, 600), (2, 4), (None, 250)) for i in range(n)]
+    got = ranking.fused_top_k(spark.createDataFrame(rows, "q long, doc long, a double, b double, c double"), ["q"], "doc", weights, 10).collect()
+    want = set()
+    for q in (1, 2, None):
+        mine, total = [r for r in rows if r[0] == q], {}
+        for at, name in enumerate("abc", 2):
+            low = lambda r, at=at: float("-inf") if r[at] is None or math.isnan(r[at]) else r[at]
+            for rank, r in enumerate(sorted(mine, key=lambda r: (-low(r), r[1])), 1):
+                total[r[1]] = total.get(r[1], 0.0) + weights.get(name, 0.0) / (60 + rank)
+        best = sorted(((-round(s, 9), d) for d, s in total.items()))[:10]
+        want |= {(q, d, -s, n) for n, (s, d) in enumerate(best, 1)}
+    assert {(r["q"], r["doc"], r["score"], r["rank"]) for r in got} == want
+    assert ranking.fused_top_k(spark.createDataFrame([], "q long, doc long, a double, b double, c double"), ["q"], "doc", weights, 10).count() == 0

@@ -26,7 +26,9 @@ def pairs_of(run: Column) -> Column:
 def scene_tokens(text: Column) -> Column:
     """Latin words, numbers and model names; runs of ideographs followed by their pairs; repeats kept."""
     found = matches(F.lower(text), f"[a-z0-9][a-z0-9._+/-]*|[{CJK}]+")
-    return F.flatten(F.transform(found, lambda t: F.concat(F.array(t), F.when(t.rlike(f"^[{CJK}]"), pairs_of(t)).otherwise(F.array().cast("array<string>")))))
+    with_pairs = F.flatten(F.transform(found, lambda t: F.concat(F.array(t), F.when(t.rlike(f"^[{CJK}]"), pairs_of(t)).otherwise(F.array().cast("array<string>")))))
+    # texts without ideographs need no look at each word
+    return F.when(text.rlike(f"[{CJK}]"), with_pairs).otherwise(found)
 
 
 def session_terms(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """BM25 and other lexical scoring over postings.
 
-Documents become (doc, term, tf) rows within their tasks, so that texts never travel; the corpus'
-figures, the terms' weights and the scores are all made from these rows, whose one exchange they
-share. Okapi weights: k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5)); an idf below 0
+Documents become rows of words within their tasks, so that texts never travel; one exchange of these
+by document is shared by the corpus' figures, the terms' weights and the scores, and the scores of a
+document are summed where its words lie. Okapi weights: k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5)); an idf below 0
 is replaced by a quarter of the mean idf over all terms. A term a query repeats counts each time.
 """
 
@@ -29,13 +29,15 @@ SMALL_BYTES = 64 << 20
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt by key where it is so small that few tasks would hold it; tables over SMALL_BYTES stay as they lie."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL_BYTES else df
+    # by a hash of the key: dealt by the key itself, its rows would count as dealt already, and what follows be made anew for each reader
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(key)) if size <= SMALL_BYTES else df
 
 
 def postings(docs: DataFrame, tokens, id_col: str = "doc_id") -> DataFrame:
-    """doc, term, tf and the document's length in tokens. Terms are counted before the shuffle, which the texts aren't part of (but for small tables)."""
-    rows = spread(docs, id_col).select(F.col(id_col).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
+    """doc, term, tf and the document's length in tokens, dealt by doc: words travel once, texts don't (but for small tables)."""
+    # a plain explode would have texts parted into words twice: once to see that there are any
+    rows = spread(docs, id_col).select(F.col(id_col).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("len"), F.explode_outer("t").alias("term"))
+    return rows.filter("term IS NOT NULL").repartition("doc").groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
 
 
 def corpus(docs: DataFrame, posts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +48,41 @@ def rrf(ranks: DataFrame, mode: str, k: int = RRF_K) -> DataFrame:
     return ranks.withColumn("score", score)
 
 
+def fused_top_k(df: DataFrame, by: list[str], item: str, scores: dict[str, float], k: int, places: int = 9, rrf_k: int = RRF_K) -> DataFrame:
+    """by, item, score, rank: the k best of each group by weighted reciprocal ranks, as if all its rows were ranked by each of `scores` (name: weight).
+
+    No task ranks a whole group. The k best of the heaviest score set a floor, so that whatever reaches it is among the `depth`
+    best of some score; these are found by partial limits. Those that can't reach the floor even at the best ranks left to them
+    go. The exact ranks of the rest, `depth` times the scores a group at most, are counts of the rows before them, summed
+    within the tasks. Null and NaN scores come last; items must be unique in a group.
+    """
+    heavy = max(scores.values())
+    depth = math.floor(sum(scores.values()) * (rrf_k + k) / heavy - rrf_k) + 2
+    rows = df.select(*by, item, *[nan_last(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))).alias(c) for c in scores])
+    at = None
+    for c in scores:
+        part = ranked(rows, by, [F.desc(c), F.col(item)], "__at").filter(F.col("__at") <= depth)
+        part = part.select(*by, item, *scores, *[(F.col("__at") if x == c else F.lit(None).cast("int")).alias(f"__{x}") for x in scores])
+        at = part if at is None else at.unionByName(part)
+    at = at.groupBy(*by, item, *scores).agg(*[F.min(f"__{c}").alias(f"__{c}") for c in scores])
+    sure, most = F.lit(0.0), F.lit(0.0)
+    for c, w in scores.items():
+        sure = sure + F.coalesce(F.lit(w) / (rrf_k + F.col(f"__{c}")), F.lit(0.0))
+        most = most + F.lit(w) / (rrf_k + F.coalesce(F.col(f"__{c}"), F.lit(depth + 1)))
+    kth = ranked(at.select(*by, item, sure.alias("__sure"), most.alias("__most"), *scores), by, [F.desc("__sure"), F.col(item)], "__n")
+    floor = F.min(F.when(F.col("__n") <= k, F.col("__sure"))).over(W.partitionBy(*by))
+    kept = kth.withColumn("__floor", floor).filter(F.col("__most") >= F.col("__floor") - 10.0**-places).select(*[F.col(b).alias(f"__{b}") for b in by], F.col(item).alias("__item"), *[F.col(c).alias(f"__{c}") for c in scores])
+    # a row counts for every kept item that it comes before, or is
+    before = lambda c: (F.col(c) > F.col(f"__{c}")) | ((F.col(c) == F.col(f"__{c}")) & (F.col(item) <= F.col("__item")))
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    counts = rows.join(kept, same).groupBy(*[f"__{b}" for b in by], "__item").agg(*[F.count_if(before(c)).alias(f"__{c}") for c in scores])
+    score = F.lit(0.0)
+    for c, w in scores.items():
+        score = score + F.lit(w) / (rrf_k + F.col(f"__{c}"))
+    out = counts.select(*[F.col(f"__{b}").alias(b) for b in by], F.col("__item").alias(item), F.round(score, places).alias("score"))
+    return top_k(out, by, "score", item, k)
+
+
 def capped(df: DataFrame, by: list[str], cap_on: str, score: str, tie: str, cap: int, k: int) -> DataFrame:
     """At most cap rows of each record, then the k best of each group."""
     kept = ranked(df, [*by, cap_on], [F.desc(score), F.col(tie)], "of_record").filter(F.col("of_record") <= cap)

@@ -71,20 +71,16 @@ HYBRID_SQL = f"""
 
 
 def fused(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    """Items' candidates (a shared term, and a vector under the document's id) ranked by each modality and fused."""
+    """Items' candidates (a shared term, and a vector under the document's id), the best by their ranks in each modality of a mode."""
     parts = {"dense": None, "visual": 32} if "tri" in mode else {"dense": None}
     rows = bm25_scores(spark, d).withColumnRenamed("score", "bm25").join(cosines(spark, d, **parts), ["query", "doc"])
-    names = ["bm25", *parts]
-    for name in names:
-        rows = ranking.ranked(rows, ["query"], [F.desc(name), F.col("doc")], f"{name}_rank")
-    if "tri" not in mode:
-        rows = rows.withColumn("visual_rank", F.lit(None).cast("int"))
-    return ranking.rrf(rows, mode).select("query", "doc", F.round("score", 9).alias("score"))
+    weights = dict(zip(["bm25", *parts], ranking.MODES[mode], strict=False))
+    return ranking.fused_top_k(rows, ["query"], "doc", weights, K)
 
 
 @query("hybrid_rrf", HYBRID_SQL)
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.top_k(fused(spark, d, ranking.effective_mode("hybrid", True, False)), ["query"], "score", "doc", K)
+    return fused(spark, d, ranking.effective_mode("hybrid", True, False))
 
 
 @query(
@@ -101,7 +97,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 """,
 )
 def tri_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.top_k(fused(spark, d, ranking.effective_mode("tri_hybrid", True, True)), ["query"], "score", "doc", K)
+    return fused(spark, d, ranking.effective_mode("tri_hybrid", True, True))
 
 
 @query(
