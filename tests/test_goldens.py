@@ -363,3 +363,28 @@ def test_fused_top_k_equals_ranks_of_all_rows(spark, weights):
         want |= {(q, d, -s, n) for n, (s, d) in enumerate(best, 1)}
     assert {(r["q"], r["doc"], r["score"], r["rank"]) for r in got} == want
     assert ranking.fused_top_k(spark.createDataFrame([], "q long, doc long, a double, b double, c double"), ["q"], "doc", weights, 10).count() == 0
+
+
+def test_rejected_instruction_empties_its_answer(spark):
+    rows = [(1, 0, None, True), (1, 1, "x", True), (1, 2, "y", False), (2, 0, "x", False), (2, 1, None, True), (2, 2, "x", None), (None, 0, "x", True), (None, 1, None, None)]
+    got = evidence.scoped_claims(spark.createDataFrame(rows, "a long, n long, reason string, does boolean"), "a", "reason", "does").collect()
+    again = evidence.REVALIDATE
+    assert {(r["a"], r["n"]): r["reason"] for r in got} == {(1, 0): again, (1, 1): "x", (1, 2): "y", (2, 0): "x", (2, 1): None, (2, 2): "x", (None, 0): "x", (None, 1): again}
+
+
+def test_scene_tags_that_back_nothing_go(spark):
+    answers = spark.createDataFrame([(1, "Press the green reset lever. [VID:s1] [VID:s2]\nTurn left [VID:s9] now. Green lever [VID:s1] glows!"), (2, "Green reset lever. [VID:s1]"), (3, None)], "k long, answer string")
+    scenes = spark.createDataFrame([(1, "s1", "the reset lever, green"), (1, "s2", "something else entirely"), (1, "s2", None)], "k long, scene string, text string")
+    got = {(r["k"], r["pos"]): (r["sentence"], r["cited"]) for r in evidence.cited_scenes(answers, scenes, "k", "answer", "scene", "text").collect()}
+    assert got == {
+        (1, 0): ("Press the green reset lever. [VID:s1]", ["s1"]),
+        (1, 1): ("Turn left  now.", []),
+        (1, 2): ("Green lever [VID:s1] glows!", ["s1"]),
+        (2, 0): ("Green reset lever.", []),
+    }
+
+
+def test_links_outside_the_allowed_hosts(spark):
+    rows = [("see https://Docs.example.org/a?b and http://u@evil.example:80/x, http://evil.example",), ("no link",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(tx.foreign_links(F.col("t"), ["docs.example.org"])).collect()]
+    assert got == [["evil.example"], [], []]

@@ -298,6 +298,13 @@ def unsafe(text: Column) -> Column:
     return hit
 
 
+def foreign_links(text: Column, allowed: list[str]) -> Column:
+    """Distinct hosts, in order, that a text links to outside an allow-list; a null text has none."""
+    links = F.coalesce(matches(text, r"https?://[^\s\"<>]+"), F.array().cast("array<string>"))
+    hosts = F.transform(links, lambda u: F.lower(F.regexp_extract(u, r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+    return F.array_distinct(F.filter(hosts, lambda h: ~h.isin(allowed)))
+
+
 def gated(text: Column, wanted: str, unwanted: str) -> Column:
     """Whether the wanted pattern is found and the unwanted one isn't."""
     return text.rlike(wanted) & ~text.rlike(unwanted)

@@ -241,6 +241,38 @@ def first_exclusion(answers: DataFrame, key: str, text: str, rules: DataFrame) -
     return rows.groupBy(key).agg(F.min(F.struct("rule_order", "rule")).alias("x")).select(key, "x.rule")
 
 
+#: Fixed value: the reason of claims that go because a step of their procedure was rejected.
+REVALIDATE = "procedure_requires_revalidation"
+
+
+def scoped_claims(claims: DataFrame, by: str, reason: str, instruction: str) -> DataFrame:
+    """claims with their last reason: where an instruction of an answer was rejected, its other claims go too. A null reason is kept.
+
+    claims: a row a claim, with the reason it was rejected for (or null) and whether it is an instruction (null: it isn't). Answers
+    to be emptied are found by aggregation and joined, so that none is collected. A null `by` is an answer too.
+    """
+    broken = claims.filter(F.col(reason).isNotNull() & F.col(instruction)).select(F.col(by).alias("__by")).distinct()
+    rows = claims.join(broken.withColumn("__broken", F.lit(True)), F.col(by).eqNullSafe(F.col("__by")), "left")
+    return rows.withColumn(reason, F.coalesce(F.col(reason), F.when(F.col("__broken"), F.lit(REVALIDATE)))).drop("__by", "__broken")
+
+
+def cited_scenes(answers: DataFrame, scenes: DataFrame, key: str, answer: str, scene: str, text: str) -> DataFrame:
+    """key, pos, sentence, cited: each sentence less the [VID:..] tags of scenes that don't back it, and the distinct tags left, sorted.
+
+    A tag holds if a scene of that name and key supports the sentence. Sentences meet only the scenes that they name.
+    """
+    s = answers.select(F.col(key).alias("__key"), F.posexplode(tx.answer_sentences(F.col(answer))).alias("pos", "sentence"))
+    named = F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"\[VID:([A-Za-z0-9._:-]+)\]"), 1))
+    tags = s.select("__key", "pos", "sentence", F.explode_outer(named).alias("tag"))
+    e = scenes.select(F.col(key).alias("__of"), F.col(scene).cast("string").alias("__scene"), F.col(text).alias("__text"))
+    hit = tags.join(e, (F.col("__key") == F.col("__of")) & (F.col("tag") == F.col("__scene")), "left")
+    holds = F.coalesce(supported(tx.citation_tokens(F.col("sentence")), tx.citation_tokens(F.col("__text"))), F.lit(False))
+    one = hit.groupBy("__key", "pos", "sentence", "tag").agg(F.max(holds).alias("ok"))
+    g = one.groupBy("__key", "pos", "sentence").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("tag")))).alias("cited"), F.collect_list(F.when(~F.col("ok"), F.col("tag"))).alias("wrong"))
+    bare = F.aggregate("wrong", F.col("sentence"), lambda t, w: F.replace(t, F.concat(F.lit("[VID:"), w, F.lit("]")), F.lit("")))
+    return g.select(F.col("__key").alias(key), "pos", F.trim(F.regexp_replace(bare, r"[ \t]+([.!?。！？])", "$1")).alias("sentence"), "cited")
+
+
 def bounded_evidence(hits: DataFrame, by: str, key: list[str], order: str, text: str, total: int = 6000) -> DataFrame:
     """First occurrences of each key in order, their texts cut where the sum of characters reaches the total."""
     first = hits.withColumn("__n", F.row_number().over(W.partitionBy(by, *key).orderBy(order))).filter(F.col("__n") == 1).drop("__n")

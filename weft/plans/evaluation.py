@@ -227,6 +227,46 @@ def exclusion_rules(spark: SparkSession, d: str) -> DataFrame:
     return evidence.first_exclusion(table(spark, d, "documents"), "doc_id", "text", rules)
 
 
+@query(
+    "scoped_claims",
+    f"""
+  WITH c AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' WHEN turn % 11 = 3 THEN 'turn' END AS reason, regexp_matches(text, '^[TA]') AS instruction FROM conversations),
+  b AS (SELECT DISTINCT conv_id FROM c WHERE reason IS NOT NULL AND instruction)
+  SELECT c.conv_id, turn, coalesce(reason, CASE WHEN b.conv_id IS NOT NULL THEN '{evidence.REVALIDATE}' END) AS reason FROM c LEFT JOIN b USING (conv_id)
+""",
+)
+def scoped_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as claims (with made-up reasons and instructions): a rejected instruction empties its conversation."""
+    reason = F.when(F.col("text").rlike("(?i)license"), "license").when(F.col("turn") % 11 == 3, "turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", reason.alias("reason"), F.col("text").rlike("^[TA]").alias("instruction"))
+    return evidence.scoped_claims(c, "conv_id", "reason", "instruction").select("conv_id", "turn", "reason")
+
+
+@query(
+    "cited_scenes",
+    rf"""
+  WITH a AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？\n]+'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM conversations WHERE role = 'assistant'),
+  s AS (SELECT conv_id, turn, unnest(ss) AS body, generate_subscripts(ss, 1) - 1 AS pos FROM a),
+  t AS (SELECT *, list_distinct([CAST(turn - 1 AS VARCHAR), CAST(pos % 3 AS VARCHAR)]) AS named, {CITE.format("body")} AS w FROM s),
+  e AS (SELECT conv_id, CAST(turn AS VARCHAR) AS tag, {CITE.format("text")} AS w FROM conversations WHERE role = 'user'),
+  n AS (SELECT conv_id, turn, pos, body, w, unnest(named) AS tag FROM t),
+  h AS (SELECT n.conv_id, n.turn, n.pos, n.body, n.tag, len(n.w) > 0 AND len(list_intersect(n.w, e.w)) >= CASE WHEN len(n.w) <= 2 THEN 1 ELSE 2 END AND len(list_intersect(n.w, e.w)) >= 0.25 * len(n.w) AS ok FROM n LEFT JOIN e USING (conv_id, tag))
+  SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (ok), '') AS cited FROM h GROUP BY conv_id, turn, pos
+""",
+)
+def cited_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of assistants' answers, each tagged (made up) with the turn before the answer and one of the first three; user turns are the scenes."""
+    c = table(spark, d, "conversations")
+    a = c.filter("role = 'assistant'").select("conv_id", "turn", F.filter(F.transform(tx.matches(F.col("text"), r"[^.!?。！？\n]+"), lambda s: F.trim(s)), lambda s: s != "").alias("ss"))
+    tag = lambda x: F.concat(F.lit(" [VID:"), x.cast("string"), F.lit("]"))
+    told = F.array_join(F.transform("ss", lambda s, i: F.concat(s, F.lit("."), tag(F.col("turn") - 1), tag(i % 3))), "\n")
+    key = F.struct("conv_id", "turn")
+    answers = a.select(key.alias("at"), told.alias("answer"))
+    users = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("scene"), "text")
+    scenes = a.select("conv_id", "turn").join(users, "conv_id").select(key.alias("at"), "scene", "text")
+    return evidence.cited_scenes(answers, scenes, "at", "answer", "scene", "text").select("at.conv_id", "at.turn", "pos", F.array_join("cited", ",").alias("cited"))
+
+
 @query(
     "bounded_evidence",
     """

@@ -240,6 +240,19 @@ def publishing_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.unsafe(F.col("text")).alias("unsafe"))
 
 
+@query(
+    "foreign_links",
+    r"""
+  WITH u AS (SELECT page_id, list_transform(regexp_extract_all(concat_ws(' ', url, 'http://a@Docs.example.org:80/x', html), 'https?://[^\s"<>]+'), lambda u: lower(regexp_extract(u, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1))) AS hosts FROM pages)
+  SELECT page_id, len(hosts) > 0 AND NOT list_has_all(['docs.example.org'], hosts) AS foreign_ FROM u
+""",
+)
+def foreign_links(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a page (with its address and one made-up link before its text) links outside an allow-list."""
+    said = F.concat_ws(" ", "url", F.lit("http://a@Docs.example.org:80/x"), "html")
+    return table(spark, d, "pages").select("page_id", (F.size(tx.foreign_links(said, ["docs.example.org"])) > 0).alias("foreign_"))
+
+
 @query("text_digest", "SELECT doc_id, sha256(text)[1:24] AS id FROM documents")
 def text_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.digest(F.col("text"), 24).alias("id"))
