@@ -91,8 +91,10 @@ def capped(df: DataFrame, by: list[str], cap_on: str, score: str, tie: str, cap:
 
 def relevance_gate(df: DataFrame, by: list[str], score: str, least_best: float = 2.0, absolute: float = 0.25, relative: float = 0.10) -> DataFrame:
     """Groups whose best score reaches least_best, and of these the rows that reach max(absolute, relative * best)."""
-    best = F.max(score).over(W.partitionBy(*by))
-    return df.withColumn("best", best).filter((F.col("best") >= least_best) & (F.col(score) >= F.greatest(F.lit(absolute), F.col("best") * relative)))
+    # bests are found by partial aggregation: a window would sort all rows of a group in one task
+    best = df.groupBy(*by).agg(F.max(score).alias("best")).filter(F.col("best") >= least_best).select(*[F.col(b).alias(f"__{b}") for b in by], "best")
+    rows = df.join(best, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
+    return rows.filter(F.col(score) >= F.greatest(F.lit(absolute), F.col("best") * relative)).drop(*[f"__{b}" for b in by])
 
 
 def ordered_union(lists: list[DataFrame], by: list[str], item: str, pos: str, most: int = 80) -> DataFrame:
