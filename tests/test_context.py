@@ -44,24 +44,6 @@ def test_results_keep_their_headers():
     assert contracts.compact_results("plain " * 100, 200)[0].startswith("plain") and size(contracts.compact_results("plain " * 100, 200)[0]) <= 200
 
 
-def test_request_blocks_fragments_and_protected_texts():
-    use = lambda i: {"role": "assistant", "content": [{"type": "text", "text": "look"}, {"type": "tool_use", "id": i}]}
-    result = lambda i, t: {"role": "user", "content": [{"type": "tool_result", "tool_use_id": i, "content": t}, {"type": "text", "text": "go on"}]}
-    body = {"messages": [{"role": "user", "content": "first"}, use("a"), result("a", "x" * 2000), use("b"), result("b", "y" * 2000), {"role": "user", "content": "old fragment then now"}], "max_tokens": 5}
-    n = contracts.request_bytes(body)[0]
-    cut, done = contracts.within_budget(body, window=n, safety=0)
-    assert done["exchanges"] == 1 and cut["messages"][1] == {"role": "user", "content": [{"type": "text", "text": "go on"}]} and done["results"] == 0
-    cut, done = contracts.within_budget(body, window=1200, safety=0)
-    assert done["results"] == 1 and done["fits"] and "b" == cut["messages"][2]["content"][1]["id"]
-    old = "old fragment " * 20
-    small = {"messages": [{"role": "system", "content": f"s {old}"}, {"role": "user", "content": f"a {old} b"}, {"role": "user", "content": "now"}], "max_tokens": 0}
-    cut, done = contracts.within_budget(small, window=contracts.request_bytes(small)[0] - 1, safety=0, protected=("now",), optional=[(1, "now"), (2, old)])
-    assert done["optional"] == 1 and cut["messages"][0] == small["messages"][0] and cut["messages"][1]["content"] == f"a {contracts.OLD_LEFT_OUT} b"
-    image = {"role": "user", "content": [{"type": "image", "data": "z" * 99}]}
-    cut, done = contracts.within_budget({"messages": [image, {"role": "user", "content": "q"}]}, window=10, safety=0, image=1)
-    assert image in cut["messages"] and not done["fits"]
-
-
 def test_condition_lists_stay_whole():
     text = "Use it as follows.\nOnly in the following cases:\n1. dry\n   and warm\n\n2) calm\nplain\nnever wet\n如果下列情况：\n2. no"
     assert context.condition_lines(text) == ["Only in the following cases:\n1. dry\n   and warm\n\n2) calm", "never wet", "如果下列情况："]
@@ -133,9 +115,3 @@ def test_answers_and_captions(spark):
     assert got == {1: 'A <PIC> b,["x"]', 2: tx.NO_ANSWER, 3: "call"}
     one = spark.createDataFrame([("f_000012.jpg",), ("bad",)], "n string")
     assert one.filter("n <> 'bad'").select(media.frame_time(F.col("n"), F.lit(2.0), F.lit(20.0))).first()[0] == 20.0
-
-
-def test_contract_columns_take_batches(spark):
-    df = spark.createDataFrame([("{}",), (json.dumps({"messages": [{"role": "user", "content": "x" * 500}], "max_tokens": 1}),)], "raw string")
-    got = df.select(contracts.budget_column(F.col("raw"), window=100, safety=0).alias("b")).select("b.*").collect()
-    assert [r["fits"] for r in got] == [True, False] and got[0]["request"] == "{}"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import excerpts
-from weft.operators import cases, contracts, evidence
+from weft.operators import cases, contracts, evidence, requests, revisions
 
 
 def test_excerpt_keeps_ends_and_marks_the_gap():
@@ -34,33 +34,62 @@ def claim(**change):
     return {"text": "Press it twice", "verdict": "supported", "evidence": [{"source_id": "M1", "quote": "red button twice"}]} | change
 
 
-@pytest.mark.parametrize(
-    "value, problem",
-    [
-        ({"claims": [claim()], "insufficient": False}, None),
-        ({"claims": [], "insufficient": True}, None),
-        ({"claims": [], "insufficient": False}, "number of claims"),
-        ({"claims": [claim()], "insufficient": 0}, "types"),
-        ({"claims": [claim(verdict="partial")], "insufficient": False}, "verdict"),
-        ({"claims": [claim(evidence=[{"source_id": "M1", "quote": "blue"}])], "insufficient": False}, "reference"),
-        ({"claims": [claim(evidence=[{"source_id": "M1", "quote": "red"}] * 2)], "insufficient": False}, "reference"),
-        ({"claims": [claim(text="a\n\nb")], "insufficient": False}, "markup"),
-        ({"claims": [claim()], "insufficient": False, "x": 1}, "keys"),
-        ({"claims": [claim()], "insufficient": True, "assessment": {"requested_task": "t", "answerability": "complete", "reason": "r"}}, "insufficiency"),
-    ],
-)
-def test_revision(value, problem):
-    if problem is None:
-        assert contracts.revision(json.dumps(value), SOURCES) == value["claims"]
-    else:
-        with pytest.raises(contracts.Broken, match=problem):
-            contracts.revision(json.dumps(value), SOURCES)
-
-
-def test_duplicate_keys_and_bad_json():
-    for raw, problem in (('{"claims": [], "claims": [], "insufficient": true}', "duplicate"), ("{", "json")):
-        with pytest.raises(contracts.Broken, match=problem):
-            contracts.revision(raw, SOURCES)
+RATED = {"requested_task": "t", "answerability": "complete", "reason": "r"}
+REPLIES = [
+    ({"claims": [claim()], "insufficient": False}, None),
+    ({"claims": [], "insufficient": True}, None),
+    ({"claims": [], "insufficient": False}, "number of claims"),
+    ({"claims": [claim()] * 7, "insufficient": False}, "number of claims"),
+    ({"claims": [claim()], "insufficient": 0}, "types"),
+    ({"claims": {}, "insufficient": True}, "types"),
+    ({"claims": [claim(verdict="partial")], "insufficient": False}, "verdict"),
+    ({"claims": [claim(evidence=[{"source_id": "M1", "quote": "blue"}])], "insufficient": False}, "reference"),
+    ({"claims": [claim(evidence=[{"source_id": "M9", "quote": "red"}])], "insufficient": False}, "reference"),
+    ({"claims": [claim(evidence=[{"source_id": "M1", "quote": "red"}] * 2)], "insufficient": False}, "reference"),
+    ({"claims": [claim(evidence=[{"source_id": "M1", "quote": "red"}, {"source_id": "M2", "quote": "wait"}])], "insufficient": False}, None),
+    ({"claims": [claim(evidence=[])], "insufficient": False}, "evidence"),
+    ({"claims": [claim(evidence=[{"source_id": "M1"}])], "insufficient": False}, "keys"),
+    ({"claims": [claim(evidence=[{"source_id": 1, "quote": "red"}])], "insufficient": False}, "text"),
+    ({"claims": [claim(text="a\n\nb")], "insufficient": False}, "markup"),
+    ({"claims": [claim(text=" \n")], "insufficient": False}, "text"),
+    ({"claims": [claim(text="x" * 1201)], "insufficient": False}, "text"),
+    ({"claims": [claim(x=1)], "insufficient": False}, "keys"),
+    ({"claims": [claim(), claim(verdict="no"), claim(text="")], "insufficient": False}, "verdict"),
+    ({"claims": [claim()], "insufficient": False, "x": 1}, "keys"),
+    ([1], "keys"),
+    ({"claims": [claim()], "insufficient": True, "assessment": RATED}, "insufficiency"),
+    ({"claims": [claim()], "insufficient": False, "assessment": RATED}, None),
+    ({"claims": [claim()], "insufficient": False, "assessment": RATED | {"x": 1}}, "keys"),
+    ({"claims": [claim()], "insufficient": True, "assessment": RATED | {"answerability": "none"}}, "claims without an answer"),
+    ({"claims": [claim()], "insufficient": False, "assessment": RATED | {"answerability": "all"}}, "answerability"),
+    ({"claims": [claim()], "insufficient": False, "assessment": RATED | {"missing_parts": ["a"], "required_conditions": []}}, "missing parts of a complete answer"),
+    ({"claims": [claim()], "insufficient": False, "assessment": RATED | {"missing_parts": [], "required_conditions": ["b", "b"]}}, "required_conditions"),
+    ({"claims": [claim()], "insufficient": False, "assessment": RATED | {"missing_parts": []}}, "keys"),
+    ('{"claims": [], "claims": [], "insufficient": true}', "duplicate key"),
+    ('{"claims": [{"text": "a", "text": "b"}], "insufficient": true}', "duplicate key"),
+    ("{", "json"),
+    ("", "json"),
+    (None, "size"),
+    ('{"claims": [], "insufficient": true}' + " " * 32_000, "size"),
+]
+
+
+def test_revisions(spark):
+    rows = [(i, v if v is None or isinstance(v, str) else json.dumps(v)) for i, (v, _) in enumerate(REPLIES)]
+    sources = spark.createDataFrame([(i, s, t) for i, _ in rows for s, t in SOURCES.items()], "key long, source string, text string")
+    df = spark.createDataFrame(rows, "id long, raw string")
+    got = {r["id"]: (r["ok"], r["problem"]) for r in revisions.checked(df, sources, "id", "raw").collect()}
+    for i, (value, problem) in enumerate(REPLIES):
+        assert got[i] == (problem is None, problem), value
+    first = revisions.claims(df.filter("id = 0"), "id", "raw").first()
+    assert first["text"] == "Press it twice" and [tuple(e) for e in first["evidence"]] == [("M1", "red button twice")]
+
+
+def test_revisions_of_odd_tables(spark):
+    sources = spark.createDataFrame([], "key long, source string, text string")
+    df = spark.createDataFrame([(None, "{"), (None, json.dumps({"claims": [], "insufficient": True})), (2, json.dumps({"claims": [], "insufficient": True}))], "id long, raw string")
+    assert sorted(map(tuple, revisions.checked(df, sources, "id", "raw").collect()), key=repr) == [(2, True, None), (None, False, "json")]
+    assert revisions.checked(df.limit(0), sources, "id", "raw").count() == 0
 
 
 def test_audit_derives_answerability():
@@ -73,13 +102,37 @@ def test_audit_derives_answerability():
         contracts.audit(json.dumps(value), {"S1": "one", "S2": "two"}, catalog)
 
 
-def test_summary_contract_and_fallback():
-    turns = {1: {"question": "the pump leaks", "answer": "check the seal"}}
-    value = {f: [] for f in contracts.SUMMARY_FIELDS} | {"confirmed_symptoms": [{"text": "leak", "sources": [{"turn_id": 1, "role": "user", "quote": "pump leaks"}]}]}
-    assert len(contracts.summary(value, turns, 500)) == 1
-    value["confirmed_symptoms"][0]["sources"][0]["role"] = "assistant"
-    with pytest.raises(contracts.Broken, match="role"):
-        contracts.summary(value, turns, 500)
+def test_summary_contract(spark):
+    turns = spark.createDataFrame([(k, 1, "the pump leaks", "check the seal") for k in range(20)], "id long, turn_id long, question string, answer string")
+    cited = lambda **c: {"text": "leak", "sources": [{"turn_id": 1, "role": "user", "quote": "pump leaks"} | c]}
+    whole = lambda **fields: {f: [] for f in revisions.SUMMARY_FIELDS} | fields
+    cases_ = [
+        (whole(confirmed_symptoms=[cited()]), None),
+        (whole(confirmed_symptoms=[cited(role="assistant")]), "role or turn"),
+        (whole(confirmed_symptoms=[cited(turn_id=2)]), "role or turn"),
+        (whole(confirmed_symptoms=[cited(turn_id=True)]), "role or turn"),
+        (whole(confirmed_symptoms=[cited(quote="check the seal")]), "quote"),
+        (whole(unverified_assistant_advice=[cited(role="assistant", quote="the seal")]), None),
+        (whole(unverified_assistant_advice=[cited()]), "role or turn"),
+        (whole(), "empty"),
+        ({"equipment": []}, "keys"),
+        (whole(equipment=3), "list"),
+        (whole(equipment=[cited()] * 21), "list"),
+        (whole(equipment=[{"text": "x", "sources": []}]), "sources"),
+        (whole(equipment=[{"text": "", "sources": cited()["sources"]}]), "text"),
+        (whole(equipment=[cited(x=1)]), "keys"),
+        (whole(equipment=[cited() | {"text": "x" * 600}]), "budget"),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, (v, _) in enumerate(cases_)], "id long, raw string")
+    got = {r["id"]: r for r in revisions.summaries(df, turns, "id", "raw", 500).collect()}
+    assert [(got[i]["ok"], got[i]["problem"]) for i in range(len(cases_))] == [(p is None, p) for _, p in cases_]
+    assert got[0]["text"] == "confirmed_symptoms: leak [turn=1; user] pump leaks"
+    long = whole(current_goal=[cited(), cited() | {"text": "x" * 450}, cited() | {"text": "second"}])
+    out = revisions.summaries(spark.createDataFrame([(0, json.dumps(long))], "id long, raw string"), turns, "id", "raw", 500).first()["text"]
+    assert [x.split(" [")[0] for x in out.split("\n")] == ["current_goal: leak", "current_goal: second"]
+
+
+def test_rule_summary():
     out = contracts.rule_summary([{"id": i, "question": f"q{i} " * 30, "answer": "a"} for i in range(5)], 400)
     assert out[0].startswith("[turn=4; user]") and sum(map(excerpts.size, out)) + len(out) - 1 <= 400
 
@@ -100,25 +153,56 @@ def test_numbered_blocks():
     assert contracts.numbered_blocks("1. only") == []
 
 
-def test_request_budget_order_and_inclusive_bound():
-    call = lambda i: {"role": "assistant", "content": "", "tool_calls": [{"id": i}]}
-    tool = lambda i, t: {"role": "tool", "tool_call_id": i, "content": t}
-    body = {"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "first"}, call("a"), tool("a", "x" * 900), call("b"), tool("b", "y" * 900), {"role": "user", "content": "now"}], "max_tokens": 10}
-    n = contracts.request_bytes(body)[0]
-    same, done = contracts.within_budget(body, window=n + 10, safety=0)
-    assert same == body and done["fits"] and done["exchanges"] == 0
-    cut, done = contracts.within_budget(body, window=n + 9, safety=0)
-    assert done["exchanges"] == 1 and done["fits"] and [m.get("tool_call_id") for m in cut["messages"] if m["role"] == "tool"] == ["b"]
-    cut, done = contracts.within_budget(body, window=700, safety=0)
-    assert done["results"] == 1 and cut["messages"][0]["content"] == "s" and cut["messages"][-1]["content"] == "now"
-    assert not contracts.within_budget(body, window=50, safety=0)[1]["fits"]
-    assert contracts.request_bytes({"messages": [{"content": [{"type": "image", "data": "z" * 9999}]}]}, 100)[1] == 1
-
-
-def test_check_columns(spark):
-    df = spark.createDataFrame([(json.dumps({"claims": [], "insufficient": True}),), ("{",)], "raw string")
-    got = df.select(contracts.checked_column(lambda raw: contracts.revision(raw, {}), F.col("raw")).alias("c")).select("c.*").collect()
-    assert [tuple(r) for r in got] == [(True, None), (False, "json")]
+MESSAGE = "request long, pos long, role string, text string, calls array<string>, answers string, pictures int"
+TALK = [(0, "system", "s", [], None), (1, "user", "first", [], None), (2, "assistant", "", ["a"], None), (3, "tool", "x" * 900, [], "a"), (4, "assistant", "", ["b"], None), (5, "tool", "y" * 900, [], "b"), (6, "user", "now", [], None)]
+
+
+def budgets(spark, talk, windows, protected=None, fragments=None):
+    """Plans and reports of one request under several windows, by window."""
+    m = spark.createDataFrame([(i, p, r, t, c, a, pics[0] if pics else 0) for i in range(len(windows)) for p, r, t, c, a, *pics in talk], MESSAGE)
+    q = spark.createDataFrame([(i, w, 0, protected) for i, w in enumerate(windows)], "request long, window long, reserve long, protected array<string>")
+    f = None if fragments is None else spark.createDataFrame([(i, n, x) for i in range(len(windows)) for n, x in fragments], "request long, number int, fragment string")
+    plan, report = requests.planned(m, q, f)
+    plan = plan.cache()
+    done = {r["request"]: r for r in report.collect()}
+    actions = {i: {r["pos"]: r["action"] for r in plan.filter(F.col("request") == i).collect()} for i in range(len(windows))}
+    texts = {}
+    for r in requests.carried_out(m, plan, spark.createDataFrame([], "request long, question string")).orderBy("pos").collect():
+        texts.setdefault(r["request"], {})[r["pos"]] = r["text"]
+    return done, actions, texts
+
+
+def test_request_budget_order_and_inclusive_bound(spark):
+    whole = budgets(spark, TALK, [10**6])[0][0]["before"]
+    done, actions, texts = budgets(spark, TALK, [whole, whole - 1, 700, 50])
+    assert done[0]["fits"] and set(actions[0].values()) == {"kept"} and done[0]["after"] == whole
+    assert done[1]["exchanges"] == 1 and done[1]["fits"] and sorted(p for p, x in actions[1].items() if x == "exchange") == [2, 3] and done[1]["results"] == 0
+    assert done[2]["results"] == 1 and actions[2][5] == "cut" and len(texts[2][5].encode()) <= 900 and texts[2][0] == "s" and texts[2][6] == "now"
+    assert not done[3]["fits"] and {p for p, x in actions[3].items() if x in ("kept", "cut")} == {0, 1, 4, 5, 6}
+
+
+def test_exchanges_are_whole_and_never_the_last(spark):
+    open_ = [TALK[0], TALK[1], (2, "assistant", "", ["a", "c"], None), *TALK[3:]]  # one call isn't answered
+    late = [*TALK[:3], (3, "assistant", "well", [], None), (4, "tool", "x" * 900, [], "a"), (5, "assistant", "", ["b"], None), (6, "user", "now", [], None)]  # answered after the next reply
+    for talk in (open_, late):
+        done, actions, _ = budgets(spark, talk, [600])
+        assert done[0]["exchanges"] == 0 and done[0]["results"] >= 1
+    guarded = [*TALK[:2], (2, "assistant", "look at this", ["a"], None), *TALK[3:]]
+    assert budgets(spark, guarded, [600], protected=["look at this"])[0][0]["exchanges"] == 0
+
+
+def test_fragments_pictures_and_protected_texts(spark):
+    old = "old fragment " * 20
+    talk = [(0, "system", f"s {old}", [], None), (1, "user", f"a {old} b", [], None), (2, "user", "now", [], None)]
+    whole = budgets(spark, talk, [10**6])[0][0]["before"]
+    done, actions, texts = budgets(spark, talk, [whole - 1], protected=["now"], fragments=[(1, "now"), (2, old), (0, "absent")])
+    assert done[0]["optional"] == 1 and done[0]["messages"] == 0 and texts[0] == {0: f"s {old}", 1: f"a {contracts.OLD_LEFT_OUT} b", 2: "now"}
+    done, actions, _ = budgets(spark, [(0, "user", "", [], None, 1), (1, "user", "q", [], None)], [10])
+    assert not done[0]["fits"] and actions[0] == {0: "kept", 1: "kept"} and done[0]["before"] > requests.PICTURE
+    plain = [(0, "user", "first", [], None), *[(i, "assistant", "z" * 100, [], None) for i in range(1, 6)], (6, "user", "last", [], None)]
+    whole = budgets(spark, plain, [10**6])[0][0]["before"]
+    _, actions, _ = budgets(spark, plain, [whole - 150])
+    assert sorted(p for p, x in actions[0].items() if x == "message") == [4, 5]
 
 
 def test_cases_and_scores(spark):

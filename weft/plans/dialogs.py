@@ -6,10 +6,11 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions import text as tx
-from weft.operators import context, contracts, evidence, ranking, sections, sessions, vectors
+from weft.operators import context, contracts, evidence, ranking, revisions, sections, sessions, vectors
 from weft.plans.catalog import query, table
 from weft.plans.retrieval import BM25_SQL, bm25_scores
 
@@ -324,22 +325,32 @@ def picture_check(spark: SparkSession, d: str) -> DataFrame:
     return per.join(whole, "product").select("product", F.when(F.col("marks") == F.col("all"), F.col("marks")).alias("marks"))
 
 
-PAYLOADS = [
-    ('{"claims": [], "insufficient": true}', True, None),
-    ('{"claims": [], "claims": [], "insufficient": true}', False, "duplicate key"),
-    ('{"claims": []}', False, "keys"),
-    ('{', False, "json"),
-    ('{"claims": [{"text": "a", "verdict": "supported", "evidence": [{"source_id": "M1", "quote": "red"}]}], "insufficient": false}', True, None),
-    ('{"claims": [{"text": "a", "verdict": "supported", "evidence": [{"source_id": "M1", "quote": "blue"}]}], "insufficient": false}', False, "reference"),
-]
+REPLY_SQL = r"""
+  q AS (
+    SELECT doc_id, source, text, left(text, 60) AS claim, CASE WHEN doc_id % 4 = 1 THEN 'partial' ELSE 'supported' END AS verdict, CASE WHEN doc_id % 5 = 2 THEN 'nowhere' ELSE coalesce(source, '') END AS named,
+      CASE WHEN doc_id % 3 = 2 THEN 'x' || left(text, 30) ELSE left(text, 30) END AS quote, doc_id % 7 = 3 AS bare, doc_id % 11 = 5 AS short FROM documents)"""
 
 
-@query("revision_contract", "SELECT event_id, event_id % 6 IN (0, 4) AS ok FROM events")
+@query(
+    "revision_contract",
+    rf"""
+  WITH {REPLY_SQL}
+  SELECT doc_id, problem IS NULL AS ok, problem FROM (SELECT doc_id, CASE
+    WHEN bare AND NOT short THEN 'number of claims' WHEN bare THEN NULL WHEN verdict <> 'supported' THEN 'verdict'
+    WHEN claim IS NULL OR trim(regexp_replace(claim, '\s', ' ', 'g')) = '' THEN 'text' WHEN regexp_matches(claim, '\[\[|<PIC|
+\s*
+|^\s*#') THEN 'markup'
+    WHEN named = '' OR trim(regexp_replace(quote, '\s', ' ', 'g')) = '' THEN 'text' WHEN named <> source OR NOT contains(text, quote) THEN 'reference' END AS problem FROM q)
+""",
+)
 def revision_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Revisions of six kinds, two of them within the contract."""
-    raw = F.get(F.array(*[F.lit(p[0]) for p in PAYLOADS]), (F.col("event_id") % 6).cast("int"))
-    checked = contracts.checked_column(lambda t: contracts.revision(t, {"M1": "the red one"}), raw)
-    return table(spark, d, "events").select("event_id", checked.alias("c")).select("event_id", "c.ok")
+    """A reply to each document: its first words as a claim, with a quote under its source's name, some of them not within the contract."""
+    i = F.col("doc_id")
+    ref = F.struct(F.when(i % 5 == 2, "nowhere").otherwise(F.coalesce("source", F.lit(""))).alias("source_id"), F.when(i % 3 == 2, F.concat(F.lit("x"), F.left("text", F.lit(30)))).otherwise(F.left("text", F.lit(30))).alias("quote"))
+    claim = F.struct(F.left("text", F.lit(60)).alias("text"), F.when(i % 4 == 1, "partial").otherwise("supported").alias("verdict"), F.array(ref).alias("evidence"))
+    raw = F.to_json(F.struct(F.filter(F.array(claim), lambda _: i % 7 != 3).alias("claims"), (i % 11 == 5).alias("insufficient")), {"ignoreNullFields": "false"})
+    docs = table(spark, d, "documents")
+    return revisions.checked(docs.select("doc_id", raw.alias("raw")), docs.select(i.alias("key"), "source", "text"), "doc_id", "raw")
 
 
 @query("strict_objects", "SELECT event_id, event_id % 4 = 0 AS ok, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'keys' ELSE 'json' END AS problems FROM events")
@@ -350,20 +361,31 @@ def strict_objects(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "summary_contract",
-    "SELECT conv_id, turn_id, turn_id % 3 = 0 AS ok FROM (SELECT conv_id, turn AS turn_id FROM conversations WHERE role = 'user' AND length(text) >= 5)",
+    r"""
+  WITH m AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  p AS (SELECT conv_id, turn AS turn_id, text AS question, CASE WHEN nr = 'assistant' THEN nt ELSE '' END AS answer FROM m WHERE role = 'user'),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_id) - 1 AS e, conv_id % 5 AS kind FROM p WHERE length(question) >= 5),
+  x AS (
+    SELECT conv_id, e, left(question, 40) AS said, CASE WHEN kind = 2 AND e = 1 THEN question || '!' ELSE left(question, 40) END AS quote,
+      'current_goal: said [turn=' || turn_id || '; user] ' || left(question, 40) AS line, question, CASE WHEN kind = 1 AND e = 1 THEN 'assistant' ELSE 'user' END AS role FROM n),
+  b AS (SELECT conv_id, e, CASE WHEN role <> 'user' THEN 'role or turn' WHEN trim(regexp_replace(quote, '\s', ' ', 'g')) = '' OR NOT contains(question, quote) THEN 'quote' END AS problem FROM x),
+  w AS (SELECT conv_id, min(e) FILTER (problem IS NOT NULL) AS e FROM b GROUP BY conv_id)
+  SELECT w.conv_id, w.e IS NULL AS ok, b.problem, CASE WHEN w.e IS NULL THEN (SELECT string_agg(line, chr(10) ORDER BY x.e) FROM x WHERE x.conv_id = w.conv_id) END AS text
+  FROM w LEFT JOIN b ON b.conv_id = w.conv_id AND b.e = w.e
+""",
 )
 def summary_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries that quote a user's turn rightly, under the wrong role, or not at all."""
-    rows = turns(spark, d).filter(F.length("question") >= 5)
-    quote = F.when(F.col("turn_id") % 3 == 2, F.lit("never said this")).otherwise(F.left("question", F.lit(5)))
-    raw = F.to_json(F.struct("turn_id", F.when(F.col("turn_id") % 3 == 1, "assistant").otherwise("user").alias("role"), quote.alias("quote")))
-
-    def check(cited, question):
-        value = {f: [] for f in contracts.SUMMARY_FIELDS} | {contracts.SUMMARY_FIELDS[0]: [{"text": "said", "sources": [json.loads(cited)]}]}
-        contracts.summary(value, {json.loads(cited)["turn_id"]: {"question": question, "answer": ""}}, 10_000)
-
-    ok = contracts.checked_column(check, raw, F.col("question"))
-    return rows.select("conv_id", "turn_id", ok.alias("c")).select("conv_id", "turn_id", "c.ok")
+    """A summary of each conversation that quotes all its user turns, some under the wrong role or with words that weren't said."""
+    said = turns(spark, d)
+    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn_id")) - 1
+    kind = F.col("conv_id") % 5
+    rows = said.filter(F.length("question") >= 5).withColumn("e", n)
+    quote = F.when((kind == 2) & (F.col("e") == 1), F.concat("question", F.lit("!"))).otherwise(F.left("question", F.lit(40)))
+    cited = F.struct("turn_id", F.when((kind == 1) & (F.col("e") == 1), "assistant").otherwise("user").alias("role"), quote.alias("quote"))
+    entries = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", F.lit("said").alias("text"), F.array(cited).alias("sources")))), lambda x: F.struct(x["text"].alias("text"), x["sources"].alias("sources"))).alias("x"))
+    fields = [F.col("x").alias(f) if i == 0 else F.slice("x", 1, 0).alias(f) for i, f in enumerate(revisions.SUMMARY_FIELDS)]
+    raw = entries.select("conv_id", F.to_json(F.struct(*fields)).alias("raw"))
+    return revisions.summaries(raw, said, "conv_id", "raw", 100_000)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import excerpts
 from weft.functions import text as tx
-from weft.operators import cases, contracts, evidence, ranking
+from weft.operators import cases, evidence, ranking, requests
 from weft.plans.catalog import query, table
 
 CITE = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains(['the', 'and', 'with', 'this', 'that', 'from', 'into', 'your', 'for', 'air', 'fryer', 'device', 'appliance', 'control', 'panel', 'button'], x))"
@@ -301,13 +301,48 @@ def text_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *cut)
 
 
-@query("request_budget")
+#: A conversation as a request: every fourth turn makes a tool call that the next one answers.
+MESSAGES_SQL = """
+  m AS (
+    SELECT conv_id AS request, turn AS pos, CASE turn % 4 WHEN 1 THEN 'assistant' WHEN 2 THEN 'tool' ELSE CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END END AS role, coalesce(text, '') AS text,
+      CASE WHEN turn % 4 = 1 THEN 'c' || turn END AS call, CASE WHEN turn % 4 = 2 THEN 'c' || (turn - 1) END AS answers FROM conversations),
+  z AS (SELECT *, strlen('{"role":"","content":""}') + strlen(role) + strlen(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'))
+      + CASE WHEN call IS NOT NULL THEN strlen(',"tool_calls":[""]') + strlen(call) ELSE 0 END + CASE WHEN answers IS NOT NULL THEN strlen(',"tool_call_id":""') + strlen(answers) ELSE 0 END + 1 AS bytes FROM m),
+  u AS (SELECT request, arg_min(text, pos) AS a, arg_max(text, pos) AS b FROM z WHERE role = 'user' AND text <> '' GROUP BY request),
+  k AS (SELECT z.*, coalesce(contains(text, a) OR contains(text, b), FALSE) AS kept FROM z LEFT JOIN u USING (request)),
+  o0 AS (SELECT request, sum(bytes) AS before, sum(bytes) + 200 - 1500 AS over FROM k GROUP BY request)"""
+
+
+@query(
+    "request_budget",
+    f"""
+  WITH {MESSAGES_SQL},
+  t AS (SELECT request, pos, lead(pos) OVER (PARTITION BY request ORDER BY pos) AS until, call, bytes, kept, max(CASE WHEN call IS NOT NULL THEN pos END) OVER (PARTITION BY request) AS last FROM k WHERE role = 'assistant'),
+  e0 AS (SELECT t.request, t.pos AS call, r.pos AS reply, t.bytes + r.bytes AS freed FROM t JOIN k r ON r.request = t.request AND r.role = 'tool' AND r.answers = t.call AND r.pos > t.pos AND (until IS NULL OR r.pos < until) WHERE t.call IS NOT NULL AND t.pos < last AND NOT t.kept),
+  e AS (SELECT * FROM (SELECT *, coalesce(sum(freed) OVER (PARTITION BY request ORDER BY call ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e0) JOIN o0 USING (request) WHERE over - b > 0),
+  gone AS (SELECT request, call AS pos FROM e UNION SELECT request, reply FROM e),
+  o1 AS (SELECT request, before, o0.over AS was, o0.over - coalesce((SELECT sum(freed) FROM e WHERE e.request = o0.request), 0) AS over FROM o0),
+  l0 AS (SELECT request, pos, length(text) AS chars, strlen(text) AS size FROM k WHERE role = 'tool' AND NOT kept AND (request, pos) NOT IN (SELECT (request, pos) FROM gone) AND strlen(text) > 512),
+  l1 AS (SELECT *, coalesce(sum(size - 256) OVER (PARTITION BY request ORDER BY chars DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM l0),
+  l AS (SELECT request, pos, size - greatest(256, size - (over - b) - 128) AS freed FROM l1 JOIN o1 USING (request) WHERE over - b > 0),
+  o2 AS (SELECT request, before, was, over - coalesce((SELECT sum(freed) FROM l WHERE l.request = o1.request), 0) AS over FROM o1),
+  p0 AS (SELECT request, pos, bytes AS freed FROM k WHERE role IN ('user', 'assistant') AND call IS NULL AND NOT kept AND (request, pos) NOT IN (SELECT (request, pos) FROM gone)),
+  p AS (SELECT * FROM (SELECT *, coalesce(sum(freed) OVER (PARTITION BY request ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p0) JOIN o2 USING (request) WHERE over - b > 0),
+  o3 AS (SELECT request, before, was, over - coalesce((SELECT sum(freed) FROM p WHERE p.request = o2.request), 0) AS over FROM o2)
+  SELECT request AS conv_id, CAST(before AS BIGINT) AS before, CAST(before - (was - over) AS BIGINT) AS after, (SELECT count(*) FROM e WHERE e.request = o3.request) AS exchanges, (SELECT count(*) FROM l WHERE l.request = o3.request) AS results,
+    (SELECT count(*) FROM p WHERE p.request = o3.request) AS messages, over <= 0 AS fits FROM o3
+""",
+)
 def request_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Every conversation as a request cut to 2500 bytes and its reply."""
-    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    g = table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m"))
-    body = F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), F.lit(200).alias("max_tokens")))
-    return g.select("conv_id", contracts.budget_column(body, window=2700, safety=0).alias("b")).select("conv_id", "b.fits", "b.before", "b.after")
+    """Every conversation as a request of 1,300 bytes and its reply; every fourth turn makes a tool call that the next one answers."""
+    t = F.col("turn") % 4
+    role = F.when(t == 1, "assistant").when(t == 2, "tool").when(F.col("role") == "assistant", "assistant").otherwise("user")
+    calls = F.filter(F.array(F.concat(F.lit("c"), F.col("turn").cast("string"))), lambda _: t == 1)
+    answers = F.when(t == 2, F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")))
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("pos"), role.alias("role"), "text", calls.alias("calls"), answers.alias("answers"), F.lit(0).alias("pictures"))
+    r = m.select("request").distinct().select("request", F.lit(1500).alias("window"), F.lit(200).alias("reserve"), F.array().cast("array<string>").alias("protected"))
+    _, report = requests.planned(m, r)
+    return report.select(F.col("request").alias("conv_id"), "before", "after", F.col("exchanges").cast("long").alias("exchanges"), F.col("results").cast("long").alias("results"), F.col("messages").cast("long").alias("messages"), "fits")
 
 
 @query(
