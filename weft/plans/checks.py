@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import expansion, rules, sessions
+from weft.operators import expansion, rolling, rules, sessions
 from weft.plans.catalog import query, table
 from weft.plans.sessions import PAIRS_SQL
 from weft.plans.timeline import events
@@ -124,3 +124,33 @@ def expanded_scenes(spark: SparkSession, d: str) -> DataFrame:
     scenes = f.groupBy("scene", "record", "start").agg(text.alias("text")).withColumn("end", F.col("start") + SCENE_S)
     out = expansion.expanded(scenes, f.select("frame", "scene", "record", "at", "text"), CAP)
     return out.select("id", "parent", "kind", "record", F.col("start").cast("long").alias("start"), "piece", "pieces", "frames", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: Turns of a block, turns kept back and bytes of a state, for the short conversations here.
+FOLD = (2, 1, 160)
+
+
+@query(
+    "rolling_summary",
+    rf"""
+  WITH RECURSIVE {PAIRS_SQL},
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_id) AS nth, count(*) OVER (PARTITION BY conv_id) AS total FROM p),
+  b AS (
+    SELECT conv_id, (nth - 1) // {FOLD[0]} AS block, turn_id, CASE WHEN trim(regexp_replace(question, '\s+', ' ', 'g')) <> '' THEN '[turn=' || turn_id || '] ' || left(trim(regexp_replace(question, '\s+', ' ', 'g')), {rolling.SHOWN}) END AS line
+    FROM n WHERE nth <= total - {FOLD[1]}),
+  u AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY conv_id, block ORDER BY turn_id DESC) AS used FROM b),
+  g AS (SELECT conv_id, block, list_filter(list(CASE WHEN used <= {FOLD[2] // 2} THEN line END ORDER BY turn_id), lambda x: x IS NOT NULL) AS l FROM u GROUP BY conv_id, block),
+  f AS (
+    SELECT conv_id, block, l AS state FROM g WHERE block = 0
+    UNION ALL
+    SELECT g.conv_id, g.block, list_concat(
+      list_transform(list_filter(range(1, len(f.state) + 1), lambda i: list_sum(list_transform(f.state[i:], lambda x: strlen(x) + 1)) <= {FOLD[2]} - coalesce(list_sum(list_transform(g.l, lambda x: strlen(x) + 1)), 0)), lambda i: f.state[i]), g.l)
+    FROM f JOIN g ON g.conv_id = f.conv_id AND g.block = f.block + 1)
+  SELECT conv_id, CAST(max(block) + 1 AS INTEGER) AS blocks, arg_max(array_to_string(state, chr(10)), block) AS text FROM f GROUP BY conv_id
+""",
+)
+def rolling_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation's users' words but the last, folded two turns at a time into 160 bytes."""
+    block, keep, budget = FOLD
+    rows = rolling.lines(rolling.blocks(sessions.paired(table(spark, d, "conversations")), "conv_id", block, keep), budget)
+    return rolling.summaries(rolling.folded(rows, budget=budget)).select(F.col("session").cast("long").alias("conv_id"), "blocks", "text")
