@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as tx
-from weft.operators import lexical, ranking, vectors
-from weft.plans.catalog import query, table
+from weft.operators import blocks, lexical, ranking, vectors
+from weft.plans.catalog import SQL, query, table
+from weft.sources.tables import scratch
 
 K = 10
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9][a-z0-9._+/-]*|[一-鿿]+')"
@@ -52,6 +53,15 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(bm25_scores(spark, d), ["query"], "score", "doc", K)
 
 
+@query("stored_topk", SQL["bm25_topk"])
+def stored_topk(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_topk from an index that is written first: its blocks' greatest impacts decide which postings are scored."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "blocks")
+    posts = lexical.postings(docs, tx.scene_tokens(F.col("text")))
+    blocks.save(posts, lexical.corpus(docs, posts), path)
+    return blocks.top_k(spark, path, table(spark, d, "benchmark"), tx.scene_tokens(F.col("text")), K, query_id="item_id")
+
+
 @query("dense_topk", f"WITH {COS_SQL} SELECT * FROM (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM cos) WHERE rank <= {K}")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
