@@ -39,6 +39,14 @@ def effective_mode(requested: str, dense: bool, visual: bool, strict: bool = Fal
     return got
 
 
+def effective_modes(requested: Column, dense: Column, visual: Column) -> Column:
+    """effective_mode for rows, each with the modalities that it has; null counts as absent."""
+    d, v = F.coalesce(dense, F.lit(False)), F.coalesce(visual, F.lit(False))
+    two = F.when(d, "hybrid").when(v, "visual_hybrid").otherwise("bm25")
+    got = F.when((requested == "tri_hybrid") & ~(d & v), two).otherwise(requested)
+    return F.when(got.isin("hybrid", "dense") & ~d, "bm25").when(got.isin("visual", "visual_hybrid") & ~v, "bm25").otherwise(got)
+
+
 def rrf(ranks: DataFrame, mode: str, k: int = RRF_K) -> DataFrame:
     """score: weighted reciprocal ranks of columns bm25_rank, dense_rank, visual_rank; a missing rank adds nothing."""
     parts = [F.coalesce(F.lit(w) / (k + F.col(c)), F.lit(0.0)) for w, c in zip(MODES[mode], ("bm25_rank", "dense_rank", "visual_rank"), strict=True) if w]

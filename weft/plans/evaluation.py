@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions import excerpts
@@ -25,17 +26,19 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "citation_support",
     f"""
-  WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn AS at, {CITE.format("text")} AS t FROM conversations WHERE role = 'assistant'),
-  e AS (SELECT conv_id, turn, {CITE.format("text")} AS t FROM u)
-  SELECT a.conv_id, a.at, e.turn FROM a JOIN e USING (conv_id) WHERE len(a.t) > 0 AND len(list_intersect(a.t, e.t)) >= CASE WHEN len(a.t) <= 2 THEN 1 ELSE 2 END AND len(list_intersect(a.t, e.t)) >= 0.25 * len(a.t)
+  WITH t AS (SELECT doc_id, source, {CITE.format("text")} AS t FROM documents),
+  n AS (SELECT *, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS after FROM t)
+  SELECT a.doc_id, e.doc_id AS backed_by FROM n a JOIN t e ON e.doc_id = a.after
+  WHERE len(a.t) > 0 AND len(list_intersect(a.t, e.t)) >= CASE WHEN len(a.t) <= 2 THEN 1 ELSE 2 END AND len(list_intersect(a.t, e.t)) >= 0.25 * len(a.t)
 """,
 )
 def citation_support(spark: SparkSession, d: str) -> DataFrame:
-    """User turns that back an assistant's whole answer."""
-    c = table(spark, d, "conversations")
-    a = c.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("at"), tx.citation_tokens(F.col("text")).alias("t"))
-    e = c.filter("role = 'user'").select("conv_id", "turn", tx.citation_tokens(F.col("text")).alias("e"))
-    return a.join(e, "conv_id").filter(evidence.supported(F.col("t"), F.col("e"))).select("conv_id", "at", "turn")
+    """Documents that the next one of their source backs as a whole."""
+    ids = table(spark, d, "documents").select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("after"))
+    t = table(spark, d, "documents").select("doc_id", tx.citation_tokens(F.col("text")).alias("t"))
+    e = t.select(F.col("doc_id").alias("after"), F.col("t").alias("e"))
+    rows = ids.filter("after IS NOT NULL").join(t, "doc_id").join(e, "after")
+    return rows.filter(evidence.supported(F.col("t"), F.col("e"))).select("doc_id", F.col("after").alias("backed_by"))
 
 
 @query(

@@ -320,7 +320,21 @@ def parent_lookup(spark: SparkSession, d: str) -> DataFrame:
     return sections.with_parent(chunks, own).select("doc_id", tx.digest(F.col("result_text")).alias("mark"))
 
 
-@query("effective_modes", "SELECT * FROM (VALUES ('bm25', 'bm25'), ('dense', 'bm25'), ('visual', 'visual'), ('hybrid', 'bm25'), ('visual_hybrid', 'visual_hybrid'), ('tri_hybrid', 'visual_hybrid')) AS m(requested, effective)")
+@query(
+    "effective_modes",
+    """
+  WITH r AS (
+    SELECT doc_id, ['bm25', 'dense', 'visual', 'hybrid', 'visual_hybrid', 'tri_hybrid'][doc_id % 6 + 1] AS requested,
+      doc_id IN (SELECT vec_id FROM embeddings) AS d, doc_id IN (SELECT page_id FROM pages) AS v FROM documents)
+  SELECT doc_id, requested, CASE requested WHEN 'dense' THEN CASE WHEN d THEN 'dense' ELSE 'bm25' END WHEN 'visual' THEN CASE WHEN v THEN 'visual' ELSE 'bm25' END WHEN 'hybrid' THEN CASE WHEN d THEN 'hybrid' ELSE 'bm25' END
+    WHEN 'visual_hybrid' THEN CASE WHEN v THEN 'visual_hybrid' ELSE 'bm25' END WHEN 'tri_hybrid' THEN CASE WHEN d AND v THEN 'tri_hybrid' WHEN d THEN 'hybrid' WHEN v THEN 'visual_hybrid' ELSE 'bm25' END ELSE 'bm25' END AS effective FROM r
+""",
+)
 def effective_modes(spark: SparkSession, d: str) -> DataFrame:
-    """What every mode becomes where only the visual index is there."""
-    return spark.createDataFrame([(m, ranking.effective_mode(m, False, True)) for m in ranking.MODES], "requested string, effective string")
+    """What a mode, asked for in turn, becomes for each document: it has a dense modality with a vector, a visual one with a page of its number."""
+    docs = table(spark, d, "documents").select("doc_id")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("dense")).distinct()
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(True).alias("visual")).distinct()
+    requested = F.get(F.array(*map(F.lit, ("bm25", "dense", "visual", "hybrid", "visual_hybrid", "tri_hybrid"))), (F.col("doc_id") % 6).cast("int"))
+    rows = docs.join(vectors, "doc_id", "left").join(pages, "doc_id", "left").withColumn("requested", requested)
+    return rows.select("doc_id", "requested", ranking.effective_modes(F.col("requested"), F.col("dense"), F.col("visual")).alias("effective"))
