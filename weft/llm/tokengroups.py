@@ -7,15 +7,16 @@ Groups: nodes are sorted by their two least hashes under different permutations
 brings similar sets together; a group is a run of at most GROUP nodes that agree in both and differ
 in size by no more than the threshold allows. A row of the matrix says that a group's union holds a
 token. Rows are needed only for tokens by which a link must show: in one order of all tokens,
-rare ones first, two linked sets share one of the first |s| - ceil(percent |s| / 100) + 1 tokens of
-each (their prefixes), so the matrix holds the union of the members' prefixes.
+rare ones first, two linked sets that need a tokens in common share SHARED (a if that is less) of the first
+|s| - a + SHARED tokens of each (their prefixes), so the matrix holds the union of the members' prefixes.
 
-Groups that share a row and whose sizes fit are candidates. They are opened only if they qualify: a member
-qualifies if its overlap with the other group's whole union reaches what any link of it needs, and
-qualifying members are compared set by set, by 100 * common >= percent * union.
+Groups that share so many rows and whose sizes fit are candidates; what only happens to share a phrase isn't.
+Candidates are opened only if they qualify: a member qualifies if its overlap with the other group's whole
+union reaches what any link of it needs, and qualifying members are compared set by set, by
+100 * common >= percent * union.
 
 For the components not every link is needed: (1) links within groups, (2) each group with
-the least group of all its rows, (3) groups with each other wherever a row's groups still lie in
+the group that is the least of most of its rows, (3) groups with each other wherever a row's groups still lie in
 different components. So a hot family of near copies costs rows in proportion to its groups, and
 no link between different components is lost.
 
@@ -48,6 +49,8 @@ GROUP = 32
 #: Shingles of a group's members together, beyond the first member's.
 GROUP_TOKENS = 200_000
 RARE = 16
+#: Rows that candidates share at least.
+SHARED = 4
 MIN_PERCENT = 50
 #: Common tokens that may be broadcast with their class (9 bytes each).
 MAX_COMMON = 1_000_000
@@ -61,8 +64,9 @@ _SECOND = _U(0x9E3779B97F4A7C15)
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    """Leading tokens of a set of n, one of which any linked set has among its own."""
-    return n - -(-n * percent // 100) + 1
+    """Leading tokens of a set of n, SHARED of which any linked set has among its own."""
+    needed = -(-n * percent // 100)
+    return n - needed + np.minimum(needed, SHARED)
 
 
 def sizes_fit(low, high, percent: int):
@@ -204,9 +208,11 @@ def matrix(rows: DataFrame, hot: DataFrame, low: int, width: int, percent: int,
         every = every.withColumn("bits", F.shiftrightunsigned("token", low)).join(hot.withColumnRenamed("token", "bits"), "bits", "left")
         # what is gathered here is one text's own set
         sets = every.groupBy("id", "f", "gid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("class", F.lit(0)).alias("class"), "token"))).alias("t"))
-        first = F.slice("t", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int"))
+        needed = F.floor((F.col("n") * percent + 99) / 100)
+        first = F.slice("t", F.lit(1), (F.col("n") - needed + F.least(needed, F.lit(SHARED))).cast("int"))
         cells = sets.select(F.explode(first).alias("x"), "gid", "n").select("x.token", "gid", "n")
-    return cells.groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # one exchange by token: what is grouped by token and group, by token, and joined by token all lies so
+    return cells.repartition("token").groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -325,13 +331,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     total = known.agg(F.sum("n")).first()[0] or 0
     hot, low = common_tokens(rows, width, total)
     cells = matrix(rows, materialize(hot, "common"), low, width, percent, max_common)
-    leads = cells.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("other")).filter("lead < other").select("token", "lead")
+    # sizes are read on this side too, so that one exchange of the rows serves both sides of the join
+    leads = cells.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("other"), F.max("hi").alias("most")).filter("lead < other AND most > 0").select("token", "lead")
     shared = materialize(cells.join(leads, "token"), "matrix")  # only tokens that two groups share
+    rows_needed = lambda lo: F.least(F.lit(SHARED), F.floor((lo * percent + 99) / 100))
+
+    def open_groups(gids: DataFrame) -> DataFrame:
+        return materialize(opened(with_texts(docs, nodes.join(gids, "gid").select("id", "gid"), id_col, text_col), width), "opened", compression="none")
+
     several = nodes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    touched = materialize(shared.select("gid").union(several).distinct(), "touched")
-    groups = materialize(opened(with_texts(docs, nodes.join(touched, "gid").select("id", "gid"), id_col, text_col), width), "opened", compression="none")
-    most = shared.filter("gid <> lead").groupBy("gid", "lead").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("g"))
-    first = materialize(most.select("g", F.col("gid").alias("h")), "first")
+    each = shared.filter("gid <> lead").groupBy("gid", "lead").agg(F.count("*").alias("c"), F.min("lo").alias("lo")).filter(F.col("c") >= rows_needed(F.col("lo")))
+    first = each.groupBy("gid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("g"))
+    first = materialize(first.select("g", F.col("gid").alias("h")), "first")
+    groups = open_groups(first.select(F.explode(F.array("g", "h")).alias("gid")).union(several).distinct())
     links = materialize(inner_links(groups, percent).union(outer_links(first, groups, percent)), "links")
     comps = components(links)
     placed = nodes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -341,8 +353,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     # a pair that still matters has a group that isn't wholly in the component of the row's least group
     strays = spread.filter("from <> to OR from <> lead_comp").select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "lo", "hi", "from", "to")))
     fits = f"gid <> gid2 AND 100 * hi >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo AND NOT (from = to AND from2 = to2 AND from = from2)"
-    rest = spread.join(strays, "token").filter(fits).select(F.least("gid", "gid2").alias("g"), F.greatest("gid", "gid2").alias("h")).distinct()
+    met = spread.join(strays, "token").filter(fits).select(F.least("gid", "gid2").alias("g"), F.greatest("gid", "gid2").alias("h"), "token", F.least("lo", "lo2").alias("lo"))
+    # a row comes twice where both of its groups are strays
+    rest = met.groupBy("g", "h", "token").agg(F.min("lo").alias("lo")).groupBy("g", "h").agg(F.count("*").alias("c"), F.min("lo").alias("lo")).filter(F.col("c") >= rows_needed(F.col("lo"))).select("g", "h")
     rest = materialize(rest.join(first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")), ["g", "h"], "left_anti"), "rest")
+    groups = open_groups(rest.select(F.explode(F.array("g", "h")).alias("gid")).distinct())
     more = materialize(outer_links(rest, groups, percent), "more")
     joined = links.union(more)
     twice = known.groupBy("id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo < hi").select("id")
