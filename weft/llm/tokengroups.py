@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct word shingles (A-Z lower-cased, words
 parted at ASCII white space; fewer words than the width make one shingle). Equal sets are one node.
 
-Groups: nodes are sorted by their two least hashes under different permutations and by size, which
-brings similar sets together; a group is a run of at most GROUP nodes that agree in both and differ
+Groups: nodes are sorted by their least hash, by size and by their least hash under another permutation, which
+brings similar sets together; a group is a run of at most GROUP nodes that agree in the first and differ
 in size by no more than the threshold allows. A row of the matrix says that a group's union holds a
 token. Rows are needed only for tokens by which a link must show: in one order of all tokens,
 rare ones first, two linked sets that need a tokens in common share SHARED (a if that is less) of the first
@@ -16,7 +16,7 @@ union reaches what any link of it needs, and qualifying members are compared set
 100 * common >= percent * union.
 
 For the components not every link is needed: (1) links within groups, (2) each group with
-the group that is the least of most of its rows, (3) groups with each other wherever a row's groups still lie in
+LEADS groups that are drawn by most of its rows (a row draws LEADS of its groups by hashes of their ids), (3) groups with each other wherever a row's groups still lie in
 different components. So a hot family of near copies costs rows in proportion to its groups, and
 no link between different components is lost.
 
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm.common import chunks, map_arrow, materialize, mix64, temporary, texts_of
@@ -51,6 +52,8 @@ GROUP_TOKENS = 200_000
 RARE = 16
 #: Rows that candidates share at least.
 SHARED = 4
+#: Groups that each group is compared with before all others: in a family of copies whose links are few, enough of them meet.
+LEADS = 4
 MIN_PERCENT = 50
 #: Common tokens that may be broadcast with their class (9 bytes each).
 MAX_COMMON = 1_000_000
@@ -104,15 +107,15 @@ def grouped(nodes: DataFrame, percent: int) -> DataFrame:
         size = first = tokens = 0
         for batch in batches:
             out = []
-            for i, n, k1, k2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (k1, k2) != key or size == GROUP or not sizes_fit(first, n, percent) or tokens + n > GROUP_TOKENS:
-                    key, gid, size, first, tokens = (k1, k2), i, 0, n, 0
+            for i, n, k1 in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                if k1 != key or size == GROUP or not sizes_fit(first, n, percent) or tokens + n > GROUP_TOKENS:
+                    key, gid, size, first, tokens = k1, i, 0, n, 0
                 size, tokens = size + 1, tokens + n
                 out.append(gid)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "gid"])
 
     rows = nodes.select("id", "n", "k1", "k2")
-    return map_arrow(rows.repartitionByRange("k1", "k2", "n", "id").sortWithinPartitions("k1", "k2", "n", "id"), run, "id long, gid long")
+    return map_arrow(rows.repartitionByRange("k1", "n", "k2", "id").sortWithinPartitions("k1", "n", "k2", "id"), run, "id long, gid long")
 
 
 def with_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -332,7 +335,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     hot, low = common_tokens(rows, width, total)
     cells = matrix(rows, materialize(hot, "common"), low, width, percent, max_common)
     # sizes are read on this side too, so that one exchange of the rows serves both sides of the join
-    leads = cells.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("other"), F.max("hi").alias("most")).filter("lead < other AND most > 0").select("token", "lead")
+    drawn = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(r)), "gid"))["gid"] for r in range(LEADS)])
+    leads = cells.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("other"), F.max("hi").alias("most"), F.array_distinct(drawn).alias("drawn")).filter("lead < other AND most > 0").select("token", "lead", "drawn")
     shared = materialize(cells.join(leads, "token"), "matrix")  # only tokens that two groups share
     rows_needed = lambda lo: F.least(F.lit(SHARED), F.floor((lo * percent + 99) / 100))
 
@@ -340,23 +344,24 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         return materialize(opened(with_texts(docs, nodes.join(gids, "gid").select("id", "gid"), id_col, text_col), width), "opened", compression="none")
 
     several = nodes.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    each = shared.filter("gid <> lead").groupBy("gid", "lead").agg(F.count("*").alias("c"), F.min("lo").alias("lo")).filter(F.col("c") >= rows_needed(F.col("lo")))
-    first = each.groupBy("gid").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("g"))
-    first = materialize(first.select("g", F.col("gid").alias("h")), "first")
+    each = shared.select("gid", "lo", F.explode("drawn").alias("to")).filter("gid <> to").groupBy("gid", "to").agg(F.count("*").alias("c"), F.min("lo").alias("lo")).filter(F.col("c") >= rows_needed(F.col("lo")))
+    nth = F.row_number().over(W.partitionBy("gid").orderBy(F.desc("c"), "to"))  # a group has few rows, and LEADS draws of each
+    first = each.withColumn("nth", nth).filter(F.col("nth") <= LEADS)
+    first = materialize(first.select(F.least("gid", "to").alias("g"), F.greatest("gid", "to").alias("h")).distinct(), "first")
     groups = open_groups(first.select(F.explode(F.array("g", "h")).alias("gid")).union(several).distinct())
     links = materialize(inner_links(groups, percent).union(outer_links(first, groups, percent)), "links")
     comps = components(links)
     placed = nodes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spans = placed.groupBy("gid").agg(F.min("comp").alias("from"), F.max("comp").alias("to"))
     lead = spans.select(F.col("gid").alias("lead"), F.col("from").alias("lead_comp"))
-    spread = materialize(shared.join(spans, "gid").join(lead, "lead"), "spread")
+    spread = materialize(shared.drop("drawn").join(spans, "gid").join(lead, "lead"), "spread")
     # a pair that still matters has a group that isn't wholly in the component of the row's least group
     strays = spread.filter("from <> to OR from <> lead_comp").select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "lo", "hi", "from", "to")))
     fits = f"gid <> gid2 AND 100 * hi >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo AND NOT (from = to AND from2 = to2 AND from = from2)"
     met = spread.join(strays, "token").filter(fits).select(F.least("gid", "gid2").alias("g"), F.greatest("gid", "gid2").alias("h"), "token", F.least("lo", "lo2").alias("lo"))
     # a row comes twice where both of its groups are strays
     rest = met.groupBy("g", "h", "token").agg(F.min("lo").alias("lo")).groupBy("g", "h").agg(F.count("*").alias("c"), F.min("lo").alias("lo")).filter(F.col("c") >= rows_needed(F.col("lo"))).select("g", "h")
-    rest = materialize(rest.join(first.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")), ["g", "h"], "left_anti"), "rest")
+    rest = materialize(rest.join(first, ["g", "h"], "left_anti"), "rest")
     groups = open_groups(rest.select(F.explode(F.array("g", "h")).alias("gid")).distinct())
     more = materialize(outer_links(rest, groups, percent), "more")
     joined = links.union(more)
