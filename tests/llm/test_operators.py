@@ -399,8 +399,9 @@ def spark_hash(text):
     return value - (value >= 2**63) * 2**64
 
 
-def dedup_by_force(docs, min_chars, tau):
-    seen, out = [], {}
+def dedup_by_force(docs, min_chars, tau, exact_chars=None):
+    """Lines from exact_chars on that are shorter than min_chars go where an earlier one equals them."""
+    seen, short, out = [], set(), {}
     for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]))):
         if (d, t) in out:
             continue
@@ -410,6 +411,9 @@ def dedup_by_force(docs, min_chars, tau):
             gone = len(x) >= min_chars and any(abs(len(x) - len(y)) <= tau and distance(x, y) <= tau for y in seen)
             if len(x) >= min_chars:
                 seen.append(x)
+            elif exact_chars is not None and len(x) >= exact_chars:
+                gone = x in short
+                short.add(x)
             if not gone:
                 keep.append(raw)
         out[d, t] = None if t is None else "\n".join(keep)
