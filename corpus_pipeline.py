@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less lines of MIN_CHARS or more that an earlier one nearly equals; documents of which only white space stays go."""
-    left = lines.dedup(docs, exact_chars=lines.MIN_CHARS)
+    """Texts less lines that an earlier one nearly equals, or equals if they are short; documents of which only white space stays go."""
+    left = lines.dedup(docs)
     left = left.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
