@@ -130,10 +130,7 @@ def expanded_scenes(spark: SparkSession, d: str) -> DataFrame:
 FOLD = (2, 1, 160)
 
 
-@query(
-    "rolling_summary",
-    rf"""
-  WITH RECURSIVE {PAIRS_SQL},
+ROLLING_SQL = rf"""
   n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_id) AS nth, count(*) OVER (PARTITION BY conv_id) AS total FROM p),
   b AS (
     SELECT conv_id, (nth - 1) // {FOLD[0]} AS block, turn_id, CASE WHEN trim(regexp_replace(question, '\s+', ' ', 'g')) <> '' THEN '[turn=' || turn_id || '] ' || left(trim(regexp_replace(question, '\s+', ' ', 'g')), {rolling.SHOWN}) END AS line
@@ -146,6 +143,13 @@ FOLD = (2, 1, 160)
     SELECT g.conv_id, g.block, list_concat(
       list_transform(list_filter(range(1, len(f.state) + 1), lambda i: list_sum(list_transform(f.state[i:], lambda x: strlen(x) + 1)) <= {FOLD[2]} - coalesce(list_sum(list_transform(g.l, lambda x: strlen(x) + 1)), 0)), lambda i: f.state[i]), g.l)
     FROM f JOIN g ON g.conv_id = f.conv_id AND g.block = f.block + 1)
+"""
+
+
+@query(
+    "rolling_summary",
+    f"""
+  WITH RECURSIVE {PAIRS_SQL}, {ROLLING_SQL}
   SELECT conv_id, CAST(max(block) + 1 AS INTEGER) AS blocks, arg_max(array_to_string(state, chr(10)), block) AS text FROM f GROUP BY conv_id
 """,
 )
