@@ -25,4 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from weft.plans import checks, dialogs, evaluation, media, memory, provenance, published, retrieval, routing, segments, sessions, stores, texts, timeline  # noqa: E402, F401
+from weft.plans import checks, dialogs, evaluation, media, memory, observed, provenance, published, retrieval, routing, segments, sessions, stores, texts, timeline  # noqa: E402, F401
