@@ -25,8 +25,8 @@ HEAD = "Frames:"
 
 
 def frame_line(at: Column, text: Column) -> Column:
-    """A frame as a line of a scene's text."""
-    return F.concat(F.lit("["), F.format_string("%.3f", at.cast("double")), F.lit("] "), text)
+    """A frame as a line of a scene's text. Its time is rounded by its exact value, ties to even (format_string would round its shortest decimals, halves up)."""
+    return F.concat(F.lit("["), F.call_function("format_number", at.cast("double"), F.lit("0.000")), F.lit("] "), text)
 
 
 def packed(rows: DataFrame, key: str, order: str, length: str, cap: int, between: int = 1) -> DataFrame:
