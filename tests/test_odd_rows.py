@@ -19,6 +19,12 @@ def same(spark, folder, name, **tables):
     return {r[0]: r for r in got}
 
 
+def test_media_limits_round_prices(spark, tmp_path):
+    prices = [1000.0, 1000.5, 1001.5, 999.5, 1000.4, 1000.6]
+    part = pd.DataFrame({"p_partkey": range(6), "p_size": pd.array([30] * 6, "int32"), "p_retailprice": prices})
+    same(spark, tmp_path, "media_limits", part=part)
+
+
 def test_scenes_round_times_by_their_exact_value(spark, tmp_path):
     ms = [62500, 187500, 500, 1500, 1814400062500, 3000000]
     at = (pd.Timestamp("2024-01-01") + pd.to_timedelta(ms, unit="us")).astype("datetime64[us]")

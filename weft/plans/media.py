@@ -42,7 +42,7 @@ def review_gate(spark: SparkSession, d: str) -> DataFrame:
     "SELECT p_partkey, CASE WHEN p_size - 3 <= 0 OR p_size - 3 > 40 THEN 'duration' WHEN p_size * 100 * CAST(p_retailprice AS BIGINT) > 3000000 THEN 'resolution' END AS problem FROM part",
 )
 def media_limits(spark: SparkSession, d: str) -> DataFrame:
-    problem = media.media_problem(F.col("p_size") - 3, F.col("p_size") * 100, F.col("p_retailprice").cast("long"), 40.0, 3_000_000)
+    problem = media.media_problem(F.col("p_size") - 3, F.col("p_size") * 100, F.rint("p_retailprice").cast("long"), 40.0, 3_000_000)
     return table(spark, d, "part").select("p_partkey", problem.alias("problem"))
 
 
