@@ -6,18 +6,21 @@ path of the greatest sum of weights is taken; among equal ones that of fewer wor
 last word is longer, and so on backwards.
 
 The lexicon is a table. Up to SENT_BYTES it goes to the tasks as one trie (with failure links, so that
-all edges of a run are found in one pass over it), and texts aren't shuffled at all. A larger one is
-joined: every distinct run is cut into pieces of the lexicon's word lengths, in blocks, and pieces
-meet words by equality; both ways give the same words. A null list of runs gives a null list, an
-empty or null run no words.
+all edges of a run are found in one pass over it), and texts aren't shuffled at all. Of a larger one
+the shortest words, which stand nearly everywhere, go so, and the rest is joined: of every distinct
+run's pieces of the rest's lengths those whose hashes a bitmap of fixed size holds meet the words by
+equality. Both ways give the same words. A null list of runs gives a null list, an empty or null run
+no words.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +30,8 @@ from weft.functions import text as tx
 
 #: Bytes of words (with 16 for each weight) that may be sent to every task.
 SENT_BYTES = 16 << 20
-#: Characters of a run whose pieces are made from one row.
-BLOCK = 1024
+#: Bits of the map of joined words' hashes, and characters of the runs whose pieces are made at once.
+MAP_BITS, BLOCK = 1 << 27, 1 << 18
 #: Weights are thousandths of a natural logarithm, rounded down, so that sums are exact.
 SCALE = 1000
 
@@ -98,58 +101,122 @@ WORDS = T.ArrayType(T.StringType())
 
 def segment(df: DataFrame, runs: str, words: Lexicon, out: str = "words", search: bool = False, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """df with, in `out`, a list of words for each run of the list `runs`."""
-    size = words.rows.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
-    return (_by_trie if size <= sent_bytes else _by_join)(df, runs, words, out, search)
+    sizes = words.rows.groupBy(F.length("word").alias("n")).agg(F.sum(F.octet_length("word") + 16).alias("bytes")).collect()  # a row for each length of a word
+    longest, size = 0, 0
+    for n, more in sorted(map(tuple, sizes)):
+        size += more
+        if size > sent_bytes:
+            return _by_join(df, runs, words, out, search, longest, [x for x, _ in sizes if x > longest])
+        longest = n
+    return _by_trie(df, runs, words, out, search)
+
+
+def _trie(known: list[tuple[str, int]]) -> Callable[[str], Iterator[tuple[int, int, int]]]:
+    """A function that gives the edges of a run, by ascending end."""
+    import ahocorasick
+
+    trie = ahocorasick.Automaton()
+    for word, weight in known:
+        trie.add_word(word, (len(word), weight))
+    trie.make_automaton()
+    return lambda run: ((last + 1 - n, last + 1, weight) for last, (n, weight) in trie.iter(run)) if run and known else iter(())
+
+
+def _sent(words: DataFrame):
+    return words.sparkSession.sparkContext.broadcast([tuple(r) for r in words.select("word", "weight").toLocalIterator()])
 
 
 def _by_trie(df: DataFrame, runs: str, words: Lexicon, out: str, search: bool) -> DataFrame:
     unknown = words.unknown
 
     def make(known: list[tuple[str, int]]) -> Callable[..., object]:
-        import ahocorasick
+        edges = _trie(known)
+        return lambda given: None if given is None else [best_path(r or "", edges(r), unknown, search) for r in given]
+
+    return _with_column(df.withColumn("__runs", F.col(runs)), out, T.ArrayType(WORDS), ["__runs"], make, _sent(words.rows))
+
+
+def _hashed(text: str, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """length, places in the map of all pieces of that length, for each of the ascending lengths."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed, wanted = np.zeros(len(points), np.uint64), set(lengths)
+    for n in range(1, min(max(lengths, default=0), len(points)) + 1):
+        mixed = mixed[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(1)
+        if n in wanted:
+            yield n, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) & (MAP_BITS - 1)
 
-        trie = ahocorasick.Automaton()
-        for word, weight in known:
-            trie.add_word(word, (len(word), weight))
-        trie.make_automaton()
 
-        def words_of(run: str | None) -> list[str]:
-            edges = ((last + 1 - n, last + 1, weight) for last, (n, weight) in trie.iter(run)) if run and known else ()
-            return best_path(run or "", edges, unknown, search)
+def _map(words: DataFrame) -> np.ndarray:
+    """The bits of all words' hashes, by the byte; of one size however many words there are."""
 
-        return lambda given: None if given is None else [words_of(r) for r in given]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"at": pa.array([int(next(_hashed(w, [len(w)]))[1][0]) for w in batch.column(0).to_pylist()], pa.int64())})
+
+    at = words.select("word").mapInArrow(place, "at long")
+    at = at.select((F.col("at") + 1).alias("at"))  # Spark counts places from 1, buckets of 4096 bytes too
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    for n, bits in rows.toLocalIterator():
+        part = np.frombuffer(bytes(bits), np.uint8)
+        whole[(n - 1) * 4096 : (n - 1) * 4096 + len(part)] = part
+    return whole
 
-    sent = df.sparkSession.sparkContext.broadcast([tuple(r) for r in words.rows.select("word", "weight").toLocalIterator()])
-    return _with_column(df.withColumn("__runs", F.col(runs)), out, T.ArrayType(WORDS), ["__runs"], make, sent)
 
+def _pieces(single: DataFrame, words: DataFrame, lengths: list[int]) -> DataFrame:
+    """id, start, end, word: pieces of the runs that may be words; those of other lengths or without a bit in the map are none."""
+    sent = words.sparkSession.sparkContext.broadcast(_map(words))
+    lengths = sorted(lengths)
 
-def _by_join(df: DataFrame, runs: str, words: Lexicon, out: str, search: bool) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            ids, runs = (c.to_pylist() for c in batch.columns)
+            begin = np.cumsum([0, *map(len, runs)])
+            for part in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(begin[:-1] // BLOCK)) + 1):
+                at = begin[part[0] : part[-1] + 2] - begin[part[0]]
+                text = "".join(runs[i] for i in part)
+                for n, place in _hashed(text, lengths):
+                    start = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    run = np.searchsorted(at, start, "right") - 1
+                    inside = start + n <= at[run + 1]
+                    start, run = start[inside], run[inside]
+                    if len(start):
+                        own = (start - at[run]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([ids[part[r]] for r in run]), pa.array(own), pa.array(own + np.int32(n)), pa.array([text[x : x + n] for x in start.tolist()])], names=["id", "start", "end", "word"]
+                        )
+
+    return single.select("id", "run").mapInArrow(cut, "id string, start int, end int, word string")
+
+
+def _by_join(df: DataFrame, runs: str, words: Lexicon, out: str, search: bool, longest: int, lengths: list[int]) -> DataFrame:
+    """Words of up to `longest` characters go to the tasks, longer ones (of these lengths) are joined."""
     unknown = words.unknown
     marked = df.withColumn("__list", F.sha2(F.to_json(runs), 256))
     each = marked.filter(F.col("__list").isNotNull()).groupBy("__list").agg(F.first(runs).alias("r"))
     each = each.select("__list", F.posexplode("r").alias("pos", "run")).withColumn("id", F.sha2("run", 256))
     single = each.filter("run IS NOT NULL").groupBy("id").agg(F.first("run").alias("run"))
 
-    lengths = [r[0] for r in words.rows.select(F.length("word")).distinct().collect()] or [1]  # a handful of numbers
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("run") - 1, F.lit(0)), F.lit(BLOCK)))
-    blocks = single.select("id", F.length("run").alias("n"), "run", starts.alias("at"))
-    blocks = blocks.select("id", "n", "at", F.substring("run", F.col("at") + 1, F.lit(BLOCK + max(lengths))).alias("part"))
-    begins = F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.greatest(F.col("n") - F.col("at"), F.lit(1))) - 1))
-    places = blocks.select("id", "n", "at", "part", begins.alias("k"))
-    places = places.select("id", "n", (F.col("at") + F.col("k")).alias("start"), F.substring("part", F.col("k") + 1, F.lit(max(lengths))).alias("ahead"))
-    pieces = places.select("id", "n", "start", "ahead", F.explode(F.array(*[F.lit(x) for x in sorted(lengths)])).alias("len")).filter("start + len <= n")
-    pieces = pieces.select("id", "start", (F.col("start") + F.col("len")).alias("end"), F.substring("ahead", F.lit(1), F.col("len")).alias("word"))
-    edges = pieces.join(words.rows, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("end", "start", "weight"))).alias("edges"))
-
-    def make(_: list) -> Callable[..., object]:
-        return lambda run, found: best_path(run, ((e["start"], e["end"], e["weight"]) for e in found or ()), unknown, search)
-
-    sent = df.sparkSession.sparkContext.broadcast([])
-    paths = _with_column(single.join(edges, "id", "left"), "path", WORDS, ["run", "edges"], make, sent)
-    back = each.join(paths, "id", "left").groupBy("__list").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("path", F.array().cast("array<string>")).alias("path")))).alias("x"))
+    # sorted joins: Spark takes the sizes of pieces and paths for those of the files behind them and would send them to all
+    long = words.rows.filter(F.length("word") > longest)
+    pieces = _pieces(single, long, lengths).hint("merge")
+    edges = pieces.join(long, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("end", "start", "weight"))).alias("edges"))
+
+    def make(known: list[tuple[str, int]]) -> Callable[..., object]:
+        short = _trie(known)
+
+        def path(run: str, found: list[dict] | None) -> list[str]:
+            joined = ((e["start"], e["end"], e["weight"]) for e in found or ())
+            return best_path(run, heapq.merge(short(run), joined, key=lambda e: e[1]), unknown, search)
+
+        return path
+
+    paths = _with_column(single.join(edges.hint("merge"), "id", "left"), "path", WORDS, ["run", "edges"], make, _sent(words.rows.filter(F.length("word") <= longest)))
+    back = each.join(paths.hint("merge"), "id", "left").groupBy("__list").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("path", F.array().cast("array<string>")).alias("path")))).alias("x"))
     back = back.select("__list", F.transform("x", lambda x: x["path"]).alias(out))
     none = F.when(F.col("__list").isNotNull(), F.array().cast("array<array<string>>"))
-    return marked.join(back, "__list", "left").withColumn(out, F.coalesce(out, none)).drop("__list")
+    return marked.join(back.hint("merge"), "__list", "left").withColumn(out, F.coalesce(out, none)).drop("__list")
 
 
 def mixed_words(df: DataFrame, text: str, words: Lexicon, out: str = "tokens") -> DataFrame:
