@@ -28,3 +28,7 @@ def test_phrases_leave_in_parts():
     texts = pd.Series(["a" * (lexical.PART // 2)] * 8 + [None, ""])
     parts = list(lexical.in_parts(iter([texts])))
     assert len(parts) >= 4 and pd.concat(parts).equals(texts)
+
+
+def test_trees_are_built_once(spark):
+    assert "InPandas" not in plan(catalog.QUERIES["tree_traversal"](spark, DIR))

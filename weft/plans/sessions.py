@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import text as tx
 from weft.operators import sessions, tree
 from weft.plans.catalog import query, table
+from weft.sources import tables
 
 PAIRS_SQL = """
   m AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -152,4 +153,7 @@ def tree_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tree_traversal")
 def tree_traversal(spark: SparkSession, d: str) -> DataFrame:
-    return tree.traversed(tree.searched(table(spark, d, "conversations"), questions(spark, d))).select("conv_id", "node", "level", "score", "rank")
+    """The nodes a beam passes; trees are built and scored once, as every level looks into them."""
+    path = tables.scratch(spark, "trees")
+    tree.searched(table(spark, d, "conversations"), questions(spark, d)).select("conv_id", "node", "level", "parent", "score").write.parquet(path)
+    return tree.traversed(spark.read.parquet(path)).select("conv_id", "node", "level", "score", "rank")
