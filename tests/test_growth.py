@@ -32,3 +32,11 @@ def test_phrases_leave_in_parts():
 
 def test_trees_are_built_once(spark):
     assert "InPandas" not in plan(catalog.QUERIES["tree_traversal"](spark, DIR))
+
+
+def test_routing_sends_no_side_to_all(spark):
+    asked = table(spark, DIR, "part").select(F.col("p_partkey").alias("q"))
+    none = asked.withColumn("product", F.lit("x")).withColumn("length", F.lit(1))
+    named = none.withColumn("alias", F.lit("x")).withColumn("exact", F.lit(True))
+    out = routing.route(asked, none, asked.withColumn("product", F.lit("x")), none, none.drop("length"), named, none.select("q", "product", F.lit(1).alias("votes")), [])
+    assert "Broadcast" not in plan(out)

@@ -109,14 +109,16 @@ def route(questions: DataFrame, display: DataFrame, functional: DataFrame, nickn
     generic alias with less confidence) or not; either alone; the fallback's own decision.
     The tables are those of the functions above, grep: key, product; votes: key, product, votes.
     """
+    # every side has a row for nearly each question: sorted, not sent to all, however small the files they come from
+    side = lambda df: df.hint("merge")
     rows = questions.select(key)
-    rows = rows.join(_in_order(display, key, [F.desc("length")], "shown"), key, "left")
-    rows = rows.join(functional.withColumnRenamed("product", "functional"), key, "left")
-    rows = rows.join(_in_order(nicknames, key, [F.desc("length")], "nick"), key, "left")
-    rows = rows.join(grep.select(key, F.col("product").alias("grep")), key, "left")
-    rows = rows.join(_in_order(named, key, [F.desc("exact"), F.desc("length")], "names"), key, "left")
+    rows = rows.join(side(_in_order(display, key, [F.desc("length")], "shown")), key, "left")
+    rows = rows.join(side(functional.withColumnRenamed("product", "functional")), key, "left")
+    rows = rows.join(side(_in_order(nicknames, key, [F.desc("length")], "nick")), key, "left")
+    rows = rows.join(side(grep.select(key, F.col("product").alias("grep"))), key, "left")
+    rows = rows.join(side(_in_order(named, key, [F.desc("exact"), F.desc("length")], "names")), key, "left")
     top_alias = ranking.ranked(named, [key], [F.desc("exact"), F.desc("length"), F.col("product")], "__n").filter("__n = 1").select(key, F.col("alias").alias("by"))
-    rows = rows.join(top_alias, key, "left").join(_in_order(votes, key, [F.desc("votes")], "content", top), key, "left")
+    rows = rows.join(side(top_alias), key, "left").join(side(_in_order(votes, key, [F.desc("votes")], "content", top)), key, "left")
     none = F.array().cast("array<string>")
     first = lambda c: F.slice(c, 1, 1)
     merged = lambda n: F.slice(F.array_distinct(F.concat(first("names"), F.slice("content", 1, n))), 1, top)
@@ -135,7 +137,7 @@ def route(questions: DataFrame, display: DataFrame, functional: DataFrame, nickn
         (content, "content_vote_only", "medium", F.slice("content", 1, top)),
     ]
     if fallback is not None:
-        rows = rows.join(fallback.select(key, F.col("confidence").alias("__c"), F.col("products").alias("__p")), key, "left")
+        rows = rows.join(side(fallback.select(key, F.col("confidence").alias("__c"), F.col("products").alias("__p"))), key, "left")
         stages.append((F.col("__c").isNotNull(), "bm25_router", F.col("__c"), F.col("__p")))
     reason, confidence, products = F.lit("no_positive_score"), F.lit("none"), none
     for test, name, sure, chosen in reversed(stages):

@@ -95,9 +95,9 @@ def alias_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def voted(spark: SparkSession, d: str) -> DataFrame:
     """Made-up votes of the content: parts of a size and brand that the question's number names."""
-    part = table(spark, d, "part").select("p_name", "p_size", "p_brand")
+    part = table(spark, d, "part").groupBy("p_size", "p_brand", F.col("p_name").alias("product")).agg(F.count("*").alias("votes"))
     asked = questions(spark, d).filter("q % 3 = 0").select("q", (F.col("q") % 50 + 1).cast("int").alias("p_size"), F.concat(F.lit("Brand#"), (F.col("q") % 5).cast("string")).alias("p_brand"))
-    return asked.join(part, ["p_size", "p_brand"]).groupBy("q", F.col("p_name").alias("product")).agg(F.count("*").alias("votes"))
+    return asked.join(part, ["p_size", "p_brand"]).select("q", "product", "votes")
 
 
 def grepped(spark: SparkSession, d: str) -> DataFrame:
