@@ -40,3 +40,7 @@ def test_routing_sends_no_side_to_all(spark):
     named = none.withColumn("alias", F.lit("x")).withColumn("exact", F.lit(True))
     out = routing.route(asked, none, asked.withColumn("product", F.lit("x")), none, none.drop("length"), named, none.select("q", "product", F.lit(1).alias("votes")), [])
     assert "Broadcast" not in plan(out)
+
+
+def test_name_patterns_are_asked_where_the_name_stands(spark):
+    assert "Contains(__said" in plan(routing.display_matches(routes.questions(spark, DIR), routes.names(spark, DIR)))

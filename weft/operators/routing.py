@@ -62,13 +62,14 @@ def display_matches(questions: DataFrame, names: DataFrame, question: str = "que
     for c in ("unless", "but"):
         if c not in n.columns:
             n = n.withColumn(c, F.lit(None).cast("string"))
-    low = f"lower({question})"
-    word = lambda x: f"{low} RLIKE concat('(?<![a-z0-9])', {_quoted(x)}, '(?![a-z0-9])')"
+    low = "__said"
+    # a pattern made of a column is compiled for every pair, so it is only asked where the name stands at all
+    word = lambda x: f"contains({low}, {x}) AND {low} RLIKE concat('(?<![a-z0-9])', {_quoted(x)}, '(?![a-z0-9])')"
     ideographic = "__low RLIKE '[一-鿿]'"
     compact = "replace(__low, ' ', '')"
     length = F.expr(f"CASE WHEN {ideographic} THEN CASE WHEN contains({question}, trim(name)) THEN length(__low) END WHEN {word('__low')} THEN length(__low) WHEN contains(__low, ' ') AND {word(compact)} THEN length({compact}) END")
     out = F.expr(f"coalesce({low} RLIKE unless AND NOT coalesce({low} RLIKE but, false), false)")
-    rows = questions.join(dimension(n), ~out & length.isNotNull()).withColumn("length", length)
+    rows = questions.withColumn(low, F.lower(question)).join(dimension(n), length.isNotNull() & ~out).withColumn("length", length)
     return rows.groupBy(key, "product").agg(F.max("length").alias("length"))
 
 
