@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from weft.operators import lexical, routing, segmentation
+from weft.operators import batches, chunking, evidence, lexical, routing, segmentation
 from weft.plans import catalog
 from weft.plans.catalog import table
 from weft.plans import routing as routes
@@ -44,3 +44,11 @@ def test_routing_sends_no_side_to_all(spark):
 
 def test_name_patterns_are_asked_where_the_name_stands(spark):
     assert "Contains(__said" in plan(routing.display_matches(routes.questions(spark, DIR), routes.names(spark, DIR)))
+
+
+def test_texts_go_to_workers_in_bounded_batches(spark):
+    docs = table(spark, DIR, "documents").select("source", "doc_id", "text")
+    for make in (lambda: evidence.passages(docs, "source", "doc_id", "text"), lambda: chunking.spans(docs, "text", lambda t: chunking.byte_pieces(t, 600))):
+        spark.conf.set(batches.CONF, 64 << 20)
+        make()
+        assert int(spark.conf.get(batches.CONF).rstrip("b")) <= batches.BYTES

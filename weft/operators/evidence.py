@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions import text as tx
+from weft.operators.batches import bounded
 from weft.operators.routing import dimension
 
 
@@ -54,8 +55,9 @@ def passage_cuts(text: str, most: int = 2800) -> list[str]:
 def passages(sources: DataFrame, by: str, source_id: str, text: str, most: int = 2800) -> DataFrame:
     """by, source_id, passage, quote: passages numbered E1, E2, ... over all sources of a group, in the sources' order.
 
-    Texts are cut where they lie; numbers come from the sources' counts, so that the texts are never sorted.
+    Texts are cut where they lie, in batches of bounded bytes; numbers come from the sources' counts, so that the texts are never sorted.
     """
+    bounded(sources.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
