@@ -160,9 +160,12 @@ def graded(ranks: DataFrame, by: list[str], gain: str, rank: str, positives: Dat
     near = ranks.filter(F.col(rank) <= k)
     value = lambda r: (F.pow(F.lit(2.0), F.col(gain)) - 1) / F.log2(r + 1.0)
     got = near.groupBy(*by).agg(F.sum(value(F.col(rank))).alias("dcg"), F.min(F.when(F.col(gain) > 0, F.col(rank))).alias("first"), F.count_if(F.col(gain) > 0).alias("hits"))
-    ideal = ranked(positives, by, [F.desc(gain)], "place")
-    best = ideal.groupBy(*by).agg(F.sum(F.when(F.col("place") <= k, value(F.col("place")))).alias("idcg"), F.count_if(F.col(gain) > 0).alias("total"))
-    rows = best.filter("total > 0").join(got, by, "left")
+    # of equal gains only as many rows are ranked as can be among the k best, so that no task ranks all rows of a query
+    counts = positives.groupBy(*by, gain).agg(F.count("*").alias("__n"))
+    totals = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col(gain) > 0, F.col("__n"))), F.lit(0)).alias("total"))
+    ideal = ranked(counts.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.least("__n", F.lit(k).cast("long"))))), by, [F.desc(gain)], "place")
+    best = ideal.groupBy(*by).agg(F.sum(F.when(F.col("place") <= k, value(F.col("place")))).alias("idcg"))
+    rows = totals.filter("total > 0").join(best, by).join(got, by, "left")
     return rows.select(
         *by,
         F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"),

@@ -185,9 +185,9 @@ def content_scores(questions: DataFrame, documents: DataFrame, classes: DataFram
     named = F.array_distinct(F.flatten(F.collect_list(tokens(F.concat_ws(" ", "product", "alias")))))
     left_out = classes.join(aliases, "product").groupBy(key).agg(named.alias("named"))
     asked = questions.join(left_out, key).withColumn("t", F.filter(F.filter(tokens(F.col(question)), lambda t: ~F.array_contains("named", t)), lambda t: ~t.isin(stop)))
-    found = lexical.bm25(documents, asked, tokens(F.col("text")), F.col("t"), doc_id="doc", query_id=key)
-    found = found.withColumnsRenamed({"query": key}).join(documents.select("doc", "product"), "doc")
-    return found.join(classes, [key, "product"], "left_semi").select(key, "product", "doc", F.round("score", 6).alias("score"))
+    about = documents.join(classes.select("product").distinct(), "product", "left_semi")
+    found = lexical.bm25(documents, asked, tokens(F.col("text")), F.col("t"), doc_id="doc", query_id=key, among=about, places=6, group="product")
+    return found.withColumnsRenamed({"query": key}).join(classes, [key, "product"], "left_semi").select(key, "product", "doc", "score")
 
 
 def locked_product(reason: Column, products: Column) -> Column:

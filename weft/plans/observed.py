@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weft.functions import text as tx
 from weft.operators import observations
 from weft.plans.catalog import query, table
-from weft.plans.retrieval import BM25_SQL, K, bm25_topk
+from weft.plans.retrieval import BM25_SQL, K, recalled
+from weft.sources.tables import kept
 
 HITS_SQL = rf"""
   {BM25_SQL}, top AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm25),
@@ -20,7 +21,7 @@ HITS_SQL = rf"""
 def written(spark: SparkSession, d: str) -> DataFrame:
     """query, text: the ten best documents of each benchmark item as a tool's output."""
     docs = table(spark, d, "documents")
-    found = bm25_topk(spark, d).join(docs.withColumnRenamed("doc_id", "doc"), "doc")
+    found = recalled(spark, d, K).join(docs.withColumnRenamed("doc_id", "doc"), "doc")
     rows = found.select("query", "rank", F.col("source").alias("product"), F.concat("lang", F.lit(" "), F.col("doc").cast("string")).alias("heading"), F.col("doc").alias("section_id"), F.col("text").alias("content"))
     return observations.rendered(rows, "query")
 
@@ -41,7 +42,7 @@ def parsed_hits(spark: SparkSession, d: str) -> DataFrame:
 )
 def observed_results(spark: SparkSession, d: str) -> DataFrame:
     """Whether the source that most hits are of is that of the best one, which stands for the product asked for."""
-    texts = written(spark, d)
+    texts = kept(written(spark, d), "written")
     stated = observations.hits(texts, "query", "text").filter("rank = 1").select("query", F.col("product").alias("stated"))
     out = observations.observed(texts.join(stated, "query", "left"), "query", "text", "stated")
     return out.select("query", "no_result", "products", "headings", "dominant_product", "dominant_count", "conflict")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import text as tx
 from weft.operators import lexical, ranking, routing
 from weft.plans.catalog import query, table
-from weft.plans.retrieval import BM25_SQL, GRAMS, K, STOP, bm25_scores, cosines
+from weft.plans.retrieval import BM25_SQL, GRAMS, K, STOP, cosines, recalled
 
 #: A question for each part, in words that Spark and DuckDB both understand.
 QUESTION = """CASE p_partkey % 8 WHEN 0 THEN concat('How do I clean the ', p_name, '?') WHEN 1 THEN concat('Is the ', replace(p_name, ' ', ''), ' in stock, what is the price')
@@ -266,7 +266,7 @@ def question_predicates(spark: SparkSession, d: str) -> DataFrame:
 )
 def dual_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Made-up scores of two rerankers' calls over the lexical candidates; a parent is a source and language."""
-    near = ranking.top_k(bm25_scores(spark, d), ["query"], "score", "doc", 20).drop("score")
+    near = recalled(spark, d, 20).drop("score")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "n_chars", F.concat("source", "lang").alias("parent"))
     rows = near.join(docs, "doc")
     a = rows.filter("n_chars % 3 <> 0").select("query", "doc", (F.col("n_chars") % 101).cast("double").alias("score"))

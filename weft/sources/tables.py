@@ -109,6 +109,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new scratch path and read back: made once, whatever reads it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_chunks(df: DataFrame, path: str) -> None:
     """Chunks, sections or catalogs as JSON lines."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
