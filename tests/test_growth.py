@@ -1,5 +1,9 @@
 """Plans and parts of queries that must not gather what grows with the tables."""
 
+import random
+import statistics
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -52,3 +56,10 @@ def test_texts_go_to_workers_in_bounded_batches(spark):
         spark.conf.set(batches.CONF, 64 << 20)
         make()
         assert int(spark.conf.get(batches.CONF).rstrip("b")) <= batches.BYTES
+
+
+def test_resampled_means_are_those_of_python():
+    for values in ([1.0, -1.0, 0.0, 1.0, 0.0], [random.Random(3).random() for _ in range(77)]):
+        rng = random.Random(11)
+        want = [statistics.fmean(rng.choices(values, k=len(values))) for _ in range(40)]
+        assert evidence.resampled_means(np.array(values), 40, 11) == want

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -127,6 +129,17 @@ def paired_differences(rows: DataFrame, case: str, strategy: str, value: str, le
 BOOTSTRAP = T.StructType([T.StructField("n", T.LongType()), T.StructField("delta", T.DoubleType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("gains", T.BooleanType())])
 
 
+def resampled_means(values: np.ndarray, draws: int, seed: int) -> list[float]:
+    """Means of `draws` samples with replacement: those of random.Random(seed).choices() one after another, from the same generator in NumPy."""
+    *key, pos = random.Random(seed).getstate()[1]
+    rng, n = np.random.RandomState(), len(values)
+    rng.set_state(("MT19937", np.array(key, dtype=np.uint32), pos))
+    # sums of whole numbers are exact in any order
+    whole = bool((values == np.floor(values)).all() and np.abs(values).max() * n < 2**53)
+    picked = (values[(rng.random_sample(n) * n).astype(np.int64)] for _ in range(draws))
+    return [(float(x.sum()) if whole else math.fsum(x)) / n for x in picked]
+
+
 def paired_bootstrap(differences: DataFrame, by: str, case: str = "case", draws: int = 10_000, seed: int = 20261008) -> DataFrame:
     """by, n, delta, low, high (95 %), gains: resampled means of each comparison's differences, in case order.
 
@@ -135,8 +148,7 @@ def paired_bootstrap(differences: DataFrame, by: str, case: str = "case", draws:
 
     def draw(pdf):
         d = pdf.sort_values(case)["difference"].tolist()
-        rng = random.Random(seed)
-        means = sorted(statistics.fmean(rng.choices(d, k=len(d))) for _ in range(draws))
+        means = sorted(resampled_means(np.array(d, dtype=np.float64), draws, seed))
         low, high = means[int(draws * 0.025)], means[min(draws - 1, int(draws * 0.975))]
         return pdf.iloc[:1][[by]].assign(n=len(d), delta=statistics.fmean(d), low=low, high=high, gains=low > 0)
 
