@@ -54,3 +54,29 @@ def test_thresholds_leave_postings_out(spark, tmp_path):
     blocks.save(posts, lexical.corpus(docs, posts), path)
     work = blocks.Search(spark, path, lexical.query_terms(queries, tokens), 10).work()
     assert work["postings"] == 4080 and work["essential"] <= 80 and 10 <= work["candidates"] <= 80
+
+
+def test_both_ways_of_scoring_agree(spark, tmp_path, monkeypatch):
+    docs, queries = corpus(spark, 300)
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda t: t != "")
+    for name, some in (("some", docs), ("none", docs.filter("doc_id >= 5000"))):
+        path = str(tmp_path / name)
+        blocks.save(lexical.postings(some, tokens), lexical.lengths(some, tokens), path)
+        found = []
+        for most, cells in ((blocks.MAX_HEADS, 1 << 20), (blocks.MAX_HEADS, 40), (-1, 40)):
+            monkeypatch.setattr(blocks, "MAX_HEADS", most)
+            monkeypatch.setattr(blocks.scoring, "CELLS", cells)
+            found.append(sorted(map(tuple, blocks.top_k(spark, path, queries, tokens, 5).collect())))
+        assert found[0] == found[1] == found[2] and bool(found[0]) == (name == "some")
+
+
+def test_each_posting_travels_once(spark, tmp_path, monkeypatch):
+    """Words and postings don't travel to make an index, and of a search's postings each travels once, whatever the queries that ask for it."""
+    monkeypatch.setattr(lexical, "SMALL_BYTES", -1)
+    docs, queries = corpus(spark)
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda t: t != "")
+    posts = lexical.postings(docs, tokens)
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    blocks.save(posts, lexical.lengths(docs, tokens), str(tmp_path))
+    found = blocks.Search(spark, str(tmp_path), lexical.query_terms(queries, tokens), 5).best(6)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -68,9 +68,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def stored_topk(spark: SparkSession, d: str) -> DataFrame:
     """bm25_topk from an index that is written first: its blocks' greatest impacts decide which postings are scored."""
     docs, path = table(spark, d, "documents"), scratch(spark, "blocks")
-    posts = lexical.postings(docs, tx.scene_tokens(F.col("text")))
-    blocks.save(posts, lexical.corpus(docs, posts), path)
-    return blocks.top_k(spark, path, table(spark, d, "benchmark"), tx.scene_tokens(F.col("text")), K, query_id="item_id")
+    tokens = tx.scene_tokens(F.col("text"))
+    blocks.save(lexical.postings(docs, tokens), lexical.lengths(docs, tokens), path)
+    return blocks.top_k(spark, path, table(spark, d, "benchmark"), tokens, K, query_id="item_id")
 
 
 @query("dense_topk", f"WITH {COS_SQL} SELECT * FROM (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM cos) WHERE rank <= {K}")
