@@ -9,37 +9,46 @@ from pyspark.sql import functions as F
 from weft.functions import text as tx
 
 
-def headed_lines(docs: DataFrame, product: str, text: str) -> DataFrame:
-    """product, pos, line, level (null for body lines), h1, h2, h3 as they stand at each line, and the document's title."""
-    lines = docs.select(F.col(product), F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")).alias("pos", "line"))
-    mark = F.regexp_extract("line", r"^(#{1,3})\s+(.*)$", 1)
-    lines = lines.withColumn("level", F.when(mark != "", F.length(mark))).withColumn("title", F.trim(F.regexp_extract("line", r"^(#{1,3})\s+(.*)$", 2)))
-    w = W.partitionBy(product).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+#: A heading's line as it stands behind a line feed: as HEADING on the line alone, whose $ also stands before a last separator.
+NEXT = r"\n(?=#{1,3}[ \t\x0B\f\r]+[^\n\r\x{85}\x{2028}\x{2029}]*[\r\x{85}\x{2028}\x{2029}]?(?:\n|\z))"
+HEADING = r"^(#{1,3})\s+(.*)$"
 
-    def current(level: int) -> Column:
-        """The last heading of this level, unless a higher one came after it."""
-        at = F.max(F.when(F.col("level") == level, F.struct("pos", "title"))).over(w)
-        if level == 1:
-            return at["title"]
-        above = F.max(F.when(F.col("level") < level, F.col("pos"))).over(w)
-        return F.when(above.isNull() | (at["pos"] > above), at["title"])
 
-    first = F.min(F.when(F.col("level") == 1, F.struct("pos", "title"))).over(W.partitionBy(product))["title"]
-    return lines.select(product, "pos", "line", "level", current(1).alias("h1"), current(2).alias("h2"), current(3).alias("h3"), first.alias("doc_title"), F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(w).alias("part"))
+def bodies(docs: DataFrame, product: str, text: str) -> DataFrame:
+    """product, part, level and title (null before the first heading), raw: what stands under each heading; a text is parted in its own row."""
+    whole = F.when(F.col(text).contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(F.col(text))
+    parts = docs.select(F.col(product), F.posexplode(F.split(whole, NEXT)).alias("part", "body"))
+    parts = parts.withColumn("line", F.when(F.col("body").startswith("#"), F.substring_index("body", "\n", 1)))
+    parts = parts.withColumn("mark", F.regexp_extract("line", HEADING, 1))
+    headed = F.col("mark") != ""
+    raw = F.when(headed, F.substr("body", F.length("line") + 2)).otherwise(F.col("body"))
+    return parts.select(product, "part", F.when(headed, F.length("mark")).alias("level"), F.when(headed, F.trim(F.regexp_extract("line", HEADING, 2))).alias("title"), F.trim(raw).alias("raw"))
 
 
 def sections(docs: DataFrame, product: str = "product", text: str = "text") -> DataFrame:
     """product, section_id, heading, heading_path, text, pics, char_len, is_special, summary, tags: bodies between headings, empty ones left out."""
-    lines = headed_lines(docs, product, text).filter("level IS NULL")
-    body = lines.groupBy(product, "part").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("h3").alias("h3"), F.first("doc_title").alias("doc_title"))
-    raw = F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    rows = bodies(docs, product, text)
+    # cleaned before they travel, once: the filter below stands behind the windows
+    rows = rows.select(product, "part", "level", "title", body_text(F.col("raw")).alias("text"), tx.picture_names(F.col("raw")).alias("pics"))
+    w = W.partitionBy(product).orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+
+    def current(level: int) -> Column:
+        """The last heading of this level, unless a higher one came after it."""
+        at = F.max(F.when(F.col("level") == level, F.struct("part", "title"))).over(w)
+        if level == 1:
+            return at["title"]
+        above = F.max(F.when(F.col("level") < level, F.col("part"))).over(w)
+        return F.when(above.isNull() | (at["part"] > above), at["title"])
+
+    first = F.min(F.when(F.col("level") == 1, F.struct("part", "title"))).over(W.partitionBy(product))["title"]
+    nth = F.sum(F.when(F.col("text") != "", 1).otherwise(0)).over(w).cast("int") - 1
+    rows = rows.select(product, "part", "text", "pics", nth.alias("section_id"), current(1).alias("h1"), current(2).alias("h2"), current(3).alias("h3"), first.alias("doc_title")).filter("text <> ''")
     path = F.array_compact(F.array(F.when(~F.col("h1").eqNullSafe(F.col("doc_title")), F.col("h1")), F.col("h2"), F.col("h3")))
-    rows = body.select(product, "part", raw.alias("raw"), path.alias("heading_path")).withColumn("text", body_text(F.col("raw"))).filter("text <> ''")
-    heading = F.when(F.size("heading_path") > 0, F.array_join("heading_path", " / ")).otherwise("(前言)")
-    rows = rows.withColumn("heading", heading).withColumn("pics", tx.picture_names(F.col("raw")))
+    rows = rows.withColumn("heading_path", path)
+    rows = rows.withColumn("heading", F.when(F.size("heading_path") > 0, F.array_join("heading_path", " / ")).otherwise("(前言)"))
     return rows.select(
         product,
-        (F.row_number().over(W.partitionBy(product).orderBy("part")) - 1).alias("section_id"),
+        "section_id",
         "heading",
         "heading_path",
         "text",
@@ -53,9 +62,8 @@ def sections(docs: DataFrame, product: str = "product", text: str = "text") -> D
 
 def body_text(raw: Column) -> Column:
     """Cleaned lines; runs of empty lines to one, picture lines right behind the text before them."""
-    lines = F.transform(F.split(tx.mark_pictures(raw), "\n"), tx.clean_markdown_line)
-    text = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"\n+(?=(?:<PIC> ?)+(?:\n|$))", "\n")
+    text = tx.replaced(tx.clean_markdown(tx.mark_pictures(raw)), ["\n\n\n"], r"\n{3,}", "\n\n")
+    text = tx.replaced(text, ["<PIC>"], r"\n+(?=(?:<PIC> ?)+(?:\n|$))", "\n")
     return F.regexp_replace(text, r"^\n+|\n+$", "")
 
 
