@@ -3,6 +3,7 @@
 import random
 
 from weft.operators import anchors, chunking
+from weft.plans import catalog
 
 
 def sliced(text, names, a, b):
@@ -68,3 +69,28 @@ def test_empty_spans_and_tables(spark):
     assert got == {(1, 0): [], (1, 1): ["a"], (2, 0): []}
     assert anchors.chunk_pictures(chunks.filter("false"), found, "doc", "chunk").count() == 0
     assert anchors.chunk_pictures(chunks, found.filter("false"), "doc", "chunk").count() == 3
+
+
+def test_sizes_of_pieces_from_running_counts():
+    for _, t, _ in texts():
+        size = chunking.Units(t or "")
+        for a in range(0, len(t or ""), 7):
+            assert all(size.of(a, b) == chunking.units(t[a:b]) for b in (a, a + 1, a + 4, a + 30, len(t)) if a <= b <= len(t))
+
+
+def test_texts_are_cut_and_marked_in_one_pass_each(spark):
+    plan = catalog.QUERIES["sentence_pictures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Window" not in plan
+
+
+def test_sentence_ends_as_written_out():
+    import random
+    import re
+    import sys
+
+    plain = re.compile(r"\n{2,}|[。！？!?；;]\s*|[:：]\s+|\.\s+|\n")
+    rng = random.Random(2)
+    for _ in range(2000):
+        t = "".join(rng.choices("\n.:：；! a\t 　", k=rng.randint(0, 30)))
+        assert [m.span() for m in plain.finditer(t)] == [m.span() for m in chunking._BREAK.finditer(t)]
+    assert not any(chr(i).isspace() for i in range(0x3001, sys.maxunicode + 1))

@@ -78,6 +78,6 @@ def chunk_pictures(spark: SparkSession, d: str) -> DataFrame:
 def sentence_pictures(spark: SparkSession, d: str) -> DataFrame:
     """Pictures of sliding windows of whole sentences over the same texts."""
     docs = pictured(spark, d)
-    chunks = chunking.spans(docs.select("doc_id", "text"), "text", chunking.sliding).drop("chunk_text")
+    chunks = chunking.spans(docs.select("doc_id", "text"), "text", chunking.sliding, with_text=False)
     found = anchors.anchors(docs, "doc_id", "text", "names")
     return anchors.chunk_pictures(chunks, found, "doc_id", "chunk")
