@@ -46,6 +46,18 @@ def test_routing_sends_no_side_to_all(spark):
     assert "Broadcast" not in plan(out)
 
 
+def test_questions_and_their_phrases_are_not_sent_to_all(spark):
+    assert "BuildLeft" not in plan(catalog.QUERIES["route_cascade"](spark, DIR))  # the questions are on the left of each join
+
+
+def test_long_dimensions_send_no_side_to_all(spark, monkeypatch):
+    make = catalog.QUERIES["alias_match"]
+    want = make(spark, DIR).collect()
+    monkeypatch.setattr(routing, "MAX_DIMENSION_BYTES", 0)
+    got = make(spark, DIR)
+    assert "Broadcast" not in plan(got) and sorted(got.collect()) == sorted(want)
+
+
 def test_name_patterns_are_asked_where_the_name_stands(spark):
     assert "Contains(__said" in plan(routing.display_matches(routes.questions(spark, DIR), routes.names(spark, DIR)))
 

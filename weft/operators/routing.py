@@ -20,13 +20,13 @@ SUFFIX = "手册"
 BONUS, LEAST_SCORE, CLEAR_SCORE, CLEAR_GAP, NEAR, LOW = 0.35, 1.5, 3.0, 1.0, 1.5, 5.0
 
 
-def dimension(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its strings take few enough bytes."""
+def dimension(df: DataFrame, otherwise: str = "shuffle_replicate_nl") -> DataFrame:
+    """df, to be broadcast if its strings take few enough bytes. If not, neither side of its join is sent whole: it is joined as `otherwise` hints (by pairs of parts, for conditions other than equality)."""
     strings = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in df.schema.fields]
     total = strings[0]
     for s in strings[1:]:
         total = total + s
-    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= MAX_DIMENSION_BYTES else df
+    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= MAX_DIMENSION_BYTES else df.hint(otherwise)
 
 
 def normalised_name(product: Column) -> Column:
@@ -93,13 +93,13 @@ def alias_matches(questions: DataFrame, aliases: DataFrame, weak: list[str], que
     return best.select(key, "product", "x.alias", "x.length", (F.col("x.alias") == F.lower("product")).alias("exact"))
 
 
-def _in_order(rows: DataFrame, key: str, order: list[Column], name: str, most: int | None = None) -> DataFrame:
-    """key and the products of a stage as an array, best first."""
+def _in_order(rows: DataFrame, key: str, order: list[Column], name: str, most: int | None = None, **first: str) -> DataFrame:
+    """key and the products of a stage as an array, best first; first: columns with the best row's value of another (name=column)."""
     rows = ranking.ranked(rows, [key], [*order, F.col("product")], "__n")
     if most:
         rows = rows.filter(F.col("__n") <= most)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("__n", "product"))), lambda x: x["product"])
-    return rows.groupBy(key).agg(listed.alias(name))
+    return rows.groupBy(key).agg(listed.alias(name), *[F.min_by(c, "__n").alias(n) for n, c in first.items()])
 
 
 def route(questions: DataFrame, display: DataFrame, functional: DataFrame, nicknames: DataFrame, grep: DataFrame, named: DataFrame, votes: DataFrame, generic: list[str], fallback: DataFrame | None = None, top: int = 3, key: str = "q") -> DataFrame:
@@ -117,9 +117,8 @@ def route(questions: DataFrame, display: DataFrame, functional: DataFrame, nickn
     rows = rows.join(side(functional.withColumnRenamed("product", "functional")), key, "left")
     rows = rows.join(side(_in_order(nicknames, key, [F.desc("length")], "nick")), key, "left")
     rows = rows.join(side(grep.select(key, F.col("product").alias("grep"))), key, "left")
-    rows = rows.join(side(_in_order(named, key, [F.desc("exact"), F.desc("length")], "names")), key, "left")
-    top_alias = ranking.ranked(named, [key], [F.desc("exact"), F.desc("length"), F.col("product")], "__n").filter("__n = 1").select(key, F.col("alias").alias("by"))
-    rows = rows.join(side(top_alias), key, "left").join(side(_in_order(votes, key, [F.desc("votes")], "content", top)), key, "left")
+    rows = rows.join(side(_in_order(named, key, [F.desc("exact"), F.desc("length")], "names", by="alias")), key, "left")
+    rows = rows.join(side(_in_order(votes, key, [F.desc("votes")], "content", top)), key, "left")
     none = F.array().cast("array<string>")
     first = lambda c: F.slice(c, 1, 1)
     merged = lambda n: F.slice(F.array_distinct(F.concat(first("names"), F.slice("content", 1, n))), 1, top)

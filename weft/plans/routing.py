@@ -19,6 +19,8 @@ NICKNAMES = [("hot gear", r"\bjet tool\b"), ("small ring", r"\bjet\b"), ("small
 FUNCTIONAL = [(0, "sound system", "blue bolt"), (1, "stock", "hot gear")]
 MANUALS = [("red widget", "The spare part loop winch of it, how to mount the thing"), ("hot gear", "The thing and the loop, how to mount"), ("blue bolt", "Loop and winch apart")]
 WEAK, GENERIC = ["bolt"], ["ring", "phone"]
+#: Products of the votes that an answer shows.
+TOP = 3
 QS = f"qs AS (SELECT p_partkey AS q, {QUESTION} AS question FROM part)"
 
 
@@ -94,8 +96,9 @@ def alias_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def voted(spark: SparkSession, d: str) -> DataFrame:
-    """Made-up votes of the content: parts of a size and brand that the question's number names."""
+    """Made-up votes of the content: parts of a size and brand that the question's number names. Questions that name the same have the same votes, so those that can be shown are picked before the join."""
     part = table(spark, d, "part").groupBy("p_size", "p_brand", F.col("p_name").alias("product")).agg(F.count("*").alias("votes"))
+    part = routing.dimension(ranking.top_k(part, ["p_size", "p_brand"], "votes", "product", TOP), "merge")
     asked = questions(spark, d).filter("q % 3 = 0").select("q", (F.col("q") % 50 + 1).cast("int").alias("p_size"), F.concat(F.lit("Brand#"), (F.col("q") % 5).cast("string")).alias("p_brand"))
     return asked.join(part, ["p_size", "p_brand"]).select("q", "product", "votes")
 
@@ -104,6 +107,7 @@ def grepped(spark: SparkSession, d: str) -> DataFrame:
     manuals = spark.createDataFrame(MANUALS, "product string, text string")
     asked = questions(spark, d).select("q", F.explode(lexical.phrases(F.col("question"), STOP)).alias("p")).filter("p LIKE '% %' OR length(p) >= 5")
     held = manuals.select("product", F.explode(lexical.phrases(F.col("text"))).alias("p")).distinct()
+    asked = asked.join(F.broadcast(held.select("p").distinct()), "p", "left_semi")  # three manuals, whatever is asked
     return lexical.routed(asked, held, "q", "product").select("q", "product")
 
 
@@ -145,7 +149,7 @@ def route_cascade(spark: SparkSession, d: str) -> DataFrame:
     functional = routing.phrase_matches(qs, spark.createDataFrame(FUNCTIONAL, "place int, phrase string, product string"))
     nicknames = routing.nickname_matches(qs, spark.createDataFrame(NICKNAMES, "product string, pattern string"))
     named = routing.alias_matches(qs, alias_rows(spark, d), WEAK)
-    out = routing.route(qs, display, functional, nicknames, grepped(spark, d), named, voted(spark, d), GENERIC)
+    out = routing.route(qs, display, functional, nicknames, grepped(spark, d), named, voted(spark, d), GENERIC, top=TOP)
     return out.select("q", "reason", "confidence", F.array_join("products", "|").alias("products"), routing.locked_product(F.col("reason"), F.col("products")).alias("locked"))
 
 
