@@ -28,6 +28,28 @@ def test_joined_words_are_not_sent_to_all(spark):
         assert out.first()["words"] == [["abc", "abd"], ["x", "ab"]]
 
 
+def test_words_of_a_lexicon_are_counted_once(spark):
+    words = segmentation.lexicon(spark.createDataFrame([("ab", 1), ("ab", 2), ("c", 1)], "word string, count long"))
+    assert "Aggregate" not in plan(words.rows) and words.rows.count() == 2
+
+
+def test_runs_are_shuffled_by_their_list_only(spark):
+    df = spark.createDataFrame([(1, ["abcabd", "xab"])], "id int, runs array<string>")
+    words = segmentation.Lexicon(spark.createDataFrame([("abc", -1), ("ab", -2), ("abd", -3)], "word string, weight long"), -9)
+    assert plan(segmentation.segment(df, "runs", words, sent_bytes=18)).count("Exchange") <= 7  # lists (read twice), pieces, words, edges, paths, rows
+
+
+def test_map_lets_few_other_pieces_through(monkeypatch):
+    monkeypatch.setattr(segmentation, "MAP_BITS", 1 << 16)
+    hashes = np.random.default_rng(7).integers(0, 1 << 63, 22_000).astype(np.uint64)
+    bits = np.zeros(segmentation.MAP_BITS // 8, np.uint8)
+    for k in range(segmentation.PROBES):  # as full as the whole map is of eight million words
+        at = segmentation._place(hashes[:2000], k)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    held = segmentation._held(bits, hashes)
+    assert set(range(2000)) <= set(held.tolist()) and len(held) < 2000 + 20
+
+
 def test_phrases_leave_in_parts():
     texts = pd.Series(["a" * (lexical.PART // 2)] * 8 + [None, ""])
     parts = list(lexical.in_parts(iter([texts])))
