@@ -72,6 +72,27 @@ def test_join_equals_brute_force(spark, monkeypatch, most, group, rare):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingled(t, 3)) for i, t in docs}
 
 
+def test_join_of_many_nodes_and_common_tokens_shuffles_prefixes_only(spark, monkeypatch):
+    monkeypatch.setattr(tokengroups, "RARE", 2)
+    monkeypatch.setattr(tokengroups, "MAX_BROADCAST", 0)
+    cuts, whole = [], tokengroups.matrix
+    monkeypatch.setattr(tokengroups, "matrix", lambda cut, *more: cuts.append(cut) or whole(cut, *more))
+    docs = families()
+    got = tokengroups.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), width=3, percent=70, max_common=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == joined(docs, 3, 70)
+    assert "Exchange" not in cuts[0]._jdf.queryExecution().executedPlan().toString()  # neither texts nor sets travel to be put in order
+    size = {i: len(shingled(t, 3)) for i, t in docs}
+    lengths = {r["id"]: len(r["prefix"]) // 8 for r in cuts[0].collect()}
+    assert lengths == {i: tokengroups.prefix_length(np.array([n]), 70)[0] for i, n in size.items() if n}
+
+
+def test_most_common_tokens_by_whole_classes(spark):
+    hot = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 6), (5, 9)], "token long, class int")
+    taken = {n: sorted(r["token"] for r in tokengroups.most_common(hot, n).collect()) for n in (0, 1, 2, 3, 4, 5)}
+    assert taken == {0: [], 1: [5], 2: [5], 3: [3, 4, 5], 4: [3, 4, 5], 5: [1, 2, 3, 4, 5]}
+    assert tokengroups.most_common(hot.filter("false"), 3).count() == 0
+
+
 def test_join_threshold_is_inclusive(spark):
     a = [f"a{i}" for i in range(20)]
     docs = [(1, " ".join(a)), (2, " ".join(a[:17])), (3, " ".join(a[:16]))]  # 17 of 20 and 16 of 20 words in common

@@ -20,9 +20,11 @@ LEADS groups that are drawn by most of its rows (a row draws LEADS of its groups
 different components. So a hot family of near copies costs rows in proportion to its groups, and
 no link between different components is lost.
 
-The order puts tokens of more than RARE nodes behind the others, by the logarithm of their
+The order puts tokens of more than RARE documents behind the others, by the logarithm of their
 count. Counts are exact but for tokens that share the bits counted by; any fixed order gives the
-same links. Up to MAX_COMMON such tokens are broadcast; beyond it they meet the sets in a join.
+same links. Up to MAX_COMMON such tokens are broadcast; of more, the classes of the least counts
+go with the rare ones, so that sets are never dealt token by token to be put in order. Tokens are
+counted and prefixes cut where the texts lie; only prefixes meet the nodes.
 
 Defined results: null and empty texts, and texts without a word, have an empty set and link with
 nothing; a null id links with nothing, its component is null; rows with the same id are one node
@@ -55,7 +57,7 @@ SHARED = 4
 #: Groups that each group is compared with before all others: in a family of copies whose links are few, enough of them meet.
 LEADS = 4
 MIN_PERCENT = 50
-#: Common tokens that may be broadcast with their class (9 bytes each).
+#: Common tokens that are broadcast with their class (9 bytes each).
 MAX_COMMON = 1_000_000
 #: Node rows (24 bytes each) that may be broadcast to pick texts.
 MAX_BROADCAST = 1_000_000
@@ -141,7 +143,7 @@ def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple
 
 
 def common_tokens(rows: DataFrame, width: int, n_tokens: int) -> tuple[DataFrame, int]:
-    """token (the bits counted by), class (bits of the count): tokens of more than RARE rows. rows: id, text."""
+    """token (the bits counted by), class (bits of the count): tokens of more than RARE rows. rows: id, text; what copies add to a count changes the order alone."""
     bits = max(4, int(n_tokens // COUNTED).bit_length())  # a range of hashes for about COUNTED tokens
     low = _U(32 - bits)
 
@@ -179,54 +181,58 @@ def common_tokens(rows: DataFrame, width: int, n_tokens: int) -> tuple[DataFrame
     return counted.groupBy("part").applyInArrow(count, "token long, class int"), int(low)
 
 
-def matrix(rows: DataFrame, hot: DataFrame, low: int, width: int, percent: int, max_common: int) -> DataFrame:
-    """token, gid, lo and hi (sizes of members that have it in their prefixes). rows: id, text, gid."""
-    schema = "token long, gid long, n int"
-    if hot.count() <= max_common:
-        table = hot.toArrow()
-        tokens = table.column("token").to_numpy().view(_U)
-        order = np.argsort(tokens)
-        sent = rows.sparkSession.sparkContext.broadcast((tokens[order], table.column("class").to_numpy().astype(np.int8)[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens, classes = sent.value
-            for batch, sets in set_batches(batches, width):
-                t, owner = flat(sets)
-                weight = np.zeros(len(t), np.int8)
-                if len(tokens):
-                    at = np.searchsorted(tokens, t >> _U(low))
-                    at[at == len(tokens)] = 0
-                    weight = np.where(tokens[at] == t >> _U(low), classes[at], 0)
-                order = np.lexsort((t, weight, owner))
-                n = np.array([len(s) for s in sets], np.int64)
-                nth = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-                keep = nth < np.repeat(prefix_length(n, percent), n)
-                gid = batch.column(2).to_numpy()
-                cols = [pa.array(t[order][keep].view(np.int64)), pa.array(gid[owner[keep]]), pa.array(n[owner[keep]].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["token", "gid", "n"])
-
-        cells = map_arrow(rows.select("id", "text", "gid"), run, schema)
-    else:
-        every = map_arrow(rows.select("id", "text", "gid"), lambda batches: _all_tokens(batches, width), "id long, f long, gid long, n int, token long")
-        every = every.withColumn("bits", F.shiftrightunsigned("token", low)).join(hot.withColumnRenamed("token", "bits"), "bits", "left")
-        # what is gathered here is one text's own set
-        sets = every.groupBy("id", "f", "gid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("class", F.lit(0)).alias("class"), "token"))).alias("t"))
-        needed = F.floor((F.col("n") * percent + 99) / 100)
-        first = F.slice("t", F.lit(1), (F.col("n") - needed + F.least(needed, F.lit(SHARED))).cast("int"))
-        cells = sets.select(F.explode(first).alias("x"), "gid", "n").select("x.token", "gid", "n")
-    # one exchange by token: what is grouped by token and group, by token, and joined by token all lies so
-    return cells.repartition("token").groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+def most_common(hot: DataFrame, limit: int) -> DataFrame:
+    """The classes of the greatest counts that have no more than `limit` tokens together."""
+    least = total = 0
+    for kind, n in sorted(map(tuple, hot.groupBy("class").count().collect()), reverse=True):  # a row for each power of two
+        total += n
+        if total > limit:
+            least = kind + 1
+            break
+    return hot.filter(F.col("class") >= least)
+
 
+def prefixes(rows: DataFrame, hot: DataFrame, low: int, width: int, percent: int, max_common: int) -> DataFrame:
+    """id, n, prefix (the leading tokens of the set, one after another), where there is a set. rows: id, text."""
+    table = most_common(hot, max_common).toArrow()
+    tokens = table.column("token").to_numpy().view(_U)
+    order = np.argsort(tokens)
+    sent = rows.sparkSession.sparkContext.broadcast((tokens[order], table.column("class").to_numpy().astype(np.int8)[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, classes = sent.value
+        for batch, sets in set_batches(batches, width):
+            t, owner = flat(sets)
+            weight = np.zeros(len(t), np.int8)
+            if len(tokens):
+                at = np.searchsorted(tokens, t >> _U(low))
+                at[at == len(tokens)] = 0
+                weight = np.where(tokens[at] == t >> _U(low), classes[at], 0)
+            order = np.lexsort((t, weight, owner))
+            n = np.array([len(s) for s in sets], np.int64)
+            nth = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+            length = prefix_length(n, percent)
+            first = t[order][nth < np.repeat(length, n)].astype("<u8")
+            ends = np.concatenate([[0], np.cumsum(length * 8)]).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(first)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), cut], names=["id", "n", "prefix"])
+
+    return map_arrow(rows.select("id", "text"), run, "id long, n int, prefix binary").filter("n > 0")
+
+
+def matrix(cut: DataFrame, nodes: DataFrame) -> DataFrame:
+    """token, gid, lo and hi (sizes of members that have it in their prefixes). cut: as prefixes() makes it; nodes: id, gid."""
+    wanted = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST else nodes.hint("merge")
 
-def _all_tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each token of each set; f tells sets of rows with the same id apart."""
-    for batch, sets in set_batches(batches, width):
-        t, owner = flat(sets)
-        f = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], dtype=_U).view(np.int64)
-        n = np.array([len(s) for s in sets], np.int32)
-        ids, gid = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        cols = [pa.array(c) for c in (ids[owner], f[owner], gid[owner], n[owner], t.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "f", "gid", "n", "token"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist())]
+            gid, n = (np.repeat(batch.column(c).to_numpy(), [*map(len, first[1:])]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(gid), pa.array(n)], names=["token", "gid", "n"])
+
+    cells = map_arrow(cut.join(wanted, "id").select("gid", "n", "prefix"), run, "token long, gid long, n int")
+    # one exchange by token: what is grouped by token and group, by token, and joined by token all lies so
+    return cells.repartition("token").groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
 
 def opened(rows: DataFrame, width: int) -> DataFrame:
@@ -330,10 +336,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     member = materialize(known.groupBy("f1", "f2").agg(F.min("id").alias("node")), "member", keep=True)
     nodes = known.join(member.withColumnRenamed("node", "id"), ["f1", "f2", "id"]).dropDuplicates(["f1", "f2"])
     nodes = materialize(grouped(nodes, percent), "groups")
-    rows = with_texts(docs, nodes, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     total = known.agg(F.sum("n")).first()[0] or 0
     hot, low = common_tokens(rows, width, total)
-    cells = matrix(rows, materialize(hot, "common"), low, width, percent, max_common)
+    cells = matrix(prefixes(rows, materialize(hot, "common"), low, width, percent, max_common), nodes)
     # sizes are read on this side too, so that one exchange of the rows serves both sides of the join
     drawn = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(r)), "gid"))["gid"] for r in range(LEADS)])
     leads = cells.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("other"), F.max("hi").alias("most"), F.array_distinct(drawn).alias("drawn")).filter("lead < other AND most > 0").select("token", "lead", "drawn")
